@@ -154,7 +154,7 @@ EVENTS = f"""
   ])} AS changed_fields,
   {text("user_id")} AS user_id,
   ts AS datetime
-""".replace("{{", "{").replace("}}", "}")
+"""
 
 USERS = f"""
   {text("s_suppkey")} AS id,
