@@ -39,7 +39,7 @@ DOCUMENTS = f"""
   CASE WHEN c_custkey % 3 = 0 THEN concat('Office ', {text("n_regionkey")}) ELSE '' END AS subagency,
   CASE WHEN c_custkey % 5 = 0 THEN 'Branch 5' END AS subagency2,
   CASE WHEN c_custkey % 6 = 0 THEN '' ELSE concat('January ', {text("c_custkey % 28 + 1")}, ', 2025') END AS application_deadline,
-  CASE WHEN c_custkey % 8 = 0 THEN 'Care close to home' ELSE '' END AS tagline,
+  {pick("c_custkey", ["'three Years'", "''", "'the grant office'", "'cost   and'", "''"])} AS tagline,
   {pick("c_custkey", ["''", "'{Author}'", "c_name", "'  '", "c_name"])} AS author,
   {pick("c_custkey", ["''", "n_name", "'{Subject line}'", "n_name"])} AS subject,
   {pick("c_custkey", ["'health, rural'", "'{a}{b}'", "''"])} AS keywords,
@@ -179,7 +179,7 @@ _ROW = "<tr><td>{}</td><td>{}</td></tr>"
 _EXTRAS = [
     "'<h2 id=\"_Toc1\">Funding   details</h2><p>Type:</p><p>Grant</p><p>Total:</p><p>Match:</p><p>None</p><h3>Other</h3><p>Last:</p>'",
     "'<h2>Key facts</h2><p> </p><table><tr><td><p>Ask us</p></td></tr></table><p>after callout</p>'",
-    "'<h2></h2><p><a id=\"_bm1\"></a>First  note</p><p>See <a href=\"#_bm1\">one</a><a href=\"#_bm1\"> more</a> and <a href=\"#gone\">gone</a></p>'",
+    "'<h2></h2><p><a id=\"_bm1\"></a>First  note</p><p>See <a href=\"#_bm1\">one</a><a href=\"#_bm1\"> more</a> and <a href=\"#gone\">gone</a> <a>loose</a></p>'",
     "'<h2>Before you begin</h2><p>skip me</p><h3>sub skip</h3><h2>Eligibility (all)</h2><p>Agency: Health Office</p>'",
     "'<p>Table: Budget by year</p><table><tr><td>Year</td><td>Cost</td></tr><tr><td>2024</td><td></td></tr><tr><td></td><td></td></tr></table>'",
     "'<table><tr><th>Criterion</th><th>Points</th><th>Note</th></tr><tr><th>Need</th><th>10</th><th>x</th></tr></table><p></p><p><img src=\"media/a/b.png\"></p>'",
