@@ -15,7 +15,7 @@ from tomeflow.functions.text import ACCENTED, PLAIN
 WORD = r"[\p{L}\p{N}']+"
 SENTENCE_END = r"[.!?]+(?:\s|\z)"
 PARAGRAPH = r"\S[^\n]*"
-PASSIVE = r"\b(?:is|are|was|were|be|been|being)\s+[a-z]+(?:ed|en)\b[^.!?]*"
+PASSIVE = r"(?:\A|[^\p{L}\p{N}])(?:is|are|was|were|be|been|being)\s+[a-z]+(?:ed|en)(?:\z|[.!?]|[^\p{L}\p{N}.!?][^.!?]*)"
 
 
 def counts(text: Column) -> dict[str, Column]:

@@ -106,7 +106,7 @@ _READ = rf"""WITH low AS (SELECT doc_id, text, translate(lower(text), '{ACCENTED
   w AS (SELECT *, regexp_extract_all(t, '[\p{{L}}\p{{N}}'']+') AS words FROM low),
   n AS (SELECT doc_id, len(words) AS nw, greatest(len(regexp_extract_all(text, '[.!?]+(?:\s|\z)')), 1) AS ns, greatest(len(regexp_extract_all(text, '\S[^\n]*')), 1) AS np,
      len(regexp_extract_all(t, '[aeiouy]+')) + len([x for x in words if NOT regexp_matches(x, '[aeiouy]')]) AS sy,
-     len(regexp_extract_all(t, '\b(?:is|are|was|were|be|been|being)\s+[a-z]+(?:ed|en)\b[^.!?]*')) AS pa FROM w),
+     len(regexp_extract_all(t, '(?:\A|[^\p{{L}}\p{{N}}])(?:is|are|was|were|be|been|being)\s+[a-z]+(?:ed|en)(?:\z|[.!?]|[^\p{{L}}\p{{N}}.!?][^.!?]*)')) AS pa FROM w),
   m AS (SELECT doc_id, cast(nw AS double) AS word_count, round(nw / ns, 4) AS words_per_sentence, round(ns / np, 4) AS sentences_per_paragraph,
      round(206.835::double - 1.015::double * (nw / ns) - 84.6::double * (sy / greatest(nw, 1)), 4) AS flesch_reading_ease,
      round(0.39::double * (nw / ns) + 11.8::double * (sy / greatest(nw, 1)) - 15.59::double, 4) AS flesch_kincaid_grade_level,
