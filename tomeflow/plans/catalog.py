@@ -1,6 +1,6 @@
 """All registered queries, collected from the topic modules."""
 
-from tomeflow.plans import audit, quality, templates, texts, trees  # noqa: F401
+from tomeflow.plans import audit, compare, quality, templates, texts, trees  # noqa: F401
 from tomeflow.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

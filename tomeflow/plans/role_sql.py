@@ -47,7 +47,7 @@ def with_roles(sql: str, roles: tuple[str, ...]) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in names)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        body = body[5:].strip()
-        return f"WITH {head},\n{body}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(word):
+            return f"{word}{head},\n{body[len(word):]}"
     return f"WITH {head}\n{body}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tomeflow", cores: str | None = None) -> SparkSession:
@@ -36,3 +36,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
     return shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder. Used where a wide result feeds several later steps, so that
+    neither the plan nor the work multiplies; the files survive the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
