@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 

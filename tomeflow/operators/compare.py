@@ -3,15 +3,18 @@
 Alignment is greedy and keeps order: each new row takes the first matching old row after the last one taken, skipped
 old rows are deletions, rows that moved up are additions. Where every row of a section has its own name this equals
 "take the rows whose old place is a new high", a running maximum, so it is computed by a chunked scan and has no size
-limit. Only sections with unnamed or repeated names walk their neighbours row by row; those run in one Arrow group
-each, on ids, places and names without bodies.
+limit. Only sections with unnamed or repeated names walk their neighbours row by row; their ids and names (no bodies)
+are sorted by section and streamed through Arrow batches, one section in memory at a time.
 """
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from tomeflow.functions import text as X
 from tomeflow.operators import ordered
 from tomeflow.session import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 AT_END = 2147483647
 PLACES = "grp string, k1 bigint, k2 int, k3 bigint, old_id string, new_id string"
 
@@ -71,11 +76,9 @@ def rows_match(old_names: list[str], new_names: list[str], i: int, j: int) -> bo
     return True
 
 
-def _align_section(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    old, new = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    old_names, new_names = old["name"].tolist(), new["name"].tolist()
-    old_ids, new_ids = old["id"].tolist(), new["id"].tolist()
+def _align_section(grp: str, old: list[tuple], new: list[tuple]) -> list[tuple]:
+    old_ids, old_names = [x[0] for x in old], [x[1] for x in old]
+    new_ids, new_names = [x[0] for x in new], [x[1] for x in new]
     named: dict[str, list[int]] = {}
     for j, name in enumerate(old_names):
         named.setdefault(name, []).append(j)
@@ -85,8 +88,8 @@ def _align_section(pdf: pd.DataFrame) -> pd.DataFrame:
         # Candidates in old order: equal names, and rows where a side is unnamed.
         if name:
             same = named.get(name, [])
-            best = next(iter(same[bisect_left(same, start):][:1]), None)
-            around = unnamed[bisect_left(unnamed, start):]
+            best = next(iter(same[bisect_left(same, start) :][:1]), None)
+            around = unnamed[bisect_left(unnamed, start) :]
         else:
             best, around = None, range(start, len(old_names))
         for j in around:
@@ -96,15 +99,30 @@ def _align_section(pdf: pd.DataFrame) -> pd.DataFrame:
                 best = j
                 break
         if best is None:
-            rows.append((i, 1, 0, None, new_ids[i]))
+            rows.append((grp, i, 1, 0, None, new_ids[i]))
             continue
-        rows += [(i, 0, j, old_ids[j], None) for j in range(start, best)]
-        rows.append((i, 1, 0, old_ids[best], new_ids[i]))
+        rows += [(grp, i, 0, j, old_ids[j], None) for j in range(start, best)]
+        rows.append((grp, i, 1, 0, old_ids[best], new_ids[i]))
         start = best + 1
-    rows += [(AT_END, 0, j, old_ids[j], None) for j in range(start, len(old_names))]
-    out = pd.DataFrame(rows, columns=["k1", "k2", "k3", "old_id", "new_id"])
-    out.insert(0, "grp", pdf["grp"].iloc[0])
-    return out
+    return rows + [(grp, AT_END, 0, j, old_ids[j], None) for j in range(start, len(old_names))]
+
+
+def _align_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive sorted by section; one section is held at a time, whatever batches it spans."""
+    grp, old, new, out = None, [], [], []
+    names = ["grp", "k1", "k2", "k3", "old_id", "new_id"]
+    for pdf in batches:
+        for g, side, id_, name in zip(*(pdf[c].tolist() for c in ("grp", "side", "id", "name"))):
+            if g != grp:
+                if grp is not None:
+                    out += _align_section(grp, old, new)
+                grp, old, new = g, [], []
+            (new if side else old).append((id_, name))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    if grp is not None:
+        yield pd.DataFrame(_align_section(grp, old, new), columns=names)
 
 
 def align_sections(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -115,7 +133,8 @@ def align_sections(old: DataFrame, new: DataFrame) -> DataFrame:
     marked = cut(slim.join(kind, "grp"))
     easy = marked.filter(~F.col("walk"))
     by_name = align_unique(easy.filter("side = 0"), easy.filter("side = 1"), ["grp"], ["name"])
-    by_walk = marked.filter("walk").select("grp", "id", "pos", "name", "side").groupBy("grp").applyInPandas(_align_section, PLACES)
+    walk = marked.filter("walk").select("grp", "side", "pos", "id", "name")
+    by_walk = walk.repartition("grp").sortWithinPartitions("grp", "side", "pos").mapInPandas(_align_stream, PLACES)
     return by_name.unionByName(by_walk)
 
 
@@ -226,10 +245,10 @@ def changed_rows(compared: DataFrame, old: DataFrame, old_sections: DataFrame) -
     heads = lead.groupBy("grp").agg(
         F.min(F.struct("seq", basic.alias("basic"))).alias("a"), F.min_by("old_value", "seq").alias("a_old"),
     )
-    cut = heads.select("grp", F.when(F.col("a.basic"), F.col("a.seq")).alias("cut1"), "a.seq", "a_old")
-    rest = lead.join(cut.select("grp", "cut1"), "grp").filter(F.col("cut1").isNull() | (F.col("seq") > F.col("cut1")))
+    cut_at = heads.select("grp", F.when(F.col("a.basic"), F.col("a.seq")).alias("cut1"), "a.seq", "a_old")
+    rest = lead.join(cut_at.select("grp", "cut1"), "grp").filter(F.col("cut1").isNull() | (F.col("seq") > F.col("cut1")))
     second = rest.groupBy("grp").agg(F.min_by(F.struct("seq", "old_value"), "seq").alias("b")).filter(F.lower("b.old_value").contains("have questions?"))
-    drops = cut.select("grp", F.col("cut1").alias("seq")).filter("seq IS NOT NULL").unionByName(second.select("grp", F.col("b.seq").alias("seq")))
+    drops = cut_at.select("grp", F.col("cut1").alias("seq")).filter("seq IS NOT NULL").unionByName(second.select("grp", F.col("b.seq").alias("seq")))
     rows = rows.join(drops, ["grp", "seq"], "left_anti")
     only_adds = rows.groupBy("grp").agg(F.bool_and((F.col("comparison_type") == "body") & (F.col("status") == "ADD")).alias("only"))
     shown = rows.join(only_adds.filter(~F.col("only")).select("grp"), "grp", "left_semi").filter("status <> 'MATCH'")

@@ -1,6 +1,7 @@
 """Queries that compare two versions of the tree.
 
 The new version is derived from the old one by fixed remainders: rows dropped, renamed, edited, respaced and moved.
+Both versions are written once, as they would be in a store, before they are compared.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from tomeflow import fixed_values as V
 from tomeflow.operators import compare as C
 from tomeflow.operators import ordered
 from tomeflow.plans.registry import query
+from tomeflow.session import cut
 
 TREE = ("r_tree", "r_sections")
 
@@ -25,17 +27,17 @@ def _sp(text: str) -> str:
 
 
 def old_rows(r):
-    return r.subsections.select(
+    return cut(r.subsections.select(
         "section_id", "id", F.col("order").alias("pos"), "name", "order", "tag", "html_id", "body", "comparison_type",
         F.filter(F.split("required", r"\|"), lambda s: s != "").alias("required"),
-    )
+    ))
 
 
 def new_rows(r):
     rows = r.subsections.filter(_sp(KEPT2)).selectExpr(
         "section_id", "concat('n', id) AS id", f"{_sp(NAME2)} AS name", "`order`", "tag", "html_id", f"{_sp(BODY2)} AS body", f"{_sp(KEY2)} AS nkey"
     )
-    return ordered.scan(rows, ["section_id"], ["nkey"], ordered.chunk_of("nkey"), pos=ordered.row_number()).drop("nkey")
+    return cut(ordered.scan(rows, ["section_id"], ["nkey"], ordered.chunk_of("nkey"), pos=ordered.row_number()).drop("nkey"))
 
 
 def pairs(r):
@@ -89,10 +91,6 @@ _OUT = "pair, section_order, seq, status, old_name, new_name, old_value, new_val
 OUT = ["pair", "section_order", "seq", "status", "old_name", "new_name", "old_value", "new_value"]
 
 
-def _recursive(sql: str) -> str:
-    return sql
-
-
 @query("match_subsections", f"WITH RECURSIVE {PAIRED} SELECT p.pair, p.grp, p.section_name, p.old_section FROM pr p", TREE)
 def _(r):
     return pairs(r).select("pair", "grp", "section_name", "old_section")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not shared:
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder. Used where a wide result feeds several later steps, so that
-    neither the plan nor the work multiplies; the files survive the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to a table in the shared folder and read it back. Used where a wide result feeds several later
+    steps, so that neither the plan nor the work multiplies; the files survive the loss of executors."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
