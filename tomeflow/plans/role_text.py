@@ -177,7 +177,7 @@ IMAGES = f"""
 # Extra markup placed at the end of each page so that tables, callouts, anchors, images and notes occur too.
 _ROW = "<tr><td>{}</td><td>{}</td></tr>"
 _EXTRAS = [
-    "'<h2 id=\"_Toc1\">Funding   details</h2><p>Type:</p><p>Grant</p><p>Total:</p><p>Match:</p><p>None</p><h3>Other</h3><p>Last:</p>'",
+    "'<h3 id=\"_Toc1\">Funding   details</h3><p>Type:</p><p>Grant</p><p>Total:</p><p>Match:</p><p>None</p><h3>Other</h3><p>Last:</p>'",
     "'<h2>Key facts</h2><p> </p><table><tr><td><p>Ask us</p></td></tr></table><p>after callout</p>'",
     "'<h2></h2><p><a id=\"_bm1\"></a>First  note</p><p>See <a href=\"#_bm1\">one</a><a href=\"#_bm1\"> more</a> and <a href=\"#gone\">gone</a> <a>loose</a></p>'",
     "'<h2>Before you begin</h2><p>skip me</p><h3>sub skip</h3><h2>Eligibility (all)</h2><p>Agency: Health Office</p>'",
