@@ -31,9 +31,9 @@ def _(r):
     return d.unionByName(s).unionByName(x).unionByName(a)
 
 
-@query("clone_for_compare", """WITH q AS (SELECT cast(e.id AS string) AS id, e.datetime AS at, d.id AS from_doc, '(Compare) ' || CASE WHEN short_name <> '' THEN short_name WHEN title <> '' THEN title ELSE filename END AS title
+@query("clone_for_compare", """WITH q AS (SELECT cast(e.id AS string) AS id, e.datetime AS ts0, d.id AS from_doc, '(Compare) ' || CASE WHEN short_name <> '' THEN short_name WHEN title <> '' THEN title ELSE filename END AS title
     FROM r_events e JOIN r_documents d ON d.id = e.object_id WHERE e.model = 'document')
-  SELECT id, from_doc, title, lead(id) OVER w AS successor, cast(lead(at) OVER w AS date) AS archived FROM q WINDOW w AS (PARTITION BY from_doc ORDER BY epoch_us(at) // 1000000, id)""", ("r_events", "r_documents"))
+  SELECT id, from_doc, title, lead(id) OVER w AS successor, cast(lead(ts0) OVER w AS date) AS archived FROM q WINDOW w AS (PARTITION BY from_doc ORDER BY epoch_us(ts0) // 1000000, id)""", ("r_events", "r_documents"))
 def _(r):
     asked = r.events.filter("model = 'document'").select(F.col("id").cast("string").alias("id"), F.col("object_id").alias("source_id"), F.col("datetime").alias("at"))
     return Z.clone_for_compare(asked, r.documents).select("id", "from_doc", "title", "successor", "archived")
