@@ -38,41 +38,57 @@ def _level(tag: str) -> Column:
     return F.substring(tag, 2, 1).cast("int")
 
 
-def repeated_headings(subsections: DataFrame) -> DataFrame:
-    """Bodyless named heading directly followed by a named heading of the same or a larger level."""
-    nxt = ordered.lead(F.struct("id", "name", "tag"))
-    rows = _scan(subsections.select("id", "section_id", "order", "name", "tag", (blank("body")).alias("empty")), nxt=nxt)
-    rows = rows.filter(F.col("empty") & (F.col("name") != "") & (F.col("nxt.name") != ""))
-    rows = rows.select("section_id", "tag", F.col("nxt.id").alias("id"), F.col("nxt.name").alias("name"), F.col("nxt.tag").alias("next_tag"))
-    here, there = _level("tag"), _level("next_tag")
-    error = F.when(here == there, F.format_string("Repeated heading level: two %s headings in a row.", "next_tag")).when(
+def _heading_scan(subsections: DataFrame) -> DataFrame:
+    """One pass that gives every row its next row, its next tagged row and its place; both heading checks read it."""
+    rows = subsections.select("id", "section_id", "order", "name", "tag", blank("body").alias("empty"))
+    head = F.struct("id", "name", "tag")
+    return _scan(rows, nxt=ordered.lead(head), tagged=ordered.first_after(F.when(F.col("tag") != "", head)), place=ordered.row_number())
+
+
+def _repeated() -> Column:
+    here, there = _level("tag"), _level("nxt.tag")
+    error = F.when(here == there, F.format_string("Repeated heading level: two %s headings in a row.", "nxt.tag")).when(
         here > there,
-        F.format_string("Incorrectly nested heading level: %s immediately followed by a larger %s.", "tag", "next_tag"),
+        F.format_string("Incorrectly nested heading level: %s immediately followed by a larger %s.", "tag", "nxt.tag"),
     )
-    return rows.select("section_id", "id", "name", error.alias("error")).filter(F.col("error").isNotNull())
+    hit = F.col("empty") & (F.col("name") != "") & (F.col("nxt.name") != "") & error.isNotNull()
+    return F.when(hit, F.struct(F.col("nxt.id").alias("id"), F.col("nxt.name").alias("name"), error.alias("error")))
+
+
+def _skipped_later() -> Column:
+    hit = (F.col("name") != "") & (F.col("tagged.name") != "") & (F.col("tag") != "") & (_level("tagged.tag") - _level("tag") > 1)
+    error = F.format_string("Incorrectly nested heading level: %s followed by an %s.", "tag", "tagged.tag")
+    return F.when(hit, F.struct(F.col("tagged.id").alias("id"), F.col("tagged.name").alias("name"), error.alias("error")))
+
+
+def _skipped_first() -> Column:
+    hit = (F.col("place") == 1) & (F.col("tag") != "") & (_level("tag") > 3)
+    error = F.format_string("Incorrectly nested heading level: h2 (%s) followed by an %s.", "section_name", "tag")
+    return F.when(hit, F.struct("id", "name", error.alias("error")))
+
+
+def _errors(rows: DataFrame, *kinds: Column) -> DataFrame:
+    return rows.select("section_id", F.explode(F.array_compact(F.array(*kinds))).alias("e")).select("section_id", "e.*")
+
+
+def _with_section_name(subsections: DataFrame, sections: DataFrame) -> DataFrame:
+    names = sections.select(F.col("id").alias("section_id"), F.col("name").alias("section_name"))
+    return _heading_scan(subsections).join(names, "section_id")
+
+
+def repeated_headings(subsections: DataFrame) -> DataFrame:
+    """Bodyless named heading directly followed by a named heading of the same or a larger level."""
+    return _errors(_heading_scan(subsections), _repeated())
 
 
 def skipped_headings(subsections: DataFrame, sections: DataFrame) -> DataFrame:
     """Headings that jump a level against the previous heading, or a first heading below h3."""
-    tagged = F.when(F.col("tag") != "", F.struct("id", "name", "tag"))
-    rows = _scan(subsections.select("id", "section_id", "order", "name", "tag"), nxt=ordered.first_after(tagged), place=ordered.row_number())
-    later = rows.filter(
-        (F.col("name") != "") & (F.col("nxt.name") != "") & (F.col("tag") != "")
-        & (F.substring("nxt.tag", 2, 1).cast("int") - _level("tag") > 1)
-    ).select(
-        "section_id", F.col("nxt.id").alias("id"), F.col("nxt.name").alias("name"),
-        F.format_string("Incorrectly nested heading level: %s followed by an %s.", "tag", "nxt.tag").alias("error"),
-    )
-    names = sections.select(F.col("id").alias("section_id"), F.col("name").alias("section_name"))
-    first = rows.filter((F.col("place") == 1) & (F.col("tag") != "") & (_level("tag") > 3)).join(names, "section_id").select(
-        "section_id", "id", "name",
-        F.format_string("Incorrectly nested heading level: h2 (%s) followed by an %s.", "section_name", "tag").alias("error"),
-    )
-    return first.unionByName(later)
+    return _errors(_with_section_name(subsections, sections), _skipped_first(), _skipped_later())
 
 
 def union_heading_errors(subsections: DataFrame, sections: DataFrame) -> DataFrame:
-    return repeated_headings(subsections).unionByName(skipped_headings(subsections, sections))
+    """Both heading checks as one list, from one pass over the rows."""
+    return _errors(_with_section_name(subsections, sections), _repeated(), _skipped_first(), _skipped_later())
 
 
 def heading_error_flags(subsections: DataFrame, errors: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.operators import ordered
 from tomeflow.plans import role_text as R
+from tomeflow.session import cut
 from tomeflow.sources.tables import read_table
 
 
@@ -58,6 +59,11 @@ class Roles:
             "*",
         ).withColumn("order", F.col("order").cast("int")).drop(*R.LINE_ORDER)
 
+    def stored(self) -> Roles:
+        """Write the numbered subsections once, as a store would hold them, for queries that read them several times."""
+        self.__dict__["subsections"] = cut(self.subsections)
+        return self
+
     @cached_property
     def tree(self) -> DataFrame:
         """Subsections with the document, name and order of their section."""

@@ -11,6 +11,7 @@ from tomeflow.plans import segment as PS
 from tomeflow.plans.compare import KEPT2, NAME2, _sp
 from tomeflow.plans.registry import query
 from tomeflow.plans.trees import _slug
+from tomeflow.session import cut
 
 DOC, TREE = ("r_documents",), ("r_tree",)
 
@@ -144,8 +145,9 @@ DIFF = f"""{PS.UNIT}, o AS (SELECT doc_id, unit AS pos, tag, text FROM u), n AS
 
 
 def _diff(r):
-    old = PS.units(r).select("doc_id", F.col("unit").alias("pos"), "tag", "text")
-    new = PS.units(r).filter("unit % 7 <> 3").selectExpr("doc_id", "unit + CASE WHEN unit % 9 = 4 THEN 3 ELSE 0 END AS p0", "tag", f"{_EDITED} AS text", "unit")
+    blocks = cut(PS.units(r).select("doc_id", "unit", "tag", "text"))
+    old = blocks.select("doc_id", F.col("unit").alias("pos"), "tag", "text")
+    new = blocks.filter("unit % 7 <> 3").selectExpr("doc_id", "unit + CASE WHEN unit % 9 = 4 THEN 3 ELSE 0 END AS p0", "tag", f"{_EDITED} AS text", "unit")
     new = ordered.scan(new, ["doc_id"], ["p0", "unit"], F.lit(0), pos=ordered.row_number())
     return C.block_diff(old, new.select("doc_id", "pos", "tag", "text"))
 

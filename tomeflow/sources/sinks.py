@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tomeflow import schemas
 
-CSV = {"header": "true", "quoteAll": "true", "escape": '"'}
+CSV = {
+    "header": "true", "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
