@@ -337,7 +337,7 @@ def resolve_anchors(tokens: DataFrame) -> DataFrame:
     ids = ids.groupBy("doc_id", "id").agg(F.min(F.struct("pos", "block_pos", "tag", "text")).alias("m"))
     empty = (F.col("m.tag") == "a") & (F.trim("m.text") == "")
     ids = ids.select("doc_id", "id", F.when(empty, F.col("m.block_pos")).otherwise(F.col("m.pos")).alias("target_pos"))
-    links = anchors(tokens).filter("href LIKE '#%'").withColumn("id", F.substring("href", 2, 10_000))
+    links = anchors(tokens).filter("href LIKE '#%'").withColumn("id", F.substring(F.col("href"), F.lit(2), F.length("href")))
     out = links.select("doc_id", "pos", "href", "id").join(ids, ["doc_id", "id"], "left")
     return out.select("doc_id", "pos", "href", "target_pos", F.when(F.col("target_pos").isNull(), F.concat(F.lit("#__"), "id")).otherwise(F.col("href")).alias("new_href"))
 
@@ -372,7 +372,7 @@ def extract_metadata(units_: DataFrame, defaults: dict[str, str] | None = None)
     rows = units_.filter("tag <> 'table'").withColumn("n1", F.lead("text").over(_unit())).withColumn("n2", F.lead("text", 2).over(_unit()))
     aggs = []
     for field, label in METADATA.items():
-        value = F.trim(F.substring(F.col("text"), len(label) + 1, 1_000_000))
+        value = F.trim(F.substring(F.col("text"), F.lit(len(label) + 1), F.length("text")))
         if field == "opdiv":
             nxt = F.when(~X.looks_like_label(F.col("n1")) & ~X.is_placeholder_acronym(F.col("n1")) & X.looks_like_label(F.col("n2")), F.col("n1"))
             value = F.coalesce(F.nullif(value, F.lit("")), nxt, F.lit(""))
