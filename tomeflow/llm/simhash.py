@@ -74,7 +74,7 @@ def variants(value: Column, bits: int, tag: Column | None = None) -> Column:
 
 def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of ``values`` under the distance limit: each value is compared with those not reached yet."""
-    left, a, b = np.unique(values), [], []
+    left, a, b = np.unique(values).astype(np.int64).view(np.uint64), [], []  # bit counts of signed numbers ignore the sign
     while len(left):
         stack, left = [left[0]], left[1:]
         while stack and len(left):
@@ -87,7 +87,7 @@ def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 b.append(got)
                 stack.extend(got)
     none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return (np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)) if a else (none, none)
 
 
 def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
