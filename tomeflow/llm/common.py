@@ -34,21 +34,20 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): rows (node, root), root the smallest node reachable.
 
-    Alternates large-star and small-star steps (joins and minima only) until nothing changes; each round is written to the
+    Alternates large-star and small-star steps (joins and minima only) until all that is left are stars; each round is written to the
     shared folder, so neither the plan nor recovery grows with the rounds. Only nodes that occur in an edge are returned.
     Hubs are safe: minima are pre-aggregated and the join on the hub is one Spark can split. Empty edges give an empty table.
     Raises if it has not converged after ``rounds`` rounds (paths double per round, so 60 is far beyond any real input)."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
     for _ in range(rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == last:
+        # done once every node has one edge at most and no node is both a member and a root
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("member"), F.lit(0).alias("root")).union(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("member").alias("m"), F.max("root").alias("r")).where("m + r > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
-        last = tuple(state)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(lower, "u")
-        e = cut(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        met = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+        e = cut(met.select(pair.alias("p")).select("p.u", "p.v").where("u <> v").distinct())
     raise RuntimeError("components have not converged")

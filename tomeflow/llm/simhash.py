@@ -5,7 +5,7 @@ So each distinct fingerprint is indexed under every one-wildcard variant of both
 finds every pair, and the full distance is then verified.
 
 Groups never expand into pairs. A key met once is dropped after a pre-aggregated count; a key met twice is one pair, its minimum
-and maximum; larger groups give at most a spanning forest, found in one pass with whole-array distances. A key with more than
+and maximum; larger groups give one star per connected part, found with whole-array distances. A key with more than
 ``hot`` fingerprints is first cut again by one-wildcard variants of the halves of the *other* segment (they differ in at most 3
 bits, so one half differs in at most one); such a group holds at most 2**18 fingerprints whatever the input, so no task is
 unbounded and no link is lost."""
@@ -73,17 +73,18 @@ def variants(value: Column, bits: int, tag: Column | None = None) -> Column:
 
 
 def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of ``values`` under the distance limit: each value is compared with those not reached yet."""
+    """Edges from the smallest value of each connected part of ``values`` (under the distance limit) to the others. Each value is
+    compared with those not reached yet."""
     left, a, b = np.unique(values).astype(np.int64).view(np.uint64), [], []  # bit counts of signed numbers ignore the sign
     while len(left):
-        stack, left = [left[0]], left[1:]
+        root, stack, left = left[0], [left[0]], left[1:]
         while stack and len(left):
             u = stack.pop()
             near = np.bitwise_count(left ^ u) <= DISTANCE
             if near.any():
                 got = left[near]
                 left = left[~near]
-                a.append(np.full(len(got), u))
+                a.append(np.full(len(got), root))
                 b.append(got)
                 stack.extend(got)
     none = np.zeros(0, np.int64)
