@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import quality, simhash
+from tomeflow.llm import decontaminate, quality, simhash
 from tomeflow.llm.common import learning_row, table
 
 
@@ -15,11 +15,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key").withColumn("contaminated", F.lit(True))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = lambda i: learning_row(i, 5, 0)
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
     return scored.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_near_dedup, op10_quality_classifier)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_near_dedup, op8_benchmark_decontamination, op10_quality_classifier)}
+SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL}
