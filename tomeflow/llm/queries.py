@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, quality, simhash
+from tomeflow.llm import decontaminate, mixing, quality, secrets, simhash
 from tomeflow.llm.common import learning_row, table
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,11 +24,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("row_key").withColumn("contaminated", F.lit(True))
 
 
+def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    return mixing.mix(table(spark, sf_dir, "documents"), topics).drop("text")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = lambda i: learning_row(i, 5, 0)
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
     return scored.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_near_dedup, op8_benchmark_decontamination, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scans, op5_simhash_near_dedup, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier)}
 SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL}
