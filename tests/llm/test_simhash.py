@@ -84,3 +84,11 @@ def test_links_of_random_bits(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
+
+
+def test_one_of_each_keeps_other_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (3, "other words are here now"), (3, "yet another text under one id"), (4, None), (5, ""), (None, "a b c d e f"), (None, "alone without id")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, component_id int")
+    got = sorted(((r.doc_id, r.text, r.component_id) for r in simhash.one_of_each(df).collect()), key=str)
+    want = [(1, "a b c d e f", 7), (3, "other words are here now", 7), (3, "yet another text under one id", 7), (4, None, 7), (None, "alone without id", 7)]
+    assert got == sorted(want, key=str)

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import components
+from tomeflow.llm.common import components, small
 from tomeflow.session import cut
 
 SEED = 42
 WIDTH = 3
 DISTANCE = 3
 HOT = 4096
+#: Ids of dropped rows are broadcast up to this count; beyond it Spark shuffles both sides.
+GONE_ROWS = 500_000
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -121,10 +123,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Rows with equal fingerprints are one node, so exact copies cost nothing. Null and empty texts have fingerprint zero and link
     like any other; repeated rows give repeated results; a null doc_id keeps its row and gets the component of its fingerprint
     (null if no row of it has an id). An empty table gives an empty result; other columns are ignored."""
-    read = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
+    return _placed(docs, text, doc_id, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _placed(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> DataFrame:
+    """row_key (hash of id and text), doc_id, fp, root (a fingerprint of the component), component_id of every row."""
+    read = cut(docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
     nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), hot))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return read.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = placed.join(least, "root").select("fp", "root", "component_id")
+    return read.join(named, "fp")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of near copies, that with the smallest id (of several texts under that id the one with
+    the smallest hash; of equal rows any). Rows of a group without any id all stay. Columns stay as they are.
+
+    Rows to go are met by their hash; they are broadcast only up to ``GONE_ROWS``, else texts pass one shuffle."""
+    found = cut(_placed(docs, text, doc_id).where("component_id is not null").select("row_key", "doc_id", "root", "component_id"))
+    winner = found.where("doc_id = component_id").groupBy("root").agg(F.min("row_key").alias("first"))
+    met = found.groupBy("root", "row_key").agg(F.count("*").alias("n")).join(winner, "root")
+    fate = cut(met.select(F.col("row_key").alias("__key"), (F.col("row_key") != F.col("first")).alias("gone"), "n").where("gone or n > 1").distinct())
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
+    left = keyed.join(small(fate.where("gone").select("__key"), GONE_ROWS), "__key", "left_anti")
+    twice = fate.where("not gone").select("__key")
+    if not twice.isEmpty():
+        once = left.join(small(twice, GONE_ROWS), "__key", "left_anti")
+        left = once.unionByName(left.join(small(twice, GONE_ROWS), "__key", "left_semi").dropDuplicates(["__key"]))
+    return left.drop("__key")
