@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, language, mixing, quality, secrets, simhash, substrings, suffixes
+from tomeflow.llm import decontaminate, embeddings, language, mixing, quality, secrets, simhash, substrings, suffixes
 from tomeflow.llm.common import learning_row, table
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -49,5 +53,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier)}
 SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL}
