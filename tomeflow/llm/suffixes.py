@@ -32,7 +32,7 @@ from tomeflow.session import cut
 WINDOW = 100
 PART = 32
 HOT = 2000
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 500_000
 #: Bytes of phrases a task orders at a time, besides the phrases of one trigger.
 CHUNK = 1 << 22
 LAST = (1 << 63) - 1
