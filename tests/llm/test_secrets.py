@@ -1,0 +1,70 @@
+"""Secret scan: candidates against a plain search, held-back formats, masking, and the edge rows."""
+
+import random
+import re
+
+from tomeflow.llm import secrets
+
+
+def plain_candidates(text):
+    out = []
+    for i, word in enumerate((text or "").split()):
+        for k, m in enumerate(re.finditer(secrets.CANDIDATE, word)):
+            c = re.sub(r"[.:,-]+$", "", m.group())
+            if len(c) >= secrets.LEAST:
+                out.append((i, k, c))
+    return out
+
+
+def fixture():
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmno", k=rnd.randint(2, 9)))
+    vocab = [word() for _ in range(200)]
+    draw = lambda chars, n: "".join(rnd.choices(chars, k=n))
+    real = [lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "password=" + draw("0123456789abcdef", 18), lambda: f'token = "{draw("0123456789abcdef", 40)}"', lambda: "api_key: " + draw("abcXYZ0123456789", 24)]
+    fake = [lambda: draw("0123456789", 16), lambda: f"{rnd.choice(vocab)}{rnd.randint(1, 99)}@mail{rnd.randint(1, 9)}.example.com", lambda: f"https://{rnd.choice(vocab)}.org/{rnd.randint(1, 99)}", lambda: f"{draw('0123456789abcdef', 8)}-{draw('0123456789abcdef', 4)}-4abc-8def-{draw('0123456789abcdef', 12)}"]
+    rows = []
+    for i in range(400):
+        w = rnd.choices(vocab, k=rnd.randint(3, 40))
+        if i % 2:
+            w.insert(rnd.randint(0, len(w)), rnd.choice(real if i % 4 == 1 else fake)())
+        rows.append((i, " ".join(w), "src1"))
+    rows += [(900, None, "s"), (901, "", None), (None, rows[1][1], "s"), (1, rows[1][1], "src1"), (902, "ab " * 50000 + "password=00112233445566778899aa and more", "s")]
+    return rows
+
+
+def test_scan_and_redact(spark):
+    rows = fixture()
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 5) for r in rows], "doc_id long, text string, source string, n_chars int, score int")
+    got = secrets.scan(df).collect()
+    assert sorted(((r.doc_id, r.word_no, r.part, r.candidate) for r in got), key=str) == sorted(((i, *c) for i, t, _ in rows for c in plain_candidates(t)), key=str)
+    assert all(r.is_secret == bool(r.label) for r in got if r.label is not None) and all(0 <= r.score <= 1 for r in got)
+    assert any(r.doc_id == 902 and r.is_secret for r in got)
+    found = {r.candidate for r in got if r.is_secret}
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    by_id = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+    want = []
+    for i, t, _ in rows:
+        for c in sorted({c for _, _, c in plain_candidates(t)} & found, key=lambda c: (-len(c), c)):
+            t = t.replace(c, "[SECRET]")
+        want.append((i, t, len(t or "")))
+    assert by_id == sorted(want, key=str)
+
+
+def test_forest_generalises_from_given_labels(spark):
+    rows = fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    all_ = secrets.scan(df).collect()
+    told = [(r.candidate, int(r.label)) for r in all_ if r.label is not None and (r.doc_id or 0) % 3]
+    labelled = spark.createDataFrame(told, "candidate string, label int")
+    truth = {r.candidate: bool(r.label) for r in all_ if r.label is not None and r.candidate not in dict(told)}
+    got = {r.candidate: r.is_secret for r in secrets.scan(df, labelled=labelled).collect() if r.candidate in truth}
+    assert len(truth) > 20 and sum(got[c] == t for c, t in truth.items()) / len(truth) > 0.9
+
+
+def test_nothing_to_learn_from(spark):
+    one = spark.createDataFrame([(1, "password=0a1b2c3d4e5f60718293", "s")], "doc_id long, text string, source string")
+    assert [(r.score, r.is_secret) for r in secrets.scan(one).collect()] == [(1.0, True)]
+    assert secrets.scan(one.limit(0)).count() == 0 and secrets.redact(one.limit(0)).count() == 0
+    assert [r.text for r in secrets.redact(one).collect()] == ["password=[SECRET]"]
