@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tomeflow.functions import text as X
+from tomeflow.operators import audit
 from tomeflow.operators import compare as C
 from tomeflow.operators import ordered, quality, search, segment, templates, trees
+from tomeflow.session import checkpoint_dir
 from tomeflow.sources import readers, sinks
+from tomeflow.streaming import audit as streams
 
 SUB = "id string, section_id string, `order` int, name string, tag string, body string"
 
@@ -20,28 +23,28 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_scan_equals_brute_force(spark, monkeypatch, hot_rows):
-    """One key holds a third of all rows; chunked and plain ways must both equal a Python loop."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", hot_rows)
+@pytest.mark.parametrize("size", [7, 4096])
+def test_scan_equals_brute_force(spark, size):
+    """One key holds a third of all rows, one key is null, and a key's first place may be null; must equal a Python loop."""
     rnd = random.Random(7)
     data = []
-    for key, n in [("hot", 60)] + [(f"k{i}", rnd.randint(1, 9)) for i in range(24)]:
-        data += [(key, pos, rnd.choice([None, rnd.randint(0, 50)])) for pos in range(1, n + 1)]
+    for key, n in [("hot", 60), (None, 20)] + [(f"k{i}", rnd.randint(1, 9)) for i in range(24)]:
+        first = rnd.choice([None, 1])
+        data += [(key, pos if pos > 1 else first, rnd.choice([None, rnd.randint(0, 50)])) for pos in range(1, n + 1)]
     df = spark.createDataFrame(data, "k string, pos int, v int")
     v = F.col("v")
     got = ordered.scan(
-        df, ["k"], ["pos"], ordered.chunk_of("pos", 7), a=ordered.lag(v), b=ordered.lead(v), c=ordered.last_before(v), d=ordered.last_upto(v),
+        df, ["k"], ["pos"], ordered.chunk_of("pos", size), a=ordered.lag(v), b=ordered.lead(v), c=ordered.last_before(v), d=ordered.last_upto(v),
         e=ordered.first_after(v), f=ordered.running_sum(v), g=ordered.max_before(v), n=ordered.row_number(),
     )
-    want = []
+    want, first_of = [], {d[0]: d[1] for d in reversed(data)}
     for key in {d[0] for d in data}:
         vs = [d[2] for d in data if d[0] == key]
         for i, x in enumerate(vs):
             full = lambda xs: [y for y in xs if y is not None]
             before, after = full(vs[:i]), full(vs[i + 1 :])
             upto = full(vs[: i + 1])
-            want.append((key, i + 1, vs[i - 1] if i else None, vs[i + 1] if i + 1 < len(vs) else None, before[-1] if before else None,
+            want.append((key, i + 1 if i else first_of[key], vs[i - 1] if i else None, vs[i + 1] if i + 1 < len(vs) else None, before[-1] if before else None,
                          upto[-1] if upto else None, after[0] if after else None, sum(upto), max(before) if before else None, i + 1))
     have = [tuple(r[c] for c in ("k", "pos", "a", "b", "c", "d", "e", "f", "g", "n")) for r in got.collect()]
     assert sorted(have, key=str) == sorted(want, key=str)
@@ -169,8 +172,61 @@ def test_files(spark, tmp_path):
 
 def test_registry_and_plans(spark):
     q, sql = entry.queries(), entry.oracle_sql()
-    assert set(q) == set(sql) and len(q) >= 170
+    assert set(q) - set(entry.LLM_QUERIES) == set(sql) - set(entry.LLM_SQL) and set(sql) <= set(q) and len(q) >= 170
     for name in ("broken_links", "edits_per_user_doc", "union_heading_errors", "access_matrix", "carry_over_classes"):
         plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan, name
     assert entry.entry(spark).count() == 150
+
+
+def test_stream_equals_batch_on_a_folder_with_late_events(spark, tmp_path):
+    """Two runs over a folder of part files; the second brings events days older than the first's."""
+    days = ["2024-01-05 10:00:00", "2024-01-05 11:00:00", "2024-01-09 08:00:00", "2024-01-02 07:00:00", "2024-01-05 12:00:00"]
+    rows = [(i, f"o{i % 2}", d) for i, d in enumerate(days)]
+    schema = "id bigint, label string, datetime timestamp"
+    table, out = f"{tmp_path}/events.parquet", f"{tmp_path}/daily"
+    label = lambda e: e.select("id", F.lit("Document").alias("object_type"), F.col("label").alias("description"), "datetime")
+
+    def put(part):
+        df = spark.createDataFrame(part, "id bigint, label string, at string").select("id", "label", F.col("at").cast("timestamp").alias("datetime"))
+        df.write.mode("append").parquet(table)
+        streams.dedup_daily(streams.follow(spark, table, df.schema), label, out, f"{tmp_path}/state").awaitTermination()
+
+    put(rows[:3])
+    put(rows[3:])
+    cols = ("object_type", "description", "day", "id", "datetime", "first_at")
+    want = rows_sorted(audit.dedup_daily(label(spark.read.schema(schema).parquet(table))), cols)
+    assert len(want) == 4 and rows_sorted(streams.daily(spark, out), cols) == want
+    streams.compact(spark, out, f"{tmp_path}/folded")
+    assert rows_sorted(streams.daily(spark, f"{tmp_path}/folded"), cols) == want
+
+
+def rows_sorted(df, cols):
+    return sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Cluster)
+
+
+def test_checklist_children_of_one_hot_key(spark):
+    """A third of the rows in one key; must equal a plain loop."""
+    rnd = random.Random(2)
+    data = [(k, i, rnd.choice([None, 0, 1, 2, 3])) for k, n in [("hot", 60), *((f"k{j}", 6) for j in range(20))] for i in range(n)]
+    got = {(r.k, r.pos): r.is_child for r in segment.checklist_children(spark.createDataFrame(data, "k string, pos int, indent int"), ["k"]).collect()}
+    for key in {d[0] for d in data}:
+        low, prev, begun = None, None, False
+        for _, pos, x in (d for d in data if d[0] == key):
+            low = x if low is None else min(low, x if x is not None else low)
+            deep = x is not None and x > low
+            begun = deep and (begun or (prev is not None and prev < x))
+            assert got[key, pos] == begun, (key, pos)
+            prev = x

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tomeflow import fixed_values as V
 from tomeflow.functions import changes as C
@@ -11,7 +12,7 @@ from tomeflow.functions import text as X
 from tomeflow.operators import ordered
 
 CREATE, UPDATE, DELETE = 1, 2, 3
-DAY_MINUTES = 1440
+HOUR_MINUTES = 60
 
 
 def noise_filter(events: DataFrame) -> DataFrame:
@@ -25,15 +26,16 @@ def noise_filter(events: DataFrame) -> DataFrame:
 def with_document(events: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Attach each event to its document, also for deleted subsections whose stored JSON names the section.
 
-    The section an event points at is read once, so the log meets ``sections`` in a single equi join.
+    Events of documents carry their document and meet no section; the others meet ``sections`` in one equi join.
     """
+    known = docs.select(F.col("id").alias("document_id"))
+    own = events.filter("model = 'document'").withColumn("document_id", F.col("object_id"))
     inside = F.get_json_object("object_json_repr", "$[0].fields.section")
-    ref = F.when(F.col("model") == "section", F.col("object_id")).when(F.col("model") == "subsection", inside)
-    s = sections.select(F.col("id").alias("section_ref"), F.col("document_id").alias("__of_section"))
-    rows = events.withColumn("section_ref", ref).join(s, "section_ref", "left")
-    doc = F.when(F.col("model") == "document", F.col("object_id")).otherwise(F.col("__of_section"))
-    rows = rows.withColumn("document_id", doc).drop("__of_section", "section_ref").filter(F.col("document_id").isNotNull())
-    return rows.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    ref = F.when(F.col("model") == "section", F.col("object_id")).otherwise(inside)
+    s = sections.select(F.col("id").alias("section_ref"), "document_id")
+    below = events.filter("model IN ('section', 'subsection')").withColumn("section_ref", ref).filter("section_ref IS NOT NULL")
+    rows = own.unionByName(below.join(s, "section_ref").select(*own.columns))
+    return rows.join(known, "document_id", "left_semi")
 
 
 def union_events(events: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
@@ -84,20 +86,25 @@ def priority() -> Column:
     return F.when(C.action() == "import", 0).when(t.isin(CREATE, UPDATE, DELETE), t).otherwise(4)
 
 
+def _newest_first(history: DataFrame) -> DataFrame:
+    return history.withColumn("__m", -F.floor(F.unix_seconds("datetime") / 60)).withColumn("__p", -priority())
+
+
 def history_order(history: DataFrame) -> DataFrame:
     """Newest-first position of every event inside its document's history."""
-    rows = history.withColumn("__m", -F.floor(F.unix_seconds("datetime") / 60)).withColumn("__p", -priority())
-    chunk = F.floor(F.col("__m") / DAY_MINUTES)
-    placed = ordered.scan(rows, ["document_id"], ["__m", "__p", "id"], chunk, position=ordered.row_number())
+    chunk = F.floor(F.col("__m") / HOUR_MINUTES)
+    placed = ordered.scan(_newest_first(history), ["document_id"], ["__m", "__p", "id"], chunk, position=ordered.row_number())
     return placed.drop("__m", "__p")
 
 
 def history_page(history: DataFrame, offset: int = 0, limit: int = 25) -> DataFrame:
-    """One page of every document's history with ``has_more`` and the next offset."""
-    totals = history.groupBy("document_id").agg(F.count("*").alias("__n"))
-    rows = history_order(history).filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
-    more = (F.col("__n") > offset + limit).alias("has_more")
-    return rows.join(totals, "document_id").select(*rows.columns, more, F.lit(offset + limit).alias("next_offset"))
+    """One page of every document's history with ``has_more`` and the next offset. The rank is bounded, so Spark drops rows
+    beyond the page (and one more, which tells of a next page) before they are shuffled."""
+    rank = F.row_number().over(W.partitionBy("document_id").orderBy("__m", "__p", "id"))
+    rows = _newest_first(history).withColumn("position", rank.cast("long")).filter(F.col("position") <= offset + limit + 1)
+    more = rows.filter(F.col("position") == offset + limit + 1).select("document_id", F.lit(True).alias("__more"))
+    page = rows.filter((F.col("position") > offset) & (F.col("position") <= offset + limit)).join(more, "document_id", "left")
+    return page.select(*history.columns, "position", F.coalesce("__more", F.lit(False)).alias("has_more"), F.lit(offset + limit).alias("next_offset"))
 
 
 def dedup_daily(labelled: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Ordered windows that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. ``scan`` first asks, with a count per key (one
-column, combined map-side), whether any key is that large. If none is, a plain window does the work in one pass. If
-one is, each key is cut into chunks by a monotone expression of the ordering column: rows are windowed inside their
-chunk, each chunk is reduced to one carry row, the carries are windowed per key, and a join hands every chunk what came
-before and after it. A key of n rows then costs one task at most n / chunk-size carry rows. Both ways give equal rows.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. ``scan`` cuts each key into chunks by a monotone
+expression of the ordering columns: rows are windowed inside their chunk, each chunk is reduced to one carry row, the
+carries are windowed per key, and a join hands every chunk what came before and after it. A key of n rows then costs
+one task at most n / chunk-size carry rows. There is one plan for every size and no job runs while it is built. Null keys
+form a key of their own; a null order value sorts first and is in the first chunk.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 CHUNK_ROWS = 4096
-HOT_ROWS = 1_000_000
 _CHUNK = "__chunk"
 
 
@@ -70,16 +69,10 @@ def chunk_of(order: str, size: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(order) / size)
 
 
-def has_hot_key(df: DataFrame, keys: list[str], rows: int) -> bool:
-    """Does any key hold more than ``rows`` rows? A job on the key columns alone."""
-    return not df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows).isEmpty()
-
-
 def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, /, **specs: Spec) -> DataFrame:
     """Add one column per spec. ``chunk`` must never decrease along ``order`` within a key."""
-    chunked = has_hot_key(df, keys, HOT_ROWS)
-    src = df.withColumn(_CHUNK, chunk) if chunked else df
-    parts = [*keys, _CHUNK] if chunked else keys
+    src = df.withColumn(_CHUNK, chunk)
+    parts = [*keys, _CHUNK]
     boxed = {n: F.struct(s.expr.alias("v")) if s.kind in ("lag", "lead") else s.expr for n, s in specs.items()}
     for n, e in boxed.items():
         src = src.withColumn(f"__in_{n}", e)
@@ -126,11 +119,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, /, **s
 
     kept = [c for c in df.columns if c not in specs]
     rows = src.select("*", *[c.alias(n) for n, c in here.items()])
-    if not chunked:
-        unbox = {n: F.col(n)["v"] if s.kind in ("lag", "lead") else F.col(n) for n, s in specs.items()}
-        unbox |= {n: F.coalesce(F.col(n), F.lit(0)) for n, s in specs.items() if s.kind == "running_sum"}
-        return rows.select(*kept, *[c.alias(n) for n, c in unbox.items()])
     carries = src.groupBy(*keys, _CHUNK).agg(*reduce_)
-    carries = carries.select(*keys, _CHUNK, *[c.alias(f"__carry_{n}") for n, c in carry.items()])
-    joined = rows.join(carries, [*keys, _CHUNK], "left")
+    at = {c: f"__at_{i}" for i, c in enumerate(parts)}  # keys and chunks may be null
+    carries = carries.select(*[F.col(c).alias(a) for c, a in at.items()], *[c.alias(f"__carry_{n}") for n, c in carry.items()])
+    same = [F.col(c).eqNullSafe(F.col(a)) for c, a in at.items()]
+    joined = rows.join(carries, same, "left")
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])

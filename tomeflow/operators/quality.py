@@ -190,9 +190,13 @@ def readability_goals(metrics: DataFrame, key: str, goals: DataFrame) -> DataFra
 
 
 def image_usage(images: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each image key with every unarchived document using it, one row per use (an unused image keeps one row)."""
+    """Each image key with every unarchived document using it, one row per use (an unused image keeps one row).
+
+    An inner join, whose hot keys Spark can split on either side, and the unused images beside it."""
     d = docs.filter(F.col("archived").isNull()).select(F.col("cover_image").alias("key"), F.col("id").alias("document_id"), "title", "status")
-    return images.select("key").join(d, "key", "left")
+    used = images.select("key").join(d, "key")
+    unused = images.select("key").join(d.select("key").distinct(), "key", "left_anti")
+    return used.unionByName(unused, allowMissingColumns=True)
 
 
 def field_value_mentions(tree: DataFrame, docs: DataFrame, field: str) -> DataFrame:

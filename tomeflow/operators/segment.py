@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tomeflow.operators import ordered
 from tomeflow.functions import text as X
 from tomeflow.operators.filters import section_page_flag
 
@@ -420,14 +421,15 @@ def checklist_children(rows: DataFrame, key: list[str]) -> DataFrame:
     A child run starts at a checkbox row indented deeper than the checkbox row right before it, goes on while rows stay
     deeper than the smallest indent so far, and ends at any other row. ``key`` names one table, a part of one document.
     """
-    w = W.partitionBy(*key).orderBy("pos")
-    base = F.min("indent").over(w.rowsBetween(W.unboundedPreceding, 0))
-    starts = F.lag("indent").over(w) < F.col("indent")
-    deep = F.col("indent").isNotNull() & (F.col("indent") > base)
-    r = rows.withColumn("deep", F.coalesce(deep, F.lit(False))).withColumn("starts", F.coalesce(starts, F.lit(False)))
-    r = r.withColumn("island", F.sum((~F.col("deep")).cast("int")).over(w))
-    begun = F.max((F.col("deep") & F.col("starts")).cast("int")).over(W.partitionBy(*key, "island").orderBy("pos"))
-    return r.withColumn("is_child", F.col("deep") & (begun == 1)).drop("deep", "starts", "island")
+    chunk = ordered.chunk_of("pos")
+    r = ordered.scan(rows, key, ["pos"], chunk, __before=ordered.lag(F.col("indent")), __low=ordered.max_before(-F.col("indent")))
+    deep = F.coalesce(F.col("indent") > -F.col("__low"), F.lit(False))
+    begins = deep & F.coalesce(F.col("__before") < F.col("indent"), F.lit(False))
+    r = r.withColumn("__deep", deep).withColumn("__begins", begins)
+    begun, broken = ordered.last_upto(F.when(F.col("__begins"), F.col("pos"))), ordered.last_upto(F.when(~F.col("__deep"), F.col("pos")))
+    r = ordered.scan(r, key, ["pos"], chunk, __begun=begun, __broken=broken)
+    child = F.col("__deep") & F.coalesce(F.col("__begun") > F.col("__broken"), F.col("__begun").isNotNull())
+    return r.withColumn("is_child", child).select(*rows.columns, "is_child")
 
 
 def sublist_rows(cells: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ def _(r):
     return r.events.select("id", C.action().alias("action"), C.print_mode().alias("print_mode"), last.alias("last_status"), F.array_join(keys, ",").alias("keys"))
 
 
-@query("events_for_document", f"WITH {HIST} SELECT id, model, document_id FROM hist WHERE model = 'subsection'", ALL)
+@query("events_for_document", f"WITH {HIST} SELECT id, model, document_id FROM hist", ALL)
 def _(r):
-    rows = A.with_document(r.events.filter("model = 'subsection'"), r.documents, r.sections)
+    rows = A.with_document(r.events, r.documents, r.sections)
     return A.noise_filter(rows).select("id", "model", "document_id")
 
 
@@ -69,9 +69,12 @@ def _(r):
     return A.event_labels(r.events, r.tree)
 
 
-@query("dedup_events_daily", f"""WITH lab AS ({_LABEL.replace('WITH ', 'WITH ', 1)})
+DAILY = f"""WITH lab AS ({_LABEL})
   SELECT object_type, description, cast(datetime AS date) AS day, max_by(id, (datetime, id)) AS id, max(datetime) AS datetime, min(datetime) AS first_at
-  FROM lab GROUP BY ALL""", ("r_events", "r_tree"))
+  FROM lab GROUP BY ALL"""
+
+
+@query("dedup_events_daily", DAILY, ("r_events", "r_tree"))
 def _(r):
     return A.dedup_daily(A.event_labels(r.events, r.tree))
 

@@ -137,16 +137,15 @@ def _(r):
 
 
 def _stream(r):
-    raw = SA.follow(r.spark, r.root, r.table("events").schema, "events.parquet")
+    raw = SA.follow(r.spark, f"{r.root.rstrip('/')}/events.parquet", r.table("events").schema)
     return raw.selectExpr(*_split(R.EVENTS)).withColumn("datetime", F.col("datetime").cast("timestamp"))
 
 
-@query("stream_dedup_events_daily", """SELECT cast(datetime AS date) AS day, model, object_repr, max_by(id, (datetime, id)) AS id, max(datetime) AS datetime FROM r_events
-  GROUP BY ALL HAVING cast(cast(datetime AS date) + INTERVAL 1 DAY AS timestamp) <= (SELECT max(datetime) - INTERVAL 1 DAY FROM r_events)""".replace("HAVING cast(cast(datetime AS date)", "HAVING cast(any_value(cast(datetime AS date))"), ("r_events",))
+@query("stream_dedup_events_daily", PA.DAILY, ("r_events", "r_tree"))
 def _(r):
     out = scratch(r, "daily")
-    SA.write_final(SA.dedup_daily(_stream(r)), out, f"{out}-state").awaitTermination()
-    return r.spark.read.schema("day date, model string, object_repr string, id bigint, datetime timestamp").parquet(out)
+    SA.dedup_daily(_stream(r), lambda e: A.event_labels(e, r.tree), out, f"{out}-state").awaitTermination()
+    return SA.daily(r.spark, out)
 
 
 @query("stream_touch_updated", f"""WITH {PA.HIST} SELECT document_id, max(datetime) AS updated, max_by(user_id, (datetime, id)) AS updated_by FROM linked

@@ -30,7 +30,6 @@ def _split(projection: str) -> list[str]:
 class Roles:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.root, name)

@@ -148,7 +148,7 @@ def _diff(r):
     blocks = cut(PS.units(r).select("doc_id", "unit", "tag", "text"))
     old = blocks.select("doc_id", F.col("unit").alias("pos"), "tag", "text")
     new = blocks.filter("unit % 7 <> 3").selectExpr("doc_id", "unit + CASE WHEN unit % 9 = 4 THEN 3 ELSE 0 END AS p0", "tag", f"{_EDITED} AS text", "unit")
-    new = ordered.scan(new, ["doc_id"], ["p0", "unit"], F.lit(0), pos=ordered.row_number())
+    new = ordered.scan(new, ["doc_id"], ["p0", "unit"], ordered.chunk_of("p0"), pos=ordered.row_number())
     return C.block_diff(old, new.select("doc_id", "pos", "tag", "text"))
 
 

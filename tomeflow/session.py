@@ -1,4 +1,4 @@
-"""Session defaults. Every setting is a hint; a cluster's own configuration wins when it is set."""
+"""Session defaults for tests and the bench, and the shared folder for tables written on the way."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tomeflow", cores: str | None = None) -> SparkSession:
-    """Local session for tests and the bench. On a cluster, pass the session you already have."""
+    """Local session for tests and the bench; a session that is already there is used as it is. On a cluster, pass the
+    session you have: nothing in the library changes its settings."""
+    if (running := SparkSession.getActiveSession()) is not None:
+        return running
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -29,12 +32,16 @@ def get_spark(app: str = "tomeflow", cores: str | None = None) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """A folder of this application inside the shared one that ``spark.checkpoint.dir`` names. Without that setting a
+    temporary folder serves a local master; any other master raises, as executors would each write to their own disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
