@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tomeflow.functions import links, markup
 from tomeflow.functions import text as X
 from tomeflow.operators import audit
 from tomeflow.operators import compare as C
@@ -230,3 +231,36 @@ def test_checklist_children_of_one_hot_key(spark):
             begun = deep and (begun or (prev is not None and prev < x))
             assert got[key, pos] == begun, (key, pos)
             prev = x
+
+
+def test_segmentation_keeps_all_text(spark):
+    html = {
+        "stray": "<p>ages < 18 are eligible &nbsp;now &amp; then &#8217;s &#xE9; &amp;lt;</p>",
+        "quote": '<p title="x>y" class=\'a b\'>attr</p><p ID=first>id</p>',
+        "after": "<p>in</p>bare<div><table><tr><td><p>a</p>tail</td></tr></table></div>",
+    }
+    raw = spark.createDataFrame(list(html.items()), "doc_id string, html string")
+    got = {}
+    for r in segment.blocks(segment.html_tokens(raw)).orderBy("doc_id", "seg").collect():
+        got.setdefault(r.doc_id, []).append((r.tag, r.text))
+    assert [t for _, t in got["stray"]] == ["ages < 18 are eligible now & then ’s é &lt;"]
+    assert got["quote"] == [("p", "attr"), ("p", "id")]
+    assert [x for x in got["after"] if x[1]] == [("p", "in"), ("p", "bare"), ("p", "a"), ("p", "tail")]
+    cells = {r.doc_id: r.text for r in segment.units(segment.blocks(segment.html_tokens(raw))).filter("tag = 'table'").collect()}
+    assert cells["after"] == "a tail"
+    ids = segment.html_tokens(raw).select(markup.attribute("attrs", "id").alias("i"), markup.attribute("attrs", "class").alias("c")).collect()
+    assert {r.i for r in ids} == {"", "first"} and {r.c for r in ids} == {"", "a b"}
+
+
+def test_links_with_titles_brackets_quotes_and_markup(spark):
+    body = (
+        """[a](https://x.org/1 "t") ![img](https://x.org/i.png) [b [c]](<https://x.org/2>) <https://x.org/3> <a HREF='https://x.org/4'><em>d</em> e</a> """
+        """<a id="n" href=https://x.org/5>f</a> <a name="x">no</a> <a title="1>0" href="https://x.org/6">g</a>"""
+    )
+    df = spark.createDataFrame([(body,)], "body string")
+    got = [(x.url, x.link_text) for x in df.select(links.found(F.col("body")).alias("l")).first().l]
+    assert got == [
+        ("https://x.org/1", "a"), ("https://x.org/2", "b [c]"), ("https://x.org/3", "https://x.org/3"), ("https://x.org/4", "d e"), ("https://x.org/5", "f"), ("https://x.org/6", "g"),
+    ]
+    html = spark.createDataFrame([(1, "<p><a><strong>bold</strong> text</a><a id='k'>named</a><a class=\"c\">plain</a><abbr>x</abbr></p>")], "k int, html string")
+    assert sorted(r.link_text for r in quality.hrefless_links(html, "k", "html").collect()) == ["bold text", "plain"]

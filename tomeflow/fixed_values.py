@@ -104,3 +104,11 @@ METADATA_LABELS = [
 COMPARED_FIELDS = [
     "title", "number", "opdiv", "agency", "subagency", "subagency2", "application_deadline", "tagline",
 ]
+
+# Named character references of HTML that are replaced in text; &amp; comes after all others.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘",
+    "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "copy": "©", "reg": "®", "trade": "™", "sect": "§", "para": "¶", "deg": "°",
+    "times": "×", "divide": "÷", "plusmn": "±", "frac12": "½", "frac14": "¼", "frac34": "¾", "cent": "¢", "pound": "£", "euro": "€", "eacute": "é",
+    "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß",
+}

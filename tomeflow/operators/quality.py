@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomeflow import fixed_values as V
 from tomeflow.functions import links as L
+from tomeflow.functions.markup import TAG, attribute
 from tomeflow.functions import readability as R
 from tomeflow.functions import text as X
 from tomeflow.operators import trees
@@ -40,7 +41,7 @@ def per_document(per_section: DataFrame, sections: DataFrame, *sums: str) -> Dat
 
 def links(subsections: DataFrame) -> DataFrame:
     """Every link of every body."""
-    rows = subsections.filter(F.col("body").contains("](") | F.col("body").contains("href=")).select("id", "section_id", "body")
+    rows = subsections.filter(F.col("body").contains("](") | F.col("body").rlike("(?i)href\\s*=|<https?://")).select("id", "section_id", "body")
     return rows.select("id", "section_id", F.explode(L.found(F.col("body"))).alias("l")).select("id", "section_id", "l.*")
 
 
@@ -56,7 +57,8 @@ def document_ids(subsections: DataFrame, sections: DataFrame) -> DataFrame:
 
     Ids are made distinct per section before the join to documents, then per document.
     """
-    inline = F.regexp_extract_all("body", F.lit(r'\sid="([^"]+)"'), F.lit(1))
+    tags = F.regexp_extract_all("body", F.lit(r"""(?is)<[a-z][a-z0-9]*(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), F.lit(1))
+    inline = F.filter(F.transform(tags, lambda t: attribute(t, "id")), lambda x: x != "")
     own = F.filter(F.array("html_id"), lambda x: x != "")
     below = subsections.select("section_id", F.explode(F.concat(own, inline)).alias("ref")).distinct().join(_section_docs(sections), "section_id")
     top = sections.select("document_id", F.col("html_id").alias("ref"))
@@ -248,9 +250,10 @@ def missing_required(required: Column, body: Column) -> Column:
 
 def hrefless_links(html: DataFrame, key: str, column: str) -> DataFrame:
     """Anchors with visible text and neither href, id nor name."""
-    whole = F.regexp_extract_all(column, F.lit(r"<a(?:\s[^>]*)?>[^<]*</a>"), F.lit(0))
+    opening = r"""<a((?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?)>"""
+    whole = F.regexp_extract_all(column, F.lit(f"(?is){opening}.*?</a>"), F.lit(0))
     rows = html.select(key, F.posexplode(whole).alias("nth", "a"))
-    tag, text = F.regexp_extract("a", r"^<a([^>]*)>", 1), F.trim(F.regexp_extract("a", r">([^<]*)<", 1))
+    tag, text = F.regexp_extract("a", f"(?is)^{opening}", 1), F.trim(F.regexp_replace("a", TAG, ""))
     named = tag.rlike(r"(?i)\s(href|id|name)\s*=")
     return rows.filter((text != "") & ~named).select(key, "nth", text.alias("link_text"))
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tomeflow.operators import ordered
+from tomeflow.functions import markup as M
 from tomeflow.functions import text as X
 from tomeflow.operators.filters import section_page_flag
 
-TOKEN = r"(?s)<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)"
+#: A tag, its attributes (which may hold ">" in quotes) and the text up to the next tag; a "<" that opens no tag is text.
+TOKEN = r"""(?s)<(/?[a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>([^<]*+(?:<(?![/a-zA-Z])[^<]*+)*+)"""
 HIDDEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
 STARTS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "tr", "table", "hr", "ul", "ol", "div", "img"]
 CLOSES = ["/" + t for t in STARTS if t not in ("hr", "img")]
@@ -32,13 +34,16 @@ def _unit():
     return W.partitionBy("doc_id").orderBy("unit")
 
 
-def html_tokens(raw: DataFrame, html: str = "html") -> DataFrame:
-    """Ordered tags with attributes and the text after them; comments, scripts and styles removed; depth by open minus close."""
+def html_tokens(raw: DataFrame, html: str = "html", spread: bool = True) -> DataFrame:
+    """Ordered tags with attributes and the decoded text after them; comments, scripts and styles removed.
+
+    With ``spread`` pages are dealt out by id, once, for windows per page to come; readers of single tags need no shuffle."""
     clean = F.regexp_replace(html, HIDDEN, "")
-    rows = raw.select("doc_id", clean.alias("h")).repartition("doc_id")
+    rows = raw.select("doc_id", clean.alias("h"))
+    rows = rows.repartition("doc_id") if spread else rows
     rows = rows.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(TOKEN), F.lit(0))).alias("pos", "m"))
     tag = F.lower(F.regexp_extract("m", TOKEN, 1))
-    return rows.select("doc_id", "pos", tag.alias("tag"), F.regexp_extract("m", TOKEN, 2).alias("attrs"), F.regexp_extract("m", TOKEN, 3).alias("text"))
+    return rows.select("doc_id", "pos", tag.alias("tag"), F.regexp_extract("m", TOKEN, 2).alias("attrs"), M.decoded(F.regexp_extract("m", TOKEN, 3)).alias("text"))
 
 
 def with_depth(tokens: DataFrame) -> DataFrame:
@@ -48,7 +53,8 @@ def with_depth(tokens: DataFrame) -> DataFrame:
 
 
 def blocks(tokens: DataFrame) -> DataFrame:
-    """Runs of text under one block tag, each with its table and table-row number (0 outside tables)."""
+    """Runs of text under one block tag, each with its table and table-row number (0 outside tables). Text after a closing
+    block tag is a paragraph of its own, inside the table it stands in."""
     tag = F.col("tag")
     opens = F.sum(F.when(tag == "table", 1).otherwise(0)).over(_tok())
     closes = F.sum(F.when(tag == "/table", 1).otherwise(0)).over(_tok())
@@ -64,7 +70,9 @@ def blocks(tokens: DataFrame) -> DataFrame:
         F.min_by("tbl", "pos").alias("tbl"), F.min_by("tr", "pos").alias("tr"),
         X.squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "")).alias("text"),
     )
-    return out.filter(~F.col("tag").startswith("/") & (F.col("tag").isin(STARTS)))
+    after = F.col("tag").startswith("/")
+    out = out.filter(F.col("tag").isin(STARTS) | (after & (F.col("text") != "")))
+    return out.withColumn("attrs", F.when(after, "").otherwise(F.col("attrs"))).withColumn("tag", F.when(after, "p").otherwise(F.col("tag")))
 
 
 def units(blocks_: DataFrame) -> DataFrame:
@@ -110,7 +118,7 @@ def assign_sections(units_: DataFrame) -> DataFrame:
 
 
 def sections(assigned: DataFrame) -> DataFrame:
-    id_ = F.regexp_extract("attrs", r'\bid="([^"]*)"', 1)
+    id_ = M.attribute("attrs", "id")
     return assigned.filter("is_section").select("doc_id", F.col("section").alias("order"), F.col("text").alias("name"), id_.alias("html_id"), section_page_flag(F.col("text")).alias("has_section_page"))
 
 
@@ -152,7 +160,7 @@ def assign_subsections(assigned: DataFrame) -> DataFrame:
     tag = F.when(keyed, "h4").when(F.col("f.level") == "h1", lower).otherwise(own)
     return g.select(
         "doc_id", "section", "order", F.coalesce(name, F.lit("")).alias("name"), F.coalesce(tag, F.lit("")).alias("tag"),
-        F.when(F.col("f.is_head"), F.regexp_extract("f.attrs", r'\bid="([^"]*)"', 1)).otherwise("").alias("html_id"),
+        F.when(F.col("f.is_head"), M.attribute("f.attrs", "id")).otherwise("").alias("html_id"),
         F.col("f.is_callout").alias("callout_box"), "body",
     )
 
@@ -230,7 +238,7 @@ def detect_endnotes(tokens: DataFrame) -> DataFrame:
         F.max(F.when(F.col("tag") == "ol", F.struct("pos", "li_attrs"))).alias("ol"),
     )
     by_hr = F.col("hr.pos").isNotNull() & ~F.col("hr.attrs").contains("style=")
-    by_ol = F.coalesce(F.col("ol.li_attrs").rlike(r'\bid="(footnote|endnote)'), F.lit(False))
+    by_ol = F.coalesce(M.attribute(F.col("ol.li_attrs"), "id").rlike("^(footnote|endnote)"), F.lit(False))
     kind = F.when(by_hr, "rule").when(by_ol, "list")
     out = g.filter(~F.col("has")).withColumn("kind", kind).filter("kind IS NOT NULL")
     return out.select("doc_id", "kind", F.when(F.col("kind") == "rule", F.col("hr.pos")).otherwise(F.col("ol.pos")).alias("pos"))
@@ -284,7 +292,7 @@ def table_shape(cells: DataFrame) -> DataFrame:
 
 
 def images(tokens: DataFrame) -> DataFrame:
-    return tokens.filter("tag = 'img'").withColumn("src", F.regexp_extract("attrs", r'\bsrc="([^"]*)"', 1))
+    return tokens.filter("tag = 'img'").withColumn("src", M.attribute("attrs", "src"))
 
 
 def missing_alt_text(tokens: DataFrame) -> DataFrame:
@@ -305,8 +313,8 @@ def unwrap_tracking(url: Column) -> Column:
 
 
 def anchors(tokens: DataFrame) -> DataFrame:
-    href = F.regexp_extract("attrs", r'\bhref="([^"]*)"', 1)
-    id_ = F.regexp_extract("attrs", r'\b(?:id|name)="([^"]*)"', 1)
+    href = M.attribute("attrs", "href")
+    id_ = M.attribute("attrs", "id", "name")
     return tokens.filter("tag = 'a'").withColumn("href", href).withColumn("anchor_id", id_)
 
 
@@ -315,7 +323,7 @@ def merge_adjacent_links(tokens: DataFrame) -> DataFrame:
     tag = F.col("tag")
     prev_tag, prev_text = F.lag("tag").over(_tok()), F.lag("text").over(_tok())
     prev2 = F.lag("attrs", 2).over(_tok())
-    href = lambda a: F.regexp_extract(a, r'\bhref="([^"]*)"', 1)
+    href = lambda a: M.attribute(a, "href")
     rows = tokens.withColumn("space", prev_text).withColumn(
         "follows", (tag == "a") & (prev_tag == "/a") & (F.trim(prev_text) == "") & (F.lag("tag", 2).over(_tok()) == "a") & (href(F.col("attrs")) == href(prev2)) & (href(F.col("attrs")) != "")
     ).filter("tag = 'a'")
@@ -334,7 +342,7 @@ def resolve_anchors(tokens: DataFrame) -> DataFrame:
     and links to ids that exist nowhere are marked ``#__id``."""
     block = F.last(F.when(F.col("tag").isin(HEADINGS + ["p", "td", "th", "li"]), F.col("pos")), True).over(_tok().rowsBetween(W.unboundedPreceding, 0))
     rows = tokens.withColumn("block_pos", block)
-    ids = rows.withColumn("id", F.regexp_extract("attrs", r'\b(?:id|name)="([^"]*)"', 1)).filter("id <> ''")
+    ids = rows.withColumn("id", M.attribute("attrs", "id", "name")).filter("id <> ''")
     ids = ids.groupBy("doc_id", "id").agg(F.min(F.struct("pos", "block_pos", "tag", "text")).alias("m"))
     empty = (F.col("m.tag") == "a") & (F.trim("m.text") == "")
     ids = ids.select("doc_id", "id", F.when(empty, F.col("m.block_pos")).otherwise(F.col("m.pos")).alias("target_pos"))
@@ -354,7 +362,7 @@ def bold_classes(raw: DataFrame) -> DataFrame:
 
 
 def bold_elements(raw: DataFrame, tokens: DataFrame) -> DataFrame:
-    classes = F.explode(F.split(F.regexp_extract("attrs", r'\bclass="([^"]*)"', 1), " "))
+    classes = F.explode(F.split(M.attribute("attrs", "class"), " "))
     rows = tokens.select("doc_id", "pos", "tag", classes.alias("class"))
     return rows.join(bold_classes(raw).distinct(), ["doc_id", "class"])
 

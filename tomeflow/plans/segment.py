@@ -10,6 +10,15 @@ from tomeflow.plans.registry import query
 from tomeflow.plans.trees import _FLAG, _slug
 
 RAW = ("r_raw_html",)
+
+
+def _decoded(text: str) -> str:
+    """Named character references replaced, the escaped ampersand last."""
+    for name, char in V.ENTITIES.items():
+        text = "replace({0}, '&{1};', '{2}')".format(text, name, char.replace("'", "''"))
+    return f"replace({text}, '&amp;', '&')"
+
+
 _ST = ", ".join(f"'{t}'" for t in S.STARTS)
 _SC = ", ".join(f"'{t}'" for t in S.STARTS + S.CLOSES)
 _HD = ", ".join(f"'{t}'" for t in S.HEADINGS)
@@ -17,11 +26,12 @@ _SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 TOK = r"""hid AS (SELECT doc_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)') AS ms FROM r_raw_html),
   mm AS (SELECT doc_id, unnest(ms) AS m, cast(generate_subscripts(ms, 1) - 1 AS int) AS pos FROM hid),
-  tok AS (SELECT doc_id, pos, lower(regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)', 2) AS attrs, regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)', 3) AS text FROM mm)"""
+  tok AS (SELECT doc_id, pos, lower(regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)', 2) AS attrs, {decoded} AS text FROM mm)""".replace("{decoded}", _decoded("regexp_extract(m, '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]*)', 3)"))
 SEG = f"""{TOK}, run AS (SELECT *, sum(CASE WHEN tag IN ({_SC}) THEN 1 ELSE 0 END) OVER w AS seg, sum(CASE WHEN tag = 'table' THEN 1 ELSE 0 END) OVER w AS op,
      sum(CASE WHEN tag = '/table' THEN 1 ELSE 0 END) OVER w AS cl, sum(CASE WHEN tag = 'tr' THEN 1 ELSE 0 END) OVER w AS tr FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-  seg AS (SELECT doc_id, seg, min(pos) AS pos, min_by(tag, pos) AS tag, min_by(attrs, pos) AS attrs, min_by(CASE WHEN op > cl THEN op ELSE 0 END, pos) AS tbl, min_by(tr, pos) AS tr,
-     {_SQ.format("string_agg(text, '' ORDER BY pos)")} AS text FROM run GROUP BY doc_id, seg HAVING min_by(tag, pos) IN ({_ST}))"""
+  seg0 AS (SELECT doc_id, seg, min(pos) AS pos, min_by(tag, pos) AS tag, min_by(attrs, pos) AS attrs, min_by(CASE WHEN op > cl THEN op ELSE 0 END, pos) AS tbl, min_by(tr, pos) AS tr,
+     {_SQ.format("string_agg(text, '' ORDER BY pos)")} AS text FROM run GROUP BY doc_id, seg),
+  seg AS (SELECT * REPLACE (CASE WHEN tag LIKE '/%' THEN 'p' ELSE tag END AS tag, CASE WHEN tag LIKE '/%' THEN '' ELSE attrs END AS attrs) FROM seg0 WHERE tag IN ({_ST}) OR (tag LIKE '/%' AND text <> ''))"""
 UNIT = f"""{SEG}, un0 AS (SELECT *, sum(CASE WHEN tbl = 0 OR tag = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg) AS unit FROM seg),
   un AS (SELECT * FROM (SELECT doc_id, cast(unit AS bigint) AS unit, min_by(tag, seg) AS tag, min_by(attrs, seg) AS attrs, count(*) FILTER (tag = 'tr') AS nrows, count(*) FILTER (tag IN ('td', 'th')) AS ncells,
       bool_or(tag = 'img') AS has_img, coalesce(string_agg(text, ' ' ORDER BY seg) FILTER (text <> ''), '') AS text,
@@ -177,19 +187,19 @@ def _(r):
 
 @query("missing_alt_text", rf"""WITH {TOK} SELECT doc_id, pos, regexp_extract(attrs, '\bsrc="([^"]*)"', 1) AS src FROM tok WHERE tag = 'img' AND NOT regexp_matches(attrs, '(?i)\balt\s*=')""", RAW)
 def _(r):
-    return S.missing_alt_text(tokens(r))
+    return S.missing_alt_text(S.html_tokens(r.raw_html, spread=False))
 
 
 @query("inline_image_paths", rf"""WITH {TOK}, i AS (SELECT t.doc_id, pos, regexp_extract(attrs, '\bsrc="([^"]*)"', 1) AS src, d.number FROM tok t JOIN r_documents d ON d.id = t.doc_id WHERE t.tag = 'img' AND d.number <> '')
   SELECT doc_id, pos, src, '/static/img/inline/' || lower(number) || '/' || regexp_extract(src, '([^/]*)$', 1) AS new_src FROM i WHERE NOT starts_with(src, 'data:')""", ("r_raw_html", "r_documents"))
 def _(r):
-    return S.inline_image_paths(tokens(r), r.documents.withColumnRenamed("id", "doc_id"))
+    return S.inline_image_paths(S.html_tokens(r.raw_html, spread=False), r.documents.withColumnRenamed("id", "doc_id"))
 
 
 @query("unwrap_tracking_urls", rf"""WITH {TOK}, a AS (SELECT doc_id, pos, regexp_extract(attrs, '\bhref="([^"]*)"', 1) AS href FROM tok WHERE tag = 'a')
   SELECT doc_id, pos, CASE WHEN starts_with(href, 'https://www.google.com/url?') AND contains(href, 'q=') THEN url_decode(regexp_extract(href, '[?&]q=([^&]*)', 1)) ELSE href END AS url FROM a""", RAW)
 def _(r):
-    return S.anchors(tokens(r)).select("doc_id", "pos", S.unwrap_tracking(F.col("href")).alias("url"))
+    return S.anchors(S.html_tokens(r.raw_html, spread=False)).select("doc_id", "pos", S.unwrap_tracking(F.col("href")).alias("url"))
 
 
 @query("merge_adjacent_links", rf"""WITH {TOK}, x AS (SELECT *, regexp_extract(attrs, '\bhref="([^"]*)"', 1) AS href, lag(tag) OVER w AS p1, lag(text) OVER w AS sp, lag(tag, 2) OVER w AS p2, regexp_extract(lag(attrs, 2) OVER w, '\bhref="([^"]*)"', 1) AS ph FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
