@@ -195,7 +195,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = nodes.select("node", "weight", "first").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(roots, "node", "left")
     placed = cut(counted.select("node", "first", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "n_links", "component_id")
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = placed.join(small(least, SMALL_ROWS), "root").select("node", "n_links", "component_id")
     out = read.select("vec_id", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))

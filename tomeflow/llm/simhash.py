@@ -131,9 +131,9 @@ def _placed(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> DataFram
     read = cut(docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
     nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), hot))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "root", "component_id")
+    placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = placed.join(small(least, GONE_ROWS), "root")  # no aggregation beside the join, so that Spark can split a large component.select("fp", "root", "component_id")
     return read.join(named, "fp")
 
 
