@@ -17,10 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled text taken per language: rows, letters a row may give, letters in all.
+from tomeflow.llm.common import smallest_hashes
+
+#: Labelled text taken per language: rows, characters a row may give, characters in all; and of all languages together, which
+#: share it evenly, as the automata of a worker hold about a kilobyte for every four characters.
 ROWS = 400
-ROW_LETTERS = 2_000
-LETTERS = 60_000
+ROW_LETTERS = 500
+LETTERS = 80_000
+ALL_LETTERS = 400_000
 #: Most languages learned, the most frequent first; bounds the tables that are sent to tasks.
 LANGUAGES = 200
 #: Letters of the alphabet that have a symbol of their own; rarer ones share one.
@@ -81,19 +85,24 @@ class Model:
                     tally[c] = tally.get(c, 0) + 1
         own = sorted(sorted(tally), key=lambda c: -tally[c])[:SYMBOLS]
         self.alphabet = {c: i + 2 for i, c in enumerate(own)}  # 0: no letter, 1: letters without a symbol
-        size = len(own) + 3
-        self.tables, self.bits = [], []
-        for name in self.names:
-            # words are joined by a symbol no text has, so no phrase crosses a word's end
-            joined = [s for w in words[name] for s in (*(self.alphabet.get(c, 1) for c in w), size - 1)]
-            auto = suffix_automaton(joined, size)
-            fresh = np.where(auto[0] >= 0, auto[0], 0).astype(np.int32) | _NEW
-            table = np.where(auto >= 0, auto, fresh).astype(np.int32)
-            table[0] = fresh  # at the start, any letter begins a phrase
-            self.tables.append(table.ravel())
-            self.bits.append(float(np.log2(max(2, len(joined)))))
-        self.size = size
+        self.size = len(own) + 3
+        # words are joined by a symbol no text has, so no phrase crosses a word's end
+        self.joined = [bytes(s for w in words[k] for s in (*(self.alphabet.get(c, 1) for c in w), self.size - 1)) for k in self.names]
+        self.bits = [float(np.log2(max(2, len(x)))) for x in self.joined]
         self._symbols: np.ndarray | None = None
+        self._tables: list[np.ndarray] | None = None
+
+    def tables(self) -> list[np.ndarray]:
+        """Parsing table of every language (made once per worker; only the samples are sent)."""
+        if self._tables is None:
+            self._tables = []
+            for joined in self.joined:
+                auto = suffix_automaton(list(joined), self.size)
+                fresh = np.where(auto[0] >= 0, auto[0], 0).astype(np.int32) | _NEW
+                table = np.where(auto >= 0, auto, fresh).astype(np.int32)
+                table[0] = fresh  # at the start, any letter begins a phrase
+                self._tables.append(table.ravel())
+        return self._tables
 
     def symbols(self) -> np.ndarray:
         """Symbol of each code point (made once per worker, not sent along)."""
@@ -108,7 +117,7 @@ class Model:
         return self._symbols
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_symbols": None}
+        return self.__dict__ | {"_symbols": None, "_tables": None}
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of every text in every language, and the letters of every text."""
@@ -139,7 +148,7 @@ class Model:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         alive = np.searchsorted(-long, -np.arange(1, int(long[0]) + 1), side="right")
-        for k, table in enumerate(self.tables):
+        for k, table in enumerate(self.tables()):
             state, phrases = np.zeros(len(start), np.int32), np.ones(len(start), np.int64)
             for place, n in enumerate(alive):
                 step = table[state[:n].astype(np.int64) * self.size + letter[start[:n] + place]]
@@ -190,20 +199,20 @@ def _inverse(n: int) -> np.ndarray:
 
 
 def learn(labelled: DataFrame) -> Model:
-    """Fit on rows (id, text, lang). Per language at most ``ROWS`` rows, those with the smallest hash of id, ``ROW_LETTERS``
-    characters of each and ``LETTERS`` in all; at most ``LANGUAGES`` languages. That sample is what comes to the driver."""
-    rows = labelled.where("text is not null and lang is not null and id is not null")
-    named = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Fit on rows (id, text, lang). Per language at most ``ROWS`` rows, those with the smallest hash of id, the first
+    ``ROW_LETTERS`` characters of each and ``LETTERS`` in all; at most ``LANGUAGES`` languages. That sample comes to the driver."""
+    rows = labelled.where("text is not null and lang is not null and id is not null").select("id", "lang", F.substring("text", 1, ROW_LETTERS).alias("text"))
+    named = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    most = min(LETTERS, ALL_LETTERS // max(1, len(named)))
     samples: dict[str, list[str]] = {}
-    for r in named:
-        picked = rows.where(F.col("lang") == r["lang"]).orderBy(F.xxhash64("id"), "id", "text").limit(ROWS).select(F.substring("text", 1, ROW_LETTERS).alias("t"))
+    for lang in named:
         texts, size = [], 0
-        for t in (x["t"] for x in picked.collect()):
-            if size < LETTERS and any(c.isalpha() for c in t):
-                texts.append(t[: LETTERS - size])
+        for t in (r["text"] for r in smallest_hashes(rows.where(F.col("lang") == lang), ROWS, "id", "text").collect()):
+            if size < most and any(c.isalpha() for c in t):
+                texts.append(t[: most - size])
                 size += len(texts[-1])
         if texts:
-            samples[r["lang"]] = texts
+            samples[lang] = texts
     return Model(samples)
 
 

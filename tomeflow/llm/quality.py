@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeflow.llm.common import smallest_hashes
 from tomeflow.session import cut
 
 #: Most labelled rows the fit uses; the rows with the smallest hash of their id are taken.
@@ -109,11 +110,11 @@ def tree_paths(text: str, names: tuple[str, ...]) -> set[tuple[tuple[str, bool,
     return paths
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> Rules:
-    """Fit on rows (id, label 0/1, row struct of statistics). Uses at most ``sample`` rows, those with the smallest hash of id.
+def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> Rules:
+    """Fit on rows (label 0/1, row struct of statistics), all of which are used.
 
     Without labelled rows of both kinds the result has no rules: the score is the share of label 1 (0.5 without any row)."""
-    picked = cut(labelled.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("row")).limit(sample).select(F.col("label").cast("double").alias("label"), *(F.col("row")[s].alias(s) for s in STATS)))
+    picked = cut(labelled.select(F.col("label").cast("double").alias("label"), *(F.col("row")[s].alias(s) for s in STATS)))
     n, ones = picked.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         share = min(max((ones + 0.5) / (n + 1), 0.01), 0.99)
@@ -137,8 +138,8 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Colum
     counts twice; null and empty texts get the score of all-zero statistics; repeated rows are scored each; an empty table gives
     an empty result, and without labels of both kinds all rows get one score."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where("__id is not null and __label is not null")
-    picked = known.where(learn(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
+    picked = cut(smallest_hashes(known.where(learn(F.col("__id"))), sample, "__id", "__label"))
     taught = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id")
-    rules = fit(taught.select(F.col("__id").alias("id"), F.col("__label").alias("label"), stats(F.col("__text")).alias("row")), sample)
+    rules = fit(taught.select(F.col("__label").alias("label"), stats(F.col("__text")).alias("row")))
     scored = docs.withColumn("__row", stats(F.col(text))).withColumn("score", rules.score(F.col("__row")))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)).drop("__row")

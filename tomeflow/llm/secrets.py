@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import small, words
+from tomeflow.llm.common import small, smallest_hashes, words
 from tomeflow.session import cut
 
 LEAST = 16
@@ -103,7 +103,8 @@ def score(measured: DataFrame, sample: int = SAMPLE) -> DataFrame:
     labelled rows with the smallest hash. Without labelled rows of both kinds there is no forest: the score is the label, and
     0.5 where there is none."""
     own = [c for c in measured.columns if c not in FEATURES]
-    train = cut(measured.where("label is not null").select("candidate", F.col("label").cast("double").alias("label"), *FEATURES).distinct().orderBy(F.xxhash64("candidate", "label"), *FEATURES).limit(sample))
+    told = measured.where("label is not null").select("candidate", F.col("label").cast("double").alias("label"), *FEATURES).distinct()
+    train = cut(smallest_hashes(told, sample, "candidate", "label", *FEATURES))
     n, ones = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         return measured.select(*own, F.coalesce(F.col("label").cast("double"), F.lit(0.5)).alias("score"))
