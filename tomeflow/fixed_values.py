@@ -72,7 +72,6 @@ GROUP_HEADERS = [
 EVENT_NOISE_FIELDS = ["updated", "status", "hidden", "optional", "conditional_questions", "filename"]
 CUSTOM_ACTIONS = ["import", "print", "reimport"]
 
-EDIT_MODES = ["full", "variables", "locked"]
 EDIT_MODE_LABELS = {"variables": "Certain text", "locked": "Locked"}
 SUBSECTION_STATUS_LABELS = {"default": "Not started", "done": "Done"}
 
@@ -112,3 +111,7 @@ ENTITIES = {
     "times": "×", "divide": "÷", "plusmn": "±", "frac12": "½", "frac14": "¼", "frac34": "¾", "cent": "¢", "pound": "£", "euro": "€", "eacute": "é",
     "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß",
 }
+
+# Where cover images are kept, and covers chosen by a word of the title.
+COVER_FOLDER = "img/cover-img/"
+COVER_BY_TITLE = {"pepfar": "cdc-pepfar.jpg"}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tomeflow import fixed_values as V
 from tomeflow.operators import ordered
 from tomeflow.functions import markup as M
 from tomeflow.functions import text as X
@@ -258,17 +259,19 @@ def table_cells(blocks_: DataFrame) -> DataFrame:
     rows = rows.filter("cell > 0 AND tag <> 'tr'")
     item = F.struct("seg", "text")
     return rows.groupBy("doc_id", "tbl", "cell").agg(
-        F.min_by("tag", "seg").alias("tag"), F.min("tr").alias("tr"),
+        F.min_by("tag", "seg").alias("tag"), F.min_by("attrs", "seg").alias("attrs"), F.min("tr").alias("tr"),
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ")).alias("text"),
     ).withColumn("row", F.dense_rank().over(W.partitionBy("doc_id", "tbl").orderBy("tr"))).drop("tr")
 
 
 def table_header_fix(cells: DataFrame) -> DataFrame:
-    """First row holds header cells; in an all-header table of several rows only the first row keeps them."""
+    """First row holds header cells; in an all-header table of several rows only the first row keeps them. A table with a
+    cell that spans rows stays as it is."""
     w = W.partitionBy("doc_id", "tbl")
+    spanned = F.max(~M.attribute("attrs", "rowspan").isin("", "1")).over(w)
     all_th = F.min((F.col("tag") == "th").cast("int")).over(w) == 1
     many = F.max("row").over(w) > 1
-    tag = F.when(F.col("row") == 1, "th").when(all_th & many, "td").otherwise(F.col("tag"))
+    tag = F.when(spanned, F.col("tag")).when(F.col("row") == 1, "th").when(all_th & many, "td").otherwise(F.col("tag"))
     return cells.withColumn("new_tag", tag)
 
 
@@ -362,8 +365,17 @@ def bold_classes(raw: DataFrame) -> DataFrame:
 
 
 def bold_elements(raw: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Elements with a bold class; those in the first row of a table, its head or its body are bold anyway and left out."""
+    tag = F.col("tag")
+    upto = _tok().rowsBetween(W.unboundedPreceding, 0)
+    opened = F.last(F.when(tag.isin("table", "thead", "tbody"), F.col("pos")), True).over(upto)
+    last_row = F.last(F.when(tag.isin("tr", "/tr"), F.struct("pos", "tag")), True).over(upto)
+    rows = tokens.withColumn("__opened", opened).withColumn("__row", last_row)
+    nth = F.sum((tag == "tr").cast("int")).over(W.partitionBy("doc_id", "__opened").orderBy("pos"))
+    heading = (F.col("__row.tag") == "tr") & (F.col("__row.pos") > F.col("__opened")) & (nth == 1)
+    rows = rows.withColumn("__first", F.coalesce(heading, F.lit(False))).filter(~F.col("__first"))
     classes = F.explode(F.split(M.attribute("attrs", "class"), " "))
-    rows = tokens.select("doc_id", "pos", "tag", classes.alias("class"))
+    rows = rows.select("doc_id", "pos", "tag", classes.alias("class"))
     return rows.join(bold_classes(raw).distinct(), ["doc_id", "class"])
 
 
@@ -403,10 +415,18 @@ def theme_for(number: Column, opdiv: Column) -> Column:
     )
 
 
-def classify_document(docs: DataFrame, pages_group: str = "nih") -> DataFrame:
-    """Theme, cover, opening page and cover image by rule."""
+def classify_document(docs: DataFrame, images: DataFrame, pages_group: str = "nih") -> DataFrame:
+    """Theme, cover, opening page and cover image by rule: the stored image that carries the document's number, else one fixed
+    by a word of the title, else none. ``images`` holds the stored keys."""
     rows = docs.withColumn("new_theme", theme_for(F.col("number"), F.col("opdiv")))
     text_cover = F.col("new_theme").rlike("acf-|acl-|hrsa-|nih-")
+    own = F.concat(F.lit(V.COVER_FOLDER), F.lower("number"), F.lit(".jpg"))
+    stored = images.select(F.col("key").alias("__own"), F.lit(True).alias("__stored")).distinct()
+    titled = F.lit("")
+    for word, key in V.COVER_BY_TITLE.items():
+        titled = F.when(F.lower("title").contains(word), V.COVER_FOLDER + key).otherwise(titled)
+    rows = rows.withColumn("__own", own).join(stored, "__own", "left")
+    rows = rows.withColumn("new_cover_image", F.when(F.col("__stored"), F.col("__own")).otherwise(F.coalesce(titled, F.lit("")))).drop("__own", "__stored")
     return rows.withColumn("new_cover", F.when(text_cover, "text").otherwise("medium")).withColumn(
         "before_you_begin", F.when(F.col("group") == pages_group, "era").otherwise("full")
     )

@@ -17,6 +17,8 @@ INSTANCE_FIELDS = {
     "title": "Notice title",
     "short_name": "Short name",
     "number": "Notice number",
+    "activity_code": "Activity Code",
+    "federal_assistance_listing": "Federal Assistance Listing",
     "tagline": "Tagline",
     "author": "Metadata Author",
     "subject": "Metadata Subject",
@@ -77,7 +79,8 @@ def set_values(variables_json: Column, values: Column) -> Column:
 
 
 def prefill(label: Column, value: Column) -> Column:
-    """Value of the last instance field whose display label occurs in the variable label; else the given value."""
+    """Value of the last instance field whose display label occurs in the variable label; else the given value. Needs all
+    ``INSTANCE_FIELDS`` as columns."""
     out = value
     for field, name in INSTANCE_FIELDS.items():
         out = F.when(F.lower(label).contains(name.lower()) & (F.coalesce(F.col(field), F.lit("")) != ""), F.col(field)).otherwise(out)

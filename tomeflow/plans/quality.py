@@ -169,13 +169,19 @@ _STATUS = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.STATU
 _GROUP = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.GROUP_LABELS.items()) + " ELSE code END"
 
 
-@query("label_lookup", f"""SELECT id, {_STATUS} AS status_label, {_GROUP} AS group_label, CASE coach WHEN 'old-name' THEN 'Old Name' ELSE coach END AS coach_label
-  FROM (SELECT *, lower(split_part(number, '-', 1)) AS code FROM r_documents) q""", ("r_documents",))
+_MODE = "CASE cast(id AS bigint) % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'variables' WHEN 2 THEN 'locked' END"
+_ROW = "CASE cast(id AS bigint) % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'done' ELSE 'other' END"
+
+
+@query("label_lookup", f"""SELECT id, {_STATUS} AS status_label, {_GROUP} AS group_label, CASE coach WHEN 'old-name' THEN 'Old Name' ELSE coach END AS coach_label,
+   CASE mode WHEN 'variables' THEN 'Certain text' WHEN 'locked' THEN 'Locked' ELSE '' END AS edit_mode_label, CASE row_status WHEN 'default' THEN 'Not started' WHEN 'done' THEN 'Done' ELSE '' END AS row_status_label
+  FROM (SELECT *, lower(split_part(number, '-', 1)) AS code, {_MODE} AS mode, {_ROW} AS row_status FROM r_documents) q""", ("r_documents",))
 def _(r):
     code = F.lower(F.split_part("number", F.lit("-"), F.lit(1)))
     return r.documents.select(
         "id", Q.lookup(F.col("status"), V.STATUS_LABELS).alias("status_label"), Q.lookup(code, V.GROUP_LABELS).alias("group_label"),
-        Q.lookup(F.col("coach"), Q.legacy_code_map()).alias("coach_label"),
+        Q.lookup(F.col("coach"), Q.legacy_code_map()).alias("coach_label"), Q.lookup(F.expr(_MODE), V.EDIT_MODE_LABELS, F.lit("")).alias("edit_mode_label"),
+        Q.lookup(F.expr(_ROW), V.SUBSECTION_STATUS_LABELS, F.lit("")).alias("row_status_label"),
     )
 
 

@@ -163,7 +163,7 @@ def _(r):
 
 
 CELLS = f"""{SEG}, ce AS (SELECT *, sum(CASE WHEN tag IN ('td', 'th') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, tbl ORDER BY seg) AS cell FROM seg WHERE tbl > 0),
-  cg AS (SELECT doc_id, cast(tbl AS bigint) AS tbl, cast(cell AS bigint) AS cell, min_by(tag, seg) AS tag, min(tr) AS tr, trim(string_agg(text, ' ' ORDER BY seg)) AS text FROM ce WHERE cell > 0 AND tag <> 'tr' GROUP BY doc_id, tbl, cell),
+  cg AS (SELECT doc_id, cast(tbl AS bigint) AS tbl, cast(cell AS bigint) AS cell, min_by(tag, seg) AS tag, min_by(attrs, seg) AS attrs, min(tr) AS tr, trim(string_agg(text, ' ' ORDER BY seg)) AS text FROM ce WHERE cell > 0 AND tag <> 'tr' GROUP BY doc_id, tbl, cell),
   cells AS (SELECT *, cast(dense_rank() OVER (PARTITION BY doc_id, tbl ORDER BY tr) AS int) AS "row" FROM cg)"""
 
 
@@ -171,7 +171,7 @@ def cells(r):
     return S.table_cells(S.blocks(tokens(r)))
 
 
-@query("table_header_fix", f"""WITH {CELLS} SELECT doc_id, tbl, cell, "row", text, CASE WHEN "row" = 1 THEN 'th' WHEN bool_and(tag = 'th') OVER w AND max("row") OVER w > 1 THEN 'td' ELSE tag END AS new_tag
+@query("table_header_fix", f"""WITH {CELLS} SELECT doc_id, tbl, cell, "row", text, CASE WHEN bool_or(regexp_matches(attrs, 'rowspan="(0|[2-9]|[0-9][0-9]+)"')) OVER w THEN tag WHEN "row" = 1 THEN 'th' WHEN bool_and(tag = 'th') OVER w AND max("row") OVER w > 1 THEN 'td' ELSE tag END AS new_tag
   FROM cells WINDOW w AS (PARTITION BY doc_id, tbl)""", RAW)
 def _(r):
     return S.table_header_fix(cells(r)).select("doc_id", "tbl", "cell", "row", "text", "new_tag")
@@ -220,8 +220,11 @@ def _(r):
 
 
 @query("bold_classes", rf"""WITH {TOK}, css AS (SELECT doc_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1), ' '), '\.[a-zA-Z0-9_-]+\{{[^}}]*\}}')) AS rule FROM r_raw_html),
-  bc AS (SELECT DISTINCT doc_id, regexp_extract(rule, '^\.([a-zA-Z0-9_-]+)', 1) AS class FROM css WHERE regexp_matches(rule, 'font-weight:\s*700') AND NOT coalesce(try_cast(regexp_extract(rule, 'font-size:\s*([0-9]+)pt', 1) AS int) >= 18, false))
-  SELECT t.doc_id, t.pos, t.tag, b.class FROM (SELECT doc_id, pos, tag, unnest(string_split(regexp_extract(attrs, '\bclass="([^"]*)"', 1), ' ')) AS class FROM tok) t JOIN bc b ON b.doc_id = t.doc_id AND b.class = t.class""", RAW)
+  bc AS (SELECT DISTINCT doc_id, regexp_extract(rule, '^\.([a-zA-Z0-9_-]+)', 1) AS class FROM css WHERE regexp_matches(rule, 'font-weight:\s*700') AND NOT coalesce(try_cast(regexp_extract(rule, 'font-size:\s*([0-9]+)pt', 1) AS int) >= 18, false)),
+  o AS (SELECT *, max(CASE WHEN tag IN ('table', 'thead', 'tbody') THEN pos END) OVER w AS op, max(CASE WHEN tag = 'tr' THEN pos END) OVER w AS r1, max(CASE WHEN tag = '/tr' THEN pos END) OVER w AS r0 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  n AS (SELECT *, sum(CASE WHEN tag = 'tr' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, op ORDER BY pos) AS nth FROM o)
+  SELECT t.doc_id, t.pos, t.tag, b.class FROM (SELECT doc_id, pos, tag, unnest(string_split(regexp_extract(attrs, '\bclass="([^"]*)"', 1), ' ')) AS class FROM n
+    WHERE NOT coalesce(r1 > coalesce(r0, -1) AND r1 > op AND nth = 1, false)) t JOIN bc b ON b.doc_id = t.doc_id AND b.class = t.class""", RAW)
 def _(r):
     return S.bold_elements(r.raw_html, tokens(r)).select("doc_id", "pos", "tag", "class")
 
@@ -245,10 +248,17 @@ _THEME = r"""CASE WHEN contains(o, 'national institutes of health') OR regexp_ma
   WHEN regexp_matches(n, '(?:^|-)hrsa-') THEN 'portrait-hrsa-white' WHEN contains(n, 'rfa-') THEN 'portrait-cdc-blue' ELSE 'portrait-nih-white' END"""
 
 
-@query("classify_document", f"""SELECT id, theme, CASE WHEN regexp_matches(theme, 'acf-|acl-|hrsa-|nih-') THEN 'text' ELSE 'medium' END AS cover, CASE WHEN "group" = 'household' THEN 'era' ELSE 'full' END AS before_you_begin
-  FROM (SELECT id, "group", {_THEME} AS theme FROM (SELECT id, "group", lower(number) AS n, lower(opdiv) AS o FROM r_documents) a) b""", ("r_documents",))
+_TITLED = "CASE WHEN cast(id AS bigint) % 5 = 1 THEN concat(title, ' PEPFAR') ELSE title END"
+_COVERS = "concat('img/cover-img/', lower(number), '.jpg')"
+
+
+@query("classify_document", f"""SELECT id, theme, coalesce((SELECT max(i.key) FROM covers i WHERE i.key = own), CASE WHEN contains(lower(title), 'pepfar') THEN 'img/cover-img/cdc-pepfar.jpg' ELSE '' END) AS cover_image, CASE WHEN regexp_matches(theme, 'acf-|acl-|hrsa-|nih-') THEN 'text' ELSE 'medium' END AS cover, CASE WHEN "group" = 'household' THEN 'era' ELSE 'full' END AS before_you_begin
+  FROM (SELECT id, "group", title, own, {_THEME} AS theme FROM (SELECT id, "group", {_TITLED} AS title, {_COVERS} AS own, lower(number) AS n, lower(opdiv) AS o FROM r_documents) a) b""".replace("covers i", "(SELECT {_COVERS} AS key FROM r_documents WHERE cast(id AS bigint) % 3 = 0) i".replace("{_COVERS}", _COVERS)), ("r_documents",))
 def _(r):
-    return S.classify_document(r.documents, "household").select("id", F.col("new_theme").alias("theme"), F.col("new_cover").alias("cover"), "before_you_begin")
+    docs = r.documents.withColumn("title", F.expr(_TITLED))
+    covers = r.documents.filter("cast(id AS bigint) % 3 = 0").select(F.expr(_COVERS).alias("key"))
+    out = S.classify_document(docs, covers, "household")
+    return out.select("id", F.col("new_theme").alias("theme"), F.col("new_cover").alias("cover"), "before_you_begin", F.col("new_cover_image").alias("cover_image"))
 
 
 @query("build_rows", rf"""SELECT id, contains(lower(instructions), 'section is only required if') AS optional,
