@@ -30,8 +30,10 @@ SMALL_ROWS = 500_000
 Batches = Iterator[pa.RecordBatch]
 
 
-def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+def raw_texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """UTF-8 bytes of every text, one at a time; null is empty."""
+    for x in batch.column("text").cast(pa.large_binary()):
+        yield x.as_py() or b""
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -82,16 +84,18 @@ def _level(window: int, start: int, done: list[int], length: int) -> Callable[[B
         for batch in batches:
             kept = batch.column("kept").to_pylist()
             unique = [batch.column(f"unique_{k}").to_pylist() for k in done]
+            hashes, places = [], []
             for i, raw in enumerate(raw_texts(batch)):
                 sums, n = rolling.word_sums(raw)
                 starts = _candidates(sums, n, window, start, np.array(kept[i], np.int64))
                 for k, u in zip(done, unique, strict=True):
                     starts = _survivors(starts, window, k, np.array(u[i] or [], np.int64))
                 at = np.union1d(starts, starts + window - length)
-                if len(at):
-                    h = rolling.span(sums, at, at + length).view(np.int64)
-                    keys = np.full(len(at), batch.column("row_key")[i].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys), pa.array(at.astype(np.int32))], ["h", "row_key", "place"])
+                hashes.append(rolling.span(sums, at, at + length).view(np.int64))
+                places.append(at.astype(np.int32))
+            if hashes:
+                keys = np.repeat(batch.column("row_key").to_numpy(), list(map(len, places)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(keys), pa.array(np.concatenate(places))], ["h", "row_key", "place"])
 
     return work
 

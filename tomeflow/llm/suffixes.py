@@ -32,9 +32,10 @@ from tomeflow.session import cut
 WINDOW = 100
 PART = 32
 HOT = 2000
-SMALL_ROWS = 500_000
-#: Bytes of phrases a task orders at a time, besides the phrases of one trigger.
-CHUNK = 1 << 22
+SMALL_ROWS = 200_000
+#: Bytes of phrases a task orders at a time, besides the phrases of one trigger, and phrases it sends back at a time.
+CHUNK = 1 << 20
+PIECES = 20_000
 LAST = (1 << 63) - 1
 
 Batches = Iterator[pa.RecordBatch]
@@ -75,16 +76,22 @@ def _entries(window: int, part: int):
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
-            firsts = batch.column("firsts").to_pylist()
-            keys, ords = batch.column("row_key").to_pylist(), batch.column("ord").to_pylist()
+            firsts = batch.column("firsts")
+            owner, triggers, starts, pieces = [], [], [], []
             for i, raw in enumerate(raw_texts(batch)):
                 _, at, trigger, first, last, _ = _phrases(raw, window, part)
-                pick = np.flatnonzero(np.isin(at, np.array(firsts[i], np.int64)))
-                a, b = first[pick].tolist(), (last[pick] + window).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i]] * len(a), pa.int64()), pa.array([ords[i]] * len(a), pa.int64()), pa.array(trigger[pick].view(np.int64)), pa.array(a, pa.int32()), pa.array([raw[x:y] for x, y in zip(a, b, strict=True)], pa.binary())],
-                    ["row_key", "ord", "trigger", "start", "piece"],
-                )
+                pick = np.flatnonzero(np.isin(at, np.array(firsts[i].as_py(), np.int64)))
+                owner.append(np.full(len(pick), i))
+                triggers.append(trigger[pick].view(np.int64))
+                starts.append(first[pick].astype(np.int32))
+                pieces += [raw[x:y] for x, y in zip(first[pick].tolist(), (last[pick] + window).tolist(), strict=True)]
+                if len(pieces) >= PIECES or i == batch.num_rows - 1:
+                    of = pa.array(np.concatenate(owner))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("row_key").take(of), batch.column("ord").take(of), pa.array(np.concatenate(triggers)), pa.array(np.concatenate(starts)), pa.array(pieces, pa.binary())],
+                        ["row_key", "ord", "trigger", "start", "piece"],
+                    )
+                    owner, triggers, starts, pieces = [], [], [], []
 
     return work
 
