@@ -15,7 +15,8 @@ from tomeflow.functions.markup import TAG, attribute
 from tomeflow.functions import readability as R
 from tomeflow.functions import text as X
 from tomeflow.operators import trees
-from tomeflow.operators.filters import missing_metadata
+from tomeflow.operators.filters import blank, missing_metadata
+from tomeflow.session import cut
 
 PAGE_BREAK = "page-break"
 
@@ -57,19 +58,32 @@ def document_ids(subsections: DataFrame, sections: DataFrame) -> DataFrame:
 
     Ids are made distinct per section before the join to documents, then per document.
     """
-    tags = F.regexp_extract_all("body", F.lit(r"""(?is)<[a-z][a-z0-9]*(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), F.lit(1))
-    inline = F.filter(F.transform(tags, lambda t: attribute(t, "id")), lambda x: x != "")
-    own = F.filter(F.array("html_id"), lambda x: x != "")
-    below = subsections.select("section_id", F.explode(F.concat(own, inline)).alias("ref")).distinct().join(_section_docs(sections), "section_id")
+    below = subsections.select("section_id", F.explode(_ids_in(F.col("body"), F.col("html_id"))).alias("ref"))
+    return _anchors(below, sections)
+
+
+def _ids_in(body: Column, html_id: Column) -> Column:
+    """Ids of tags in a body and the row's own, if it has one."""
+    tags = F.regexp_extract_all(body, F.lit(r"""(?is)<[a-z][a-z0-9]*(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), F.lit(1))
+    inline = F.transform(F.filter(tags, lambda t: F.lower(t).contains("id")), lambda t: attribute(t, "id"))
+    return F.filter(F.concat(F.array(html_id), F.coalesce(inline, F.array().cast("array<string>"))), lambda x: x != "")
+
+
+def _anchors(below: DataFrame, sections: DataFrame) -> DataFrame:
+    """``below`` (section_id, ref) and the sections' own ids as ``#id`` per document."""
+    below = below.distinct().join(_section_docs(sections), "section_id")
     top = sections.select("document_id", F.col("html_id").alias("ref"))
     return top.unionByName(below.select("document_id", "ref")).select("document_id", F.concat(F.lit("#"), "ref").alias("ref")).distinct()
 
 
+def _unmatched(found: DataFrame, refs: DataFrame, sections: DataFrame) -> DataFrame:
+    rows = found.filter(L.looks_broken(F.col("url"))).join(_section_docs(sections), "section_id")
+    return rows.join(refs.withColumnRenamed("ref", "url"), ["document_id", "url"], "left_anti").withColumnRenamed("id", "subsection_id")
+
+
 def broken_links(subsections: DataFrame, sections: DataFrame) -> DataFrame:
     """Links that can only be internal leftovers and match no anchor of their document."""
-    rows = links(subsections).filter(L.looks_broken(F.col("url"))).join(_section_docs(sections), "section_id")
-    ids = document_ids(subsections, sections).withColumnRenamed("ref", "url")
-    return rows.join(ids, ["document_id", "url"], "left_anti").withColumnRenamed("id", "subsection_id")
+    return _unmatched(links(subsections), document_ids(subsections, sections), sections)
 
 
 def link_status(found: DataFrame, crawl: DataFrame) -> DataFrame:
@@ -127,16 +141,28 @@ def name_counts(subsections: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.count("*").alias("sections"), F.coalesce(F.sum("subsections"), F.lit(0)).alias("subsections"))
 
 
-def quality_summary(docs: DataFrame, sections: DataFrame, subsections: DataFrame, own_domain: str) -> DataFrame:
-    """One row per document with its warning counts. External links count only while a document is open."""
+def row_facts(subsections: DataFrame) -> DataFrame:
+    """What the summary needs of a subsection, taken from its body once: links, ids, page breaks, and whether there is a body."""
     body = F.col("body")
-    ext = F.size(F.filter(L.found(body), lambda l: L.external(l["url"], own_domain)))
-    per_section = subsections.groupBy("section_id").agg(
-        F.sum(ext).alias("external_links"), F.sum(breaks_in(F.col("html_class"), body)).alias("page_breaks")
-    )
-    errors = trees.union_heading_errors(subsections, sections).groupBy("section_id").agg(F.count("*").alias("heading_errors"))
+    return subsections.select(
+        "section_id", "id", "order", "name", "tag", L.found(body).alias("links"), _ids_in(body, F.col("html_id")).alias("refs"),
+        breaks_in(F.col("html_class"), body).alias("breaks"), F.when(blank("body"), "").otherwise("x").alias("body"),
+    )
+
+
+def quality_summary(docs: DataFrame, sections: DataFrame, subsections: DataFrame, own_domain: str) -> DataFrame:
+    """One row per document with its warning counts. External links count only while a document is open.
+
+    Bodies are read once: their facts, and the few columns of the sections, are written and every count starts from there."""
+    facts = cut(row_facts(subsections))
+    sections = cut(sections.select("id", "document_id", "name", "html_id"))
+    ext = F.size(F.filter("links", lambda l: L.external(l["url"], own_domain)))
+    per_section = facts.groupBy("section_id").agg(F.sum(ext).alias("external_links"), F.sum("breaks").alias("page_breaks"))
+    errors = trees.union_heading_errors(facts, sections).groupBy("section_id").agg(F.count("*").alias("heading_errors"))
     counts = per_document(per_section.join(errors, "section_id", "left"), sections, "external_links", "page_breaks", "heading_errors")
-    broken = broken_links(subsections, sections).groupBy("document_id").agg(F.count("*").alias("broken_links"))
+    linked = facts.select("id", "section_id", F.explode("links").alias("l")).select("id", "section_id", "l.*")
+    refs = _anchors(facts.select("section_id", F.explode("refs").alias("ref")), sections)
+    broken = _unmatched(linked, refs, sections).groupBy("document_id").agg(F.count("*").alias("broken_links"))
     missing = missing_metadata(docs).groupBy(F.col("id").alias("document_id")).agg(F.count("*").alias("missing_metadata"))
     rows = docs.select(F.col("id").alias("document_id"), "status")
     for part in (counts, broken, missing):

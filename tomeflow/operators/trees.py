@@ -24,8 +24,9 @@ def tree_join(docs: DataFrame, sections: DataFrame, subsections: DataFrame) -> D
     return subsections.join(s, "section_id").join(d, "document_id")
 
 
-def neighbours(subsections: DataFrame) -> DataFrame:
-    return _scan(subsections, previous_id=ordered.lag(F.col("id")), next_id=ordered.lead(F.col("id")))
+def neighbours(rows: DataFrame, key: str = "section_id") -> DataFrame:
+    """Previous and next row by order: subsections of a section, or, with ``key`` document_id, sections of a document."""
+    return ordered.scan(rows, [key], ["order"], ordered.chunk_of("order"), previous_id=ordered.lag(F.col("id")), next_id=ordered.lead(F.col("id")))
 
 
 def next_tagged(subsections: DataFrame) -> DataFrame:

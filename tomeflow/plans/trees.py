@@ -165,9 +165,12 @@ def _(r):
 _NB = "OVER (PARTITION BY section_id ORDER BY \"order\")"
 
 
-@query("neighbours", f"SELECT id, lag(id) {_NB} AS previous_id, lead(id) {_NB} AS next_id FROM r_subsections", ("r_subsections",))
+@query("neighbours", f"""SELECT 'subsection' AS kind, id, lag(id) {_NB} AS previous_id, lead(id) {_NB} AS next_id FROM r_subsections
+  UNION ALL SELECT 'section', id, lag(id) OVER (PARTITION BY document_id ORDER BY "order"), lead(id) OVER (PARTITION BY document_id ORDER BY "order") FROM r_sections""", ("r_subsections", "r_sections"))
 def _(r):
-    return T.neighbours(r.subsections.select("id", "section_id", "order")).select("id", "previous_id", "next_id")
+    rows = T.neighbours(r.subsections.select("id", "section_id", "order")).select(F.lit("subsection").alias("kind"), "id", "previous_id", "next_id")
+    tops = T.neighbours(r.sections.select("id", "document_id", "order"), "document_id").select(F.lit("section").alias("kind"), "id", "previous_id", "next_id")
+    return rows.unionByName(tops)
 
 
 @query("next_tagged", """SELECT s.id,
