@@ -27,7 +27,7 @@ SEED = 42
 WIDTH = 3
 DISTANCE = 3
 HOT = 4096
-#: Ids of dropped rows are broadcast up to this count; beyond it Spark shuffles both sides.
+#: Keys of large groups and of dropped rows are broadcast up to this count; beyond it Spark shuffles both sides.
 GONE_ROWS = 500_000
 
 
@@ -111,7 +111,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     keyed = fps.select("fp", F.explode(variants(F.col("fp"), 32)).alias("key"))
     met = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = met.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    wide = keyed.join(met.where("n > 2").select("key", "n"), "key")
+    wide = keyed.join(small(met.where("n > 2").select("key", "n"), GONE_ROWS), "key")
     other = F.when(F.shiftrightunsigned(F.col("key"), 32) >= 32, F.col("fp")).otherwise(F.shiftrightunsigned(F.col("fp"), 32)).bitwiseAND(F.lit((1 << 32) - 1))
     cut_again = wide.where(F.col("n") > hot).select("fp", F.explode(variants(other, 16, F.col("key"))).alias("key"))
     return pairs.union(_grouped(wide.where(F.col("n") <= hot))).union(_grouped(cut_again)).distinct()
