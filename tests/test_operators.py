@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -264,3 +265,18 @@ def test_links_with_titles_brackets_quotes_and_markup(spark):
     ]
     html = spark.createDataFrame([(1, "<p><a><strong>bold</strong> text</a><a id='k'>named</a><a class=\"c\">plain</a><abbr>x</abbr></p>")], "k int, html string")
     assert sorted(r.link_text for r in quality.hrefless_links(html, "k", "html").collect()) == ["bold text", "plain"]
+
+
+def test_event_diffs_of_variables(spark):
+    v = lambda x: json.dumps([{"key": "a", "type": "string", "label": "Name", "value": x}])
+    log = [
+        (1, "subsection", "s1", json.dumps({"variables": [v("old"), v("new")]})),
+        (2, "subsection", "s1", json.dumps({"variables": [v("same"), v("same")]})),
+        (3, "subsection", "s1", json.dumps({"body": ["a b", "a  b"], "variables": [v("x"), v("y")]})),
+        (4, "subsection", "s2", json.dumps({"body": ["a", "c"]})),
+        (5, "section", "s1", json.dumps({"variables": [v("old"), v("new")]})),
+    ]
+    events = spark.createDataFrame(log, "id long, model string, object_id string, changed_fields string")
+    subs = spark.createDataFrame([("s1", "Dear {Name}, hello"), ("s2", "c")], "id string, body string")
+    got = rows(audit.event_diffs(events, subs), "id", "object_id", "old_body", "new_body")
+    assert got == [(1, "s1", "Dear old, hello", "Dear new, hello"), (4, "s2", "a", "c")]

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from tomeflow import fixed_values as V
 from tomeflow.functions import changes as C
 from tomeflow.functions import text as X
-from tomeflow.operators import ordered
+from tomeflow.operators import ordered, templates
 
 CREATE, UPDATE, DELETE = 1, 2, 3
 HOUR_MINUTES = 60
@@ -260,9 +260,16 @@ def backfill_print_logs(events: DataFrame, action: str = "print") -> DataFrame:
     return events.withColumn("changed_fields", F.when(c.rlike(line), new).otherwise(c))
 
 
-def event_diffs(events: DataFrame) -> DataFrame:
-    """Subsection events whose body change is visible once whitespace is normalised."""
-    pair = C.values("body")
-    rows = events.filter(F.col("model") == "subsection").withColumn("__pair", pair).filter(F.size("__pair") == 2)
-    old, new = F.col("__pair")[0], F.col("__pair")[1]
-    return rows.filter(~X.squeeze(old).eqNullSafe(X.squeeze(new))).select("id", "object_id", old.alias("old_body"), new.alias("new_body"))
+def event_diffs(events: DataFrame, subsections: DataFrame) -> DataFrame:
+    """Subsection events whose change is visible once whitespace is normalised, with the text before and after.
+
+    A change of the body shows both bodies; without one, a change of the variables shows the subsection's present body with
+    the old and the new values put in. ``subsections`` gives the bodies (id, body)."""
+    rows = events.filter(F.col("model") == "subsection").withColumn("__body", C.values("body")).withColumn("__vars", C.values("variables"))
+    seen = ~X.squeeze(F.col("old_body")).eqNullSafe(X.squeeze(F.col("new_body")))
+    changed = F.size("__body") == 2
+    direct = rows.filter(changed).select("id", "object_id", F.col("__body")[0].alias("old_body"), F.col("__body")[1].alias("new_body"))
+    filled = rows.filter(~F.coalesce(changed, F.lit(False)) & (F.size("__vars") == 2)).join(subsections.select(F.col("id").alias("object_id"), "body"), "object_id")
+    put = lambda k: templates.substitute(F.col("body"), F.from_json(F.col("__vars")[k], templates.VARIABLES))
+    through = filled.select("id", "object_id", put(0).alias("old_body"), put(1).alias("new_body"))
+    return direct.unionByName(through).filter(seen)

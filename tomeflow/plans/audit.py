@@ -212,4 +212,4 @@ def _(r):
     FROM evk WHERE model = 'subsection' AND list_contains(keys, 'body'))
   SELECT * FROM b WHERE trim(regexp_replace(old_body, '\\s+', ' ', 'g')) <> trim(regexp_replace(new_body, '\\s+', ' ', 'g'))""", ("r_events",))
 def _(r):
-    return A.event_diffs(r.events)
+    return A.event_diffs(r.events, r.subsections.select("id", "body"))
