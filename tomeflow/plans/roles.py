@@ -6,8 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tomeflow.operators import ordered
 from tomeflow.plans import role_text as R
 from tomeflow.session import cut
 from tomeflow.sources.tables import read_table
@@ -43,20 +43,15 @@ class Roles:
     @cached_property
     def sections(self) -> DataFrame:
         rows = self.table("orders").selectExpr(*_split(R.SECTIONS))
-        numbered = ordered.scan(
-            rows, ["document_id"], ["seq_key"], ordered.chunk_of("seq_key", 1 << 20), order=ordered.row_number()
-        )
-        return numbered.withColumn("order", F.col("order").cast("int")).drop("seq_key")
+        place = F.row_number().over(W.partitionBy("document_id").orderBy("seq_key"))
+        return rows.withColumn("order", place).drop("seq_key")
 
     @cached_property
     def subsections(self) -> DataFrame:
+        """Rows of an order, seven at most, numbered; so a plain window serves here, as for the orders of a customer."""
         rows = self.table("lineitem").selectExpr(*_split(R.SUBSECTIONS), *R.LINE_ORDER)
-        chunk = F.struct(F.col("l_linenumber"), ordered.chunk_of("l_partkey"))
-        numbered = ordered.scan(rows, ["section_id"], R.LINE_ORDER, chunk, order=ordered.row_number())
-        return numbered.select(
-            F.concat_ws("-", "section_id", "order").alias("id"),
-            "*",
-        ).withColumn("order", F.col("order").cast("int")).drop(*R.LINE_ORDER)
+        numbered = rows.withColumn("order", F.row_number().over(W.partitionBy("section_id").orderBy(*R.LINE_ORDER)))
+        return numbered.select(F.concat_ws("-", "section_id", "order").alias("id"), "*").drop(*R.LINE_ORDER)
 
     def stored(self) -> Roles:
         """Write the numbered subsections once, as a store would hold them, for queries that read them several times."""
