@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.llm import language
@@ -36,7 +37,9 @@ def test_parse_equals_plain_loop():
         assert row == want, t
 
 
-def test_held_out_and_edges(spark):
+@pytest.mark.parametrize("most", [400, 12])
+def test_held_out_and_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "ROWS", most)
     rnd = random.Random(4)
     rows = [(i, say(rnd, lang, rnd.choice([3, 20, 200])), lang, "s") for i, lang in enumerate(rnd.choices(list(SYLLABLES), k=120))]
     rows += [(500, None, "aa", None), (501, "", "aa", "s"), (502, "1234 !!", "bb", "s"), (None, say(rnd, "aa", 9), "aa", "s"), (503, say(rnd, "bb", 9), None, "s"), (504, "ström " * 40000, None, "s"), (7, rows[7][1], rows[7][2], "s")]

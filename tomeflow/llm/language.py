@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import smallest_hashes
+from tomeflow.session import cut
 
 #: Labelled text taken per language: rows, characters a row may give, characters in all; and of all languages together, which
 #: share it evenly, as the automata of a worker hold about a kilobyte for every four characters.
@@ -202,17 +202,24 @@ def learn(labelled: DataFrame) -> Model:
     """Fit on rows (id, text, lang). Per language at most ``ROWS`` rows, those with the smallest hash of id, the first
     ``ROW_LETTERS`` characters of each and ``LETTERS`` in all; at most ``LANGUAGES`` languages. That sample comes to the driver."""
     rows = labelled.where("text is not null and lang is not null and id is not null").select("id", "lang", F.substring("text", 1, ROW_LETTERS).alias("text"))
-    named = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    most = min(LETTERS, ALL_LETTERS // max(1, len(named)))
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    # one pass for all languages: below a bound on the hash lie about twice as many rows as are wanted
+    drawn = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31)))
+    bound = F.lit(0)
+    for lang, n in size.items():
+        bound = F.when(F.col("lang") == lang, F.lit(int((1 << 31) * min(1.0, 2 * ROWS / n)))).otherwise(bound)
+    few = cut(drawn.where(F.col("h") < bound))
+    got = {r["lang"]: r["count"] for r in few.groupBy("lang").count().collect()}
+    if any(got.get(lang, 0) < min(ROWS, n) for lang, n in size.items()):  # very unequal repeats
+        few = drawn.where(F.col("lang").isin(list(size)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
+    most = min(LETTERS, ALL_LETTERS // max(1, len(size)))
     samples: dict[str, list[str]] = {}
-    for lang in named:
-        texts, size = [], 0
-        for t in (r["text"] for r in smallest_hashes(rows.where(F.col("lang") == lang), ROWS, "id", "text").collect()):
-            if size < most and any(c.isalpha() for c in t):
-                texts.append(t[: most - size])
-                size += len(texts[-1])
-        if texts:
-            samples[lang] = texts
+    left = dict.fromkeys(size, most)
+    for r in few.withColumn("place", place).where(F.col("place") <= ROWS).orderBy("lang", "place").collect():
+        if left[r["lang"]] > 0 and any(c.isalpha() for c in r["text"]):
+            samples.setdefault(r["lang"], []).append(r["text"][: left[r["lang"]]])
+            left[r["lang"]] -= len(samples[r["lang"]][-1])
     return Model(samples)
 
 
