@@ -5,8 +5,8 @@ At the first length only anchors are counted: of every full window the part of t
 have equal anchors at equal offsets, so a window whose anchor is unique is unique, and about one word in ten is an anchor. At each
 further length the surviving windows are tested by their beginning and their end of that length, last by themselves.
 
-Counts are pre-aggregated, so a passage in a third of all rows is one number per task. What a count sends back is, at the first
-level, the repeated hashes, and later the *unique* windows: a hash met once carries its own place, so nothing is joined back."""
+Counts are pre-aggregated, so a passage in a third of all rows is one number per task. What a count sends back are the *unique*
+anchors and windows: a hash met once carries its own place, so nothing is joined back by hash and no level depends on size."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from tomeflow.session import cut
 
 WINDOW = 35
 START = 18
-#: Repeated hashes and keys of rows are broadcast up to this count; beyond it Spark shuffles both sides.
+#: Keys of rows are broadcast up to this count; beyond it Spark shuffles both sides.
 SMALL_ROWS = 500_000
 
 Batches = Iterator[pa.RecordBatch]
@@ -65,10 +65,10 @@ def _first(window: int, start: int) -> Callable[[Batches], Batches]:
     return work
 
 
-def _candidates(sums: np.ndarray, n: int, window: int, start: int, kept: np.ndarray) -> np.ndarray:
-    """Starts of the full windows whose anchor is one of ``kept``."""
+def _candidates(sums: np.ndarray, n: int, window: int, start: int, alone: np.ndarray) -> np.ndarray:
+    """Starts of the full windows whose anchor is none of ``alone``, the unique ones."""
     at, _, first, last = rolling.anchors(sums, n, window, start)
-    good = np.isin(at, kept)
+    good = ~np.isin(at, alone)
     return rolling.ranges(first[good], last[good])
 
 
@@ -82,12 +82,12 @@ def _level(window: int, start: int, done: list[int], length: int) -> Callable[[B
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
-            kept = batch.column("kept").to_pylist()
+            alone = batch.column("alone").to_pylist()
             unique = [batch.column(f"unique_{k}").to_pylist() for k in done]
             hashes, places = [], []
             for i, raw in enumerate(raw_texts(batch)):
                 sums, n = rolling.word_sums(raw)
-                starts = _candidates(sums, n, window, start, np.array(kept[i], np.int64))
+                starts = _candidates(sums, n, window, start, np.array(alone[i] or [], np.int64))
                 for k, u in zip(done, unique, strict=True):
                     starts = _survivors(starts, window, k, np.array(u[i] or [], np.int64))
                 at = np.union1d(starts, starts + window - length)
@@ -103,12 +103,12 @@ def _level(window: int, start: int, done: list[int], length: int) -> Callable[[B
 def _last(window: int, start: int, done: list[int]) -> Callable[[Batches], Batches]:
     def work(batches: Batches) -> Batches:
         for batch in batches:
-            kept = batch.column("kept").to_pylist()
+            alone = batch.column("alone").to_pylist()
             unique = [batch.column(f"unique_{k}").to_pylist() for k in done]
             n_words, removed, digests, texts = [], [], [], []
             for i, raw in enumerate(raw_texts(batch)):
                 sums, n = rolling.word_sums(raw)
-                starts = _candidates(sums, n, window, start, np.array(kept[i], np.int64))
+                starts = _candidates(sums, n, window, start, np.array(alone[i] or [], np.int64))
                 for k, u in zip(done, unique, strict=True):
                     starts = _survivors(starts, window, k, np.array(u[i] or [], np.int64))
                 gone = rolling.covered(starts, window, n)
@@ -138,21 +138,23 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     kind = docs.schema[doc_id].dataType.simpleString()
     base = cut(keyed.mapInArrow(_first(window, start), f"row_key long, doc_id {kind}, n_words long, sha string, places array<int>, hashes array<long>"))
     at = base.select("row_key", F.explode(F.arrays_zip("places", "hashes")).alias("a")).select("row_key", F.col("a.places").alias("place"), F.col("a.hashes").alias("h"))
-    twice = cut(at.groupBy("h").count().where("count > 1").select("h"))
-    marks = cut(at.join(small(twice, SMALL_ROWS), "h").groupBy("row_key").agg(F.collect_set("place").alias("kept")))
+    once = at.groupBy("h").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min("place").alias("place")).where("n = 1")
+    alone = once.groupBy("row_key").agg(F.collect_list("place").alias("alone"))
+    anchored = base.groupBy("row_key").agg(F.max(F.size("places")).alias("anchors")).where("anchors > 0")
+    marks = cut(anchored.join(alone, "row_key", "left").where(F.coalesce(F.size("alone"), F.lit(0)) < F.col("anchors")).drop("anchors"))
     length, done = start, []
     while length < window:
         length = min(2 * length, window)
         # only rows that still have candidates are read on; texts pass one shuffle, by row
         alive = keyed.join(small(marks.select("row_key"), SMALL_ROWS), "row_key", "left_semi").join(marks, "row_key")
-        parts = alive.select("row_key", "text", "kept", *(f"unique_{k}" for k in done)).mapInArrow(_level(window, start, list(done), length), "h long, row_key long, place int")
+        parts = alive.select("row_key", "text", "alone", *(f"unique_{k}" for k in done)).mapInArrow(_level(window, start, list(done), length), "h long, row_key long, place int")
         alone = parts.groupBy("h").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min("place").alias("place")).where("n = 1")
         unique = cut(alone.groupBy("row_key").agg(F.collect_list("place").alias(f"unique_{length}")))
         marks = cut(marks.join(unique, "row_key", "left"))
         done.append(length)
     final = keyed.join(small(marks.select("row_key"), SMALL_ROWS), "row_key", "left_semi").join(marks, "row_key")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    changed = final.select("doc_id", "text", "kept", *(f"unique_{k}" for k in done)).mapInArrow(_last(window, start, done), schema)
+    changed = final.select("doc_id", "text", "alone", *(f"unique_{k}" for k in done)).mapInArrow(_last(window, start, done), schema)
     return base.select("row_key", "doc_id", "n_words", "sha").join(small(marks.select("row_key"), SMALL_ROWS), "row_key", "left_anti"), changed
 
 
