@@ -68,3 +68,21 @@ def test_nothing_to_learn_from(spark):
     assert [(r.score, r.is_secret) for r in secrets.scan(one).collect()] == [(1.0, True)]
     assert secrets.scan(one.limit(0)).count() == 0 and secrets.redact(one.limit(0)).count() == 0
     assert [r.text for r in secrets.redact(one).collect()] == ["password=[SECRET]"]
+
+
+def test_clean_corpus_stays_clean(spark):
+    text = "see lib/python3/site-packages/foo.py and report_final_v2_2023.pdf or linux-image-5.10.0-8-amd64 and someone77@mail1.example.com"
+    df = spark.createDataFrame([(1, text, "s"), (2, text.split(" or ")[0], "s")], "doc_id long, text string, source string")
+    got = secrets.scan(df).collect()
+    assert len(got) == 6 and not any(r.is_secret for r in got)
+    assert {r.text for r in secrets.redact(df).collect()} == {text, text.split(" or ")[0]}
+
+
+def test_one_secret_among_many(spark, monkeypatch):
+    monkeypatch.setattr(secrets.score, "__defaults__", (50,))
+    rows = [(i, f"write to person{i:05d}@mail{i % 7}.example.com please", "s") for i in range(2000)]
+    rows.append((5000, "here password=0a1b2c3d4e5f60718293 is", "s"))
+    rows.append((5001, "the password is = 9c8b7a6d5e4f30211203 here", "s"))
+    rows.append((5002, "look into lib/python3/site-packages/foo.py there", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in secrets.scan(df).where("is_secret").collect()) == [5000, 5001]

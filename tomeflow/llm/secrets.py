@@ -4,10 +4,13 @@ Candidates are runs of key-like characters with a digit in them. Their labelled
 (``CERTAIN``; a caller can give its own, hand-labelled ones instead). The forest never sees those formats: its features are the
 length, the transitions between kinds of characters, how much of the candidate the corpus itself uses as words (dictionary
 coverage over all texts), marks of paths, and the words around. It then judges every candidate. The fit uses a bounded sample of
-the labelled findings (``SAMPLE``); candidates, dictionary counts and scores cover all texts."""
+the labelled findings of either label (``SAMPLE``); candidates, dictionary counts and scores cover all texts."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,7 +38,9 @@ CERTAIN = (
     (False, r"^[A-Za-z]+[.:/-]?[0-9]{1,4}[.:]?$", None),
 )
 KEYWORD = r"(?i)pass|secret|token|key|auth|credential|bearer|login"
+#: Labelled findings of each label in the fit, and to how many rows a label with fewer is repeated.
 SAMPLE = 20_000
+FEW = 20
 TREES = 20
 DEPTH = 6
 THRESHOLD = 0.5
@@ -99,19 +104,22 @@ def features(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 
 
 def score(measured: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``measured`` (with ``label`` 1, 0 or null) and ``score``, the forest's share for "secret". The fit takes the ``sample``
-    labelled rows with the smallest hash. Without labelled rows of both kinds there is no forest: the score is the label, and
-    0.5 where there is none."""
+    """``measured`` (with ``label`` 1, 0 or null) and ``score``, the forest's share for "secret". The fit takes, of each label, the
+    ``sample`` labelled rows with the smallest hash; weights bring both labels to equal shares, as all labelled rows would have
+    them. Labels with few rows are repeated up to ``FEW``, so that hardly a tree draws none. Without labelled rows of both kinds
+    there is no forest: the score is the label, and 0 where there is none."""
     own = [c for c in measured.columns if c not in FEATURES]
-    told = measured.where("label is not null").select("candidate", F.col("label").cast("double").alias("label"), *FEATURES).distinct()
-    train = cut(smallest_hashes(told, sample, "candidate", "label", *FEATURES))
+    told = cut(measured.where("label is not null").select("candidate", F.col("label").cast("double").alias("label"), *FEATURES).distinct())
+    train = cut(reduce(DataFrame.union, (smallest_hashes(told.where(F.col("label") == k), sample, "candidate", "label", *FEATURES) for k in (0, 1))))
     n, ones = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
-        return measured.select(*own, F.coalesce(F.col("label").cast("double"), F.lit(0.5)).alias("score"))
+        return measured.select(*own, F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("score"))
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    weight = F.when(F.col("label") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones)))
+    copies = {1: max(1, math.ceil(FEW / ones)), 0: max(1, math.ceil(FEW / (n - ones)))}
+    weight = F.when(F.col("label") == 1, n / (2 * ones * copies[1])).otherwise(n / (2 * (n - ones) * copies[0]))
+    repeats = F.explode(F.array_repeat(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0])))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt", weightCol="weight")
-    model = forest.fit(gather.transform(train.withColumn("weight", weight)).coalesce(2))
+    model = forest.fit(gather.transform(train.withColumn("weight", weight).withColumn("copy", repeats)).coalesce(2))
     return model.transform(gather.transform(measured)).select(*own, vector_to_array("probability")[1].alias("score"))
 
 
