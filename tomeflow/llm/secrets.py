@@ -1,6 +1,7 @@
 """Secret scan with a random forest for false-positive removal, with DataFrame functions and Spark ML only.
 
-Candidates are runs of key-like characters with a digit in them. Their labelled findings come from formats that leave no doubt
+Candidates are runs of key-like characters with a digit in them, values after key words, passwords in addresses and known key
+formats (``VALUES``). Their labelled findings come from formats that leave no doubt
 (``CERTAIN``; a caller can give its own, hand-labelled ones instead). The forest never sees those formats: its features are the
 length, the transitions between kinds of characters, how much of the candidate the corpus itself uses as words (dictionary
 coverage over all texts), marks of paths, and the words around. It then judges every candidate. The fit uses a bounded sample of
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,8 +23,23 @@ from tomeflow.llm.common import small, smallest_hashes, words
 from tomeflow.session import cut
 
 LEAST = 16
-#: A candidate: at least ``LEAST`` key characters in a row, one of them a digit.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_.@:-])(?=[A-Za-z+/_.@:-]*[0-9])[A-Za-z0-9+/_.@:-]{{{LEAST},}}=*"
+#: Key formats that need no digit.
+KNOWN = r"AKIA[A-Z2-7]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_.-]{10,}"
+#: A candidate: at least ``LEAST`` key characters in a row, one of them a digit, or a known format.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_.@:-])(?=[A-Za-z+/_.@:-]*[0-9]|{KNOWN})[A-Za-z0-9+/_.@:-]{{{LEAST},}}=*"
+#: Least characters of a value after a key word with = or :, or of a password in user:password@host; these need no digit.
+SHORT = 8
+KEYED = r"(?:pass(?:word|wd)?|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?"
+#: Values that are candidates wherever they begin, tried on a word after the two words before it (the value is in the last word).
+VALUES = (
+    rf"(?i){KEYED}([A-Za-z0-9+/_.@:!#$%^&*?~-]{{{SHORT},}}=*)(?=\S*$)",
+    rf"[^\s/:@](?<!mail|mailto):([^\s/:@\"']{{{SHORT},}})@[A-Za-z0-9](?=\S*$)",
+    rf"(?<![A-Za-z0-9])({KNOWN})(?=\S*$)",
+)
+#: Any of them in a whole text, without regard to words.
+ANY_VALUE = "|".join(v.replace("(?i)", "").replace(r"(?=\S*$)", "").join(("(?i:", ")") if v.startswith("(?i)") else ("(?:", ")")) for v in VALUES)
+#: A name before a colon, which is cut off a candidate whose rest is one too; not a scheme.
+NAME = r"^[A-Za-z][A-Za-z_-]{2,}:(?![:/])"
 #: Formats that leave no doubt, tried in order on the candidate (c), the words before it (before) and its own word (word).
 CERTAIN = (
     (True, r"^AKIA[A-Z2-7]{16}$", None),
@@ -30,9 +47,10 @@ CERTAIN = (
     (True, r"^(sk|rk)_(live|test)_[A-Za-z0-9]{16,}$", None),
     (True, r"^xox[abprs]-[A-Za-z0-9-]{10,}$", None),
     (True, r"^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", None),
-    (False, r"@", None),
+    (True, r"[0-9]", r"[^\s/:@]+://[^\s/:@]+:$"),
+    (False, r"^(?!.*[^/:@](?<!mail|mailto):[^/:@]+@).*@[A-Za-z0-9-]+\.", None),
     (False, r"^[0-9 .:+/-]+$", None),
-    (False, r"^(https?:)?//|^www\.", None),
+    (False, r"^(?!.*[^/:@](?<!mail|mailto):[^/:@]+@)((https?:)?//|www\.)", None),
     (False, r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", None),
     (True, r"[0-9]", r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?$"),
     (False, r"^[A-Za-z]+[.:/-]?[0-9]{1,4}[.:]?$", None),
@@ -53,20 +71,28 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
     precedes it in its own word), after (the next word)."""
     w = words(F.col(text))
     src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source and source in docs.columns else F.lit("")
-    read = docs.where(F.col(text).rlike(CANDIDATE)).select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(doc_id).alias("doc_id"), src.alias("source"), w.alias("w"))
-    numbered = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("i")))
-    found = F.filter(numbered, lambda x: (F.length(x["word"]) >= LEAST) & x["word"].rlike(CANDIDATE))
-    near = F.transform(
-        found,
-        lambda x: F.struct(
-            x["word"].alias("word"), x["i"].alias("word_no"),
-            F.concat_ws(" ", F.get("w", x["i"] - 2), F.get("w", x["i"] - 1)).alias("left"), F.coalesce(F.get("w", x["i"] + 1), F.lit("")).alias("after"),
-        ),
-    )
-    rows = read.select("row_key", "doc_id", "source", F.explode(near).alias("n")).select("row_key", "doc_id", "source", "n.*")
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("part", "candidate"))
+    read = docs.where(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(ANY_VALUE)).select(F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(doc_id).alias("doc_id"), src.alias("source"), w.alias("w"))
+    numbered = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("word_no"), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("left")))
+    said = lambda x: F.concat_ws(" ", x["left"], x["word"])
+    wanted = lambda x: (F.length(x["word"]) >= SHORT) & (x["word"].rlike(CANDIDATE) | reduce(or_, (said(x).rlike(v) for v in VALUES)))
+    rows = read.select("row_key", "doc_id", "source", "w", F.explode(F.filter(numbered, wanted)).alias("n"))
+    rows = rows.select("row_key", "doc_id", "source", "n.*", F.coalesce(F.get("w", F.col("n.word_no") + 1), F.lit("")).alias("after"))
+    bare = lambda c: F.regexp_replace(c, r"[.:,-]+$", "")
+    # a lookahead to the end lets a value be in the last word only
+    whole = F.concat_ws(" ", "left", "word")
+    values = F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(whole, F.lit(v), 1) for v in VALUES)), bare))
+    rows = rows.withColumn("values", F.filter(values, lambda c: F.length(c) >= SHORT))
+    runs = F.transform(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), bare)
+    rest = lambda c: F.regexp_replace(c, NAME, "")
+    stands = lambda c: (F.length(rest(c)) >= LEAST) & rest(c).rlike("[0-9]") & ~c.rlike(r":[^/:@]+@")
+    runs = F.transform(runs, lambda c: F.when((F.length(c) >= LEAST) & (stands(c) | F.array_contains("values", rest(c))), rest(c)).otherwise(c))
+    # runs too short keep their number; a run that is a piece of a value, or the same, is given once
+    more = F.filter("values", lambda v: ~F.exists("runs", lambda c: c == v))
+    held = F.filter(F.transform("runs", lambda c, i: F.struct(i.alias("part"), c.alias("candidate"))), lambda p: (F.length(p["candidate"]) >= LEAST) | F.array_contains("values", p["candidate"]))
+    added = F.transform(more, lambda c, i: F.struct((F.size("runs") + i).alias("part"), c.alias("candidate")))
+    rows = rows.withColumn("runs", runs).withColumn("p", F.explode(F.concat(held, added))).select("*", "p.part", "p.candidate")
     before = F.concat_ws(" ", "left", F.expr("left(word, instr(word, candidate) - 1)"))
-    return rows.select("row_key", "doc_id", "source", "word_no", "part", F.regexp_replace("candidate", r"[.:,-]+$", "").alias("candidate"), before.alias("before"), "after").where(F.length("candidate") >= LEAST)
+    return rows.select("row_key", "doc_id", "source", "word_no", "part", "candidate", before.alias("before"), "after")
 
 
 def certain(candidate: Column, before: Column) -> Column:
