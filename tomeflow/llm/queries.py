@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, embeddings, language, mixing, quality, secrets, simhash, substrings, suffixes, tokens
+from tomeflow.llm import decontaminate, embeddings, language, mixing, quality, secrets, simhash, spelling, substrings, suffixes, tokens
 from tomeflow.llm.common import learning_row, table
 
 
@@ -57,5 +57,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier)}
-SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier, op11_spelling_variants)}
+SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL, "op11_spelling_variants": spelling.SQL}
