@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, embeddings, language, mixing, quality, secrets, simhash, spelling, substrings, suffixes, tokens
+from tomeflow.llm import decontaminate, embeddings, language, mixing, ngrams, quality, ranking, secrets, simhash, spelling, substrings, suffixes, tokens
 from tomeflow.llm.common import learning_row, table
 
 
@@ -61,5 +61,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier, op11_spelling_variants)}
-SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL, "op11_spelling_variants": spelling.SQL}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = lambda i: learning_row(i, 7, 2)
+    said = ngrams.score(table(spark, sf_dir, "documents"), learn)
+    return said.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_secret_scans, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_mix_to_targets, op10_quality_classifier, op11_spelling_variants, op12_ranked_search, op13_lm_scoring)}
+SQL: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.SQL, "op11_spelling_variants": spelling.SQL, "op12_ranked_search": ranking.SQL}
