@@ -31,9 +31,10 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_.@:-])(?=[A-Za-z+/_.@:-]*[0-9]|{KNOWN})[A-Za-z0-
 SHORT = 8
 KEYED = r"(?:pass(?:word|wd)?|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?"
 #: Values that are candidates wherever they begin, tried on a word after the two words before it (the value is in the last word).
+ADDRESS = rf"[^\s/:@](?<!mail|mailto):([^\s/:@\"']{{{SHORT},}})@[A-Za-z0-9]"
 VALUES = (
     rf"(?i){KEYED}([A-Za-z0-9+/_.@:!#$%^&*?~-]{{{SHORT},}}=*)(?=\S*$)",
-    rf"[^\s/:@](?<!mail|mailto):([^\s/:@\"']{{{SHORT},}})@[A-Za-z0-9](?=\S*$)",
+    rf"{ADDRESS}(?=\S*$)",
     rf"(?<![A-Za-z0-9])({KNOWN})(?=\S*$)",
 )
 #: Any of them in a whole text, without regard to words.
@@ -88,7 +89,8 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
     runs = F.transform(runs, lambda c: F.when((F.length(c) >= LEAST) & (stands(c) | F.array_contains("values", rest(c))), rest(c)).otherwise(c))
     # runs too short keep their number; a run that is a piece of a value, or the same, is given once
     more = F.filter("values", lambda v: ~F.exists("runs", lambda c: c == v))
-    held = F.filter(F.transform("runs", lambda c, i: F.struct(i.alias("part"), c.alias("candidate"))), lambda p: (F.length(p["candidate"]) >= LEAST) | F.array_contains("values", p["candidate"]))
+    # an address with a password in it is no candidate, its password is
+    held = F.filter(F.transform("runs", lambda c, i: F.struct(i.alias("part"), c.alias("candidate"))), lambda p: ((F.length(p["candidate"]) >= LEAST) & ~p["candidate"].rlike(ADDRESS)) | F.array_contains("values", p["candidate"]))
     added = F.transform(more, lambda c, i: F.struct((F.size("runs") + i).alias("part"), c.alias("candidate")))
     rows = rows.withColumn("runs", runs).withColumn("p", F.explode(F.concat(held, added))).select("*", "p.part", "p.candidate")
     before = F.concat_ws(" ", "left", F.expr("left(word, instr(word, candidate) - 1)"))
@@ -113,8 +115,10 @@ def features(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
     three or more letters which occur, lower-cased, as words of the corpus at least twice; occurrences are counted over all texts."""
     runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]{3,})"), 1)
     sought = cut(found.select(F.explode(runs(F.col("candidate"))).alias("run")).distinct())
-    said = docs.select(F.explode(words(F.lower(F.col(text)))).alias("run"))
-    known = cut(said.join(small(sought, DICTIONARY_ROWS), "run", "left_semi").groupBy("run").count().where("count >= 2").select("run", F.length("run").alias("len")))
+    # counted before the join: a frequent word is one row per task, and at most the sought words come out
+    said = docs.select(F.explode(words(F.lower(F.col(text)))).alias("run")).where(F.length("run") >= 3)
+    counts = said.groupBy("run").count().where("count >= 2").select("run", F.length("run").alias("len"))
+    known = cut(counts.join(small(sought, DICTIONARY_ROWS), "run", "left_semi"))
     each = found.select("candidate").distinct().select("candidate", F.explode(runs(F.col("candidate"))).alias("run"))
     covered = each.join(known, "run").groupBy("candidate").agg(F.sum("len").alias("covered"))
     c, b = F.col("candidate"), F.col("before")
