@@ -57,3 +57,29 @@ def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(df, lambda i: F.lit(True)).collect()] == [("und", 0.0)]
     assert language.identify(df.limit(0), lambda i: F.lit(True)).count() == 0
+
+
+def test_shared_openings_do_not_hide_the_language(spark):
+    """All documents begin with the same 2,000 characters, more than a sampled stretch."""
+    rnd = random.Random(6)
+    opening = (say(rnd, "aa", 700) + " ")[:2000]
+    rows = [(i, opening + say(rnd, lang, 120), lang) for i, lang in enumerate(rnd.choices(["bb", "cc"], k=300))]
+    learned = lambda i: learning_row(i, 3, 1)
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned).where(~learned(F.col("doc_id"))).collect()
+    assert len(got) > 60 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    """Every labelled language is learned, in several passes over the texts, and the passes agree with a single one."""
+    rnd = random.Random(8)
+    vocab = {f"l{k:03d}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(8)] for k in range(300)}
+    rows = [(i, " ".join(rnd.choices(vocab[lang], k=12)), lang) for i, lang in enumerate(sorted(vocab) * 4)] + [(9000, None, "l000"), (9001, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    learned = lambda i: learning_row(i, 3, 1)
+    got = {r.doc_id: (r.lang, r.lang_pred, round(r.score, 9)) for r in language.identify(df, learned).collect()}
+    held = [v for i, v in got.items() if i < 9000]
+    assert sum(a == b for a, b, _ in held) / len(held) > 0.95 and len({b for _, b, _ in held}) > 280
+    monkeypatch.setattr(language, "ALL_LETTERS", 20_000)
+    again = {r.doc_id: (r.lang, r.lang_pred, round(r.score, 9)) for r in language.identify(df, learned).collect()}
+    same = sum(got[i] == again[i] for i in got)
+    assert same / len(got) > 0.99 and again[9000][1:] == again[9001][1:] == ("und", 0.0)

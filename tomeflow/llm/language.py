@@ -6,27 +6,32 @@ ends, so a text's count is the sum over its words, and a word that comes often i
 
 Parsing runs over all distinct words of a batch at once, one letter place after the other, as look-ups in the automaton's table
 (state and letter give the next state, or the state a new phrase starts in). Only the fit is bounded (``LETTERS`` per language,
-rows with the smallest hash of their id first); every letter of every text is parsed."""
+stretches at hashed places of the rows with the smallest hash of their id); every letter of every text is parsed. Every labelled
+language is learned: languages whose samples together exceed ``ALL_LETTERS`` take further passes over the texts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomeflow.llm.common import small
 from tomeflow.session import cut
 
-#: Labelled text taken per language: rows, characters a row may give, characters in all; and of all languages together, which
-#: share it evenly, as the automata of a worker hold about a kilobyte for every four characters.
+#: Labelled text taken per language: rows, characters a row may give (a stretch at a hashed place of the whole text), characters
+#: in all.
 ROWS = 400
 ROW_LETTERS = 500
 LETTERS = 80_000
+#: Characters of the samples of one pass: the automata of a worker hold about a kilobyte for every four.
 ALL_LETTERS = 400_000
-#: Most languages learned, the most frequent first; bounds the tables that are sent to tasks.
-LANGUAGES = 200
+#: Labelled languages whose counts are broadcast; beyond it Spark shuffles both sides.
+MANY = 100_000
 #: Letters of the alphabet that have a symbol of their own; rarer ones share one.
 SYMBOLS = 126
 CHUNK = 2_000_000
@@ -158,10 +163,9 @@ class Model:
             counts[:, k] = np.bincount(owner[begins], weights=phrases[rank][back], minlength=len(texts)).astype(np.int64)
         return counts, letters
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of every text; the score is 1 less the ratio of the best entropy to the next, scaled to 0 to 1."""
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known, size = [], 0
+    def nearest(self, texts: list[str | None]) -> list[list[tuple[float, str]]]:
+        """The two languages with the least entropy (phrases, each as a place in the sample) for every text with a letter."""
+        out: list[list[tuple[float, str]]] = [[] for _ in texts]
         todo = [(i, t) for i, t in enumerate(texts) if t]
         while todo and self.names:
             known, size = [], 0
@@ -172,10 +176,8 @@ class Model:
             entropy = counts * np.array(self.bits)
             for (i, _), row, n in zip(known, entropy, letters, strict=True):
                 if n:
-                    best = np.argsort(row, kind="stable")
-                    names[i] = self.names[best[0]]
-                    scores[i] = 1.0 if len(row) == 1 else float(min(1.0, max(0.0, 1.0 - row[best[0]] / max(row[best[1]], 1e-9))))
-        return names, scores
+                    out[i] = [(float(row[k]), self.names[k]) for k in np.argsort(row, kind="stable")[:2]]
+        return out
 
 
 _tables: dict[int, np.ndarray] = {}
@@ -198,29 +200,44 @@ def _inverse(n: int) -> np.ndarray:
     return _power(pow(0x9E3779B97F4A7C15, -1, 1 << 64), n)
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Fit on rows (id, text, lang). Per language at most ``ROWS`` rows, those with the smallest hash of id, the first
-    ``ROW_LETTERS`` characters of each and ``LETTERS`` in all; at most ``LANGUAGES`` languages. That sample comes to the driver."""
-    rows = labelled.where("text is not null and lang is not null and id is not null").select("id", "lang", F.substring("text", 1, ROW_LETTERS).alias("text"))
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+def samples(labelled: DataFrame) -> DataFrame:
+    """lang, place, text: bounded samples of rows (id, text, lang), of every language. Per language the ``ROWS`` rows with the
+    smallest hash of id and text, of each a stretch of ``ROW_LETTERS`` characters at a hashed place of the whole text."""
+    rows = labelled.where("text is not null and lang is not null and id is not null").select("id", "lang", "text")
+    size = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
     # one pass for all languages: below a bound on the hash lie about twice as many rows as are wanted
-    drawn = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31)))
-    bound = F.lit(0)
-    for lang, n in size.items():
-        bound = F.when(F.col("lang") == lang, F.lit(int((1 << 31) * min(1.0, 2 * ROWS / n)))).otherwise(bound)
-    few = cut(drawn.where(F.col("h") < bound))
-    got = {r["lang"]: r["count"] for r in few.groupBy("lang").count().collect()}
-    if any(got.get(lang, 0) < min(ROWS, n) for lang, n in size.items()):  # very unequal repeats
-        few = drawn.where(F.col("lang").isin(list(size)))
+    drawn = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31))).join(small(size, MANY), "lang")
+    at = F.pmod(F.xxhash64("text", "id"), F.greatest(F.length("text") - ROW_LETTERS, F.lit(0)) + 1).cast("int")
+    stretch = F.substr("text", at + 1, F.lit(ROW_LETTERS)).alias("text")
+    few = cut(drawn.where(F.col("h") < F.lit(float(1 << 31)) * F.least(F.lit(1.0), 2 * ROWS / F.col("n"))).select("lang", "h", "id", stretch))
+    got = few.groupBy("lang").agg(F.count("*").alias("got"))
+    if not size.join(got, "lang", "left").where(F.coalesce("got", F.lit(0)) < F.least("n", F.lit(ROWS))).isEmpty():  # very unequal repeats
+        few = drawn.select("lang", "h", "id", stretch)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    most = min(LETTERS, ALL_LETTERS // max(1, len(size)))
-    samples: dict[str, list[str]] = {}
-    left = dict.fromkeys(size, most)
-    for r in few.withColumn("place", place).where(F.col("place") <= ROWS).orderBy("lang", "place").collect():
-        if left[r["lang"]] > 0 and any(c.isalpha() for c in r["text"]):
-            samples.setdefault(r["lang"], []).append(r["text"][: left[r["lang"]]])
-            left[r["lang"]] -= len(samples[r["lang"]][-1])
-    return Model(samples)
+    return cut(few.withColumn("place", place).where(F.col("place") <= ROWS).select("lang", "place", "text"))
+
+
+def learn(labelled: DataFrame) -> Iterator[Model]:
+    """Models of the languages of ``labelled`` (id, text, lang) that have a letter, so many at a time that their samples hold at
+    most ``ALL_LETTERS`` characters; the samples of one model come to the driver."""
+    drawn = samples(labelled)
+    sizes = drawn.groupBy("lang").agg(F.least(F.sum(F.length("text")), F.lit(LETTERS)).alias("n")).orderBy("lang").toLocalIterator()
+    groups: list[list[str]] = [[]]
+    held = 0
+    for r in sizes:
+        if groups[-1] and held + r["n"] > ALL_LETTERS:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["lang"])
+        held += r["n"]
+    for group in groups:
+        left, texts = dict.fromkeys(group, LETTERS), {}
+        for r in drawn.where(F.col("lang").isin(group)).orderBy("lang", "place").collect() if group else ():
+            if left[r["lang"]] > 0 and any(c.isalpha() for c in r["text"]):
+                texts.setdefault(r["lang"], []).append(r["text"][: left[r["lang"]]])
+                left[r["lang"]] -= len(texts[r["lang"]][-1])
+        if texts:
+            yield Model(texts)
 
 
 def identify(docs: DataFrame, learned: Callable[[Column], Column], text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -230,13 +247,28 @@ def identify(docs: DataFrame, learned: Callable[[Column], Column], text: str = "
     is ``und`` with score 0, as is everything if nothing could be learned; with one language the score is 1; ties go to the first
     name. Own columns named lang_pred or score are replaced; repeated rows are judged each; an empty table gives an empty result."""
     known = docs.where(learned(F.col(doc_id))).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(known))
+    models = [docs.sparkSession.sparkContext.broadcast(m) for m in learn(known)]
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, scores = model.value.predict(batch.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": pd.Series(scores, dtype="float64")})
+    def judge(model: Broadcast | None) -> Column:
+        @F.pandas_udf("best array<struct<bits:double,name:string>>")
+        def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                near = model.value.nearest(batch.tolist()) if model else [[] for _ in batch]
+                yield pd.DataFrame({"best": [[{"bits": b, "name": n} for b, n in x] for x in near]})
+
+        return udf(F.col(text))["best"]
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__said", judge(F.col(text))).select(*own, "__said.lang_pred", "__said.score")
+    if len(models) < 2:
+        said = docs.withColumn("__best", judge(models[0] if models else None))
+    else:
+        # a pass over the texts for each model; equal texts are one row, so this is at most two languages per model and text
+        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        parts = [cut(docs.select(key.alias("__key"), F.explode(judge(m)).alias("b"))) for m in models]
+        best = reduce(DataFrame.union, parts).groupBy("__key").agg(F.slice(F.array_sort(F.collect_set("b")), 1, 2).alias("__best"))
+        said = docs.withColumn("__key", key).join(best, "__key", "left")
+    best = F.coalesce("__best", F.array().cast("array<struct<bits:double,name:string>>"))
+    first, second = F.get(best, F.lit(0)), F.get(best, F.lit(1))
+    ratio = F.lit(1.0) - first["bits"] / F.greatest(second["bits"], F.lit(1e-9))
+    score = F.when(first.isNull(), 0.0).when(second.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)))
+    return said.select(*own, F.coalesce(first["name"], F.lit("und")).alias("lang_pred"), score.alias("score"))
