@@ -97,10 +97,12 @@ DEAD_LINKS = {
 STEP_3_NAMES = ["step 3: prepare your application", "step 3: write your application"]
 STEP_3_ANCHORS = ["other required forms", "standard forms", "application components"]
 
-METADATA_LABELS = [
-    "number", "name", "opdiv", "agency", "subagency", "subagency2", "deadline", "tagline", "author", "subject",
-    "keywords",
-]
+# Text that opens a metadata line, lower-cased, by field.
+METADATA_TEXTS = {
+    "number": "opportunity number:", "title": "opportunity name:", "opdiv": "opdiv:", "agency": "agency:", "subagency": "subagency:",
+    "subagency2": "subagency2:", "application_deadline": "application deadline:", "tagline": "tagline:", "author": "metadata author:",
+    "subject": "metadata subject:", "keywords": "metadata keywords:",
+}
 COMPARED_FIELDS = [
     "title", "number", "opdiv", "agency", "subagency", "subagency2", "application_deadline", "tagline",
 ]
@@ -116,3 +118,18 @@ ENTITIES = {
 # Where cover images are kept, and covers chosen by a word of the title.
 COVER_FOLDER = "img/cover-img/"
 COVER_BY_TITLE = {"pepfar": "cdc-pepfar.jpg"}
+
+# Display labels of the fields a writer fills in; the last one that occurs in a variable's label wins.
+INSTANCE_LABELS = {
+    "opdiv": "Operating Division",
+    "agency": "Agency",
+    "title": "NOFO title",
+    "short_name": "Short name",
+    "number": "NOFO number",
+    "activity_code": "Activity Code",
+    "federal_assistance_listing": "Federal Assistance Listing",
+    "tagline": "Tagline",
+    "author": "Metadata Author",
+    "subject": "Metadata Subject",
+    "keywords": "Metadata Keywords",
+}

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tomeflow import fixed_values as V
 from tomeflow.functions import text as X
@@ -29,11 +31,18 @@ AT_END = 2147483647
 PLACES = "grp string, k1 bigint, k2 int, k3 bigint, old_id string, new_id string"
 
 
-def pair_sections(old_sections: DataFrame, new_sections: DataFrame) -> DataFrame:
-    """Each new section with the first old section of the same name in its pair (``pair``, ``name``, ``order``, ``id``)."""
+def pair_sections(old_sections: DataFrame, new_sections: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """Each new section with the first old section of the same name in its pair (``pair``, ``name``, ``order``, ``id``).
+
+    With ``include_deleted`` old sections whose name no new section of the pair has come too, as groups of their own named
+    ``old:<id>``; all their rows are deletions. Sections of a pair that has no new section are deleted as well."""
     first = old_sections.groupBy("pair", "name").agg(F.min(F.struct("order", "id")).alias("m")).select("pair", "name", F.col("m.id").alias("old_section"))
     new = new_sections.select("pair", "name", F.col("id").alias("grp"), F.col("order").alias("section_order"))
-    return new.join(first, ["pair", "name"], "left").withColumnRenamed("name", "section_name")
+    pairs = new.join(first, ["pair", "name"], "left").withColumnRenamed("name", "section_name")
+    if include_deleted:
+        gone = old_sections.join(new_sections.select("pair", "name").distinct(), ["pair", "name"], "left_anti")
+        pairs = pairs.unionByName(gone.select("pair", F.col("name").alias("section_name"), F.concat(F.lit("old:"), "id").alias("grp"), F.col("order").alias("section_order"), F.col("id").alias("old_section")))
+    return pairs
 
 
 def align_unique(old: DataFrame, new: DataFrame, keys: list[str], match: list[str]) -> DataFrame:
@@ -276,35 +285,65 @@ def compare_metadata(pairs: DataFrame, old_docs: DataFrame, new_docs: DataFrame,
     return filter_status(rows.withColumn("status", status), ignore or [])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def longest_run(places: pd.Series) -> pd.Series:
+    """Indexes of a longest increasing run of each list of different numbers, by patience piles: a number goes on the first pile
+    whose top is larger and points back to the top of the pile before; the run is read back from the last pile."""
+
+    def one(values: list[int]) -> list[int]:
+        tops, at, back = [], [], []
+        for i, v in enumerate(values):
+            k = bisect_left(tops, v)
+            back.append(at[k - 1] if k else -1)
+            tops[k:], at[k:] = [v, *tops[k + 1 :]], [i, *at[k + 1 :]]
+        out, i = [], at[-1] if at else -1
+        while i >= 0:
+            out.append(i)
+            i = back[i]
+        return out[::-1]
+
+    return places.map(lambda x: one(x.tolist()))
+
+
 def block_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Ordered block diff (``doc_id``, ``pos``, ``tag``, ``text`` per side): equal, deleted, inserted.
+    """Ordered block diff of ``doc_id``, ``pos``, ``tag``, ``text`` per side: ``op`` is equal, replace, delete or insert, with the tag
+    and text of either side (null where there is none), in the order of ``gap`` and ``place``.
 
-    Blocks are matched by tag, text and occurrence, which is unique per document, then aligned keeping order. The
-    occurrence window groups equal blocks of one document, itself one stored text value.
-    """
-    from pyspark.sql.window import Window as W
+    Blocks are matched by tag, text and occurrence, and a longest run of matches that keeps order stays equal, so a moved block
+    is one insertion and one deletion. Between two equal blocks, the first deleted block is replaced by the first inserted one,
+    and so on; what is left over on one side is deleted or inserted. A document is one stored text value, which bounds every
+    list and window here."""
+    w = W.partitionBy("doc_id").orderBy("pos")
 
     def keyed(df: DataFrame) -> DataFrame:
-        h = F.xxhash64("tag", "text")
         nth = F.row_number().over(W.partitionBy("doc_id", "tag", "text").orderBy("pos"))
-        return df.select("doc_id", "pos", F.col("pos").cast("string").alias("id"), "tag", "text", h.alias("h"), nth.alias("nth"))
+        return df.select("doc_id", "pos", "tag", "text", nth.alias("nth"), F.row_number().over(w).alias("row"))
 
     o, n = keyed(old), keyed(new)
-    places = align_unique(o, n, ["doc_id"], ["h", "tag", "text", "nth"])
-    op = F.when(F.col("old_id").isNull(), "insert").when(F.col("new_id").isNull(), "delete").otherwise("equal")
-    os_ = o.select("doc_id", F.col("id").alias("old_id"), F.col("tag").alias("ot"), F.col("text").alias("ox"))
-    ns_ = n.select("doc_id", F.col("id").alias("new_id"), F.col("tag").alias("nt"), F.col("text").alias("nx"))
-    rows = places.withColumn("op", op).join(os_, ["doc_id", "old_id"], "left").join(ns_, ["doc_id", "new_id"], "left")
-    return rows.select("doc_id", "k1", "k2", "k3", "op", F.coalesce("ot", "nt").alias("tag"), F.coalesce("ox", "nx").alias("text"))
+    met = n.alias("n").join(o.alias("o"), ["doc_id", "tag", "text", "nth"]).select("doc_id", F.col("n.row").alias("new_row"), F.col("o.row").alias("old_row"))
+    lists = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("new_row", "old_row"))).alias("m"))
+    kept = lists.select("doc_id", "m", F.explode(longest_run("m.old_row")).alias("i")).select("doc_id", F.col("m")[F.col("i")].alias("p")).select("doc_id", "p.new_row", "p.old_row")
+    kept = cut(kept)
+
+    def placed(side: DataFrame, row: str) -> DataFrame:
+        """Blocks with the number of equal ones up to them and their place after the last."""
+        hits = kept.select("doc_id", F.col(row).alias("row"), F.lit(True).alias("same"))
+        r = side.join(hits, ["doc_id", "row"], "left").withColumn("same", F.coalesce("same", F.lit(False)))
+        r = r.withColumn("gap", F.count(F.when(F.col("same"), 1)).over(w)).withColumn("last", F.max(F.when(F.col("same"), F.col("row"))).over(w))
+        return r.select("doc_id", "gap", (F.col("row") - F.coalesce("last", F.lit(0))).alias("place"), "same", "tag", "text")
+
+    a = placed(o, "old_row").select("doc_id", "gap", "place", F.col("same").alias("s1"), F.col("tag").alias("old_tag"), F.col("text").alias("old_text"))
+    b = placed(n, "new_row").select("doc_id", "gap", "place", F.col("same").alias("s2"), F.col("tag").alias("new_tag"), F.col("text").alias("new_text"))
+    rows = a.join(b, ["doc_id", "gap", "place"], "full")
+    op = F.when(F.col("s1").isNull(), "insert").when(F.col("s2").isNull(), "delete").when(F.col("s1"), "equal").otherwise("replace")
+    return rows.select("doc_id", "gap", "place", op.alias("op"), "old_tag", "old_text", "new_tag", "new_text")
 
 
 def diff_sides(diff: DataFrame) -> DataFrame:
-    """Old view (no inserts) and new view (no deletes) of each document's diff, in order."""
-    item = F.struct("k1", "k2", "k3", "text")
-    old = F.array_sort(F.collect_list(F.when(F.col("op") != "insert", item)))
-    new = F.array_sort(F.collect_list(F.when(F.col("op") != "delete", item)))
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "\n")
-    return diff.groupBy("doc_id").agg(text(old).alias("old_view"), text(new).alias("new_view"))
+    """Old view (no inserts) and new view (no deletes) of each document's diff, in order, a row per ``side``."""
+    sides = [diff.filter(F.col(f"{s}_text").isNotNull()).select("doc_id", F.lit(s).alias("side"), F.struct("gap", "place", F.col(f"{s}_text").alias("text")).alias("b")) for s in ("old", "new")]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["text"]), "\n")
+    return sides[0].unionByName(sides[1]).groupBy("doc_id", "side").agg(text.alias("view"))
 
 
 def has_diff(pairs: DataFrame, old_body: Column, new_body: Column) -> DataFrame:

@@ -19,7 +19,9 @@ from tomeflow.operators.filters import section_page_flag
 
 #: A tag, its attributes (which may hold ">" in quotes) and the text up to the next tag; a "<" that opens no tag is text.
 TOKEN = r"""(?s)<(/?[a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>([^<]*+(?:<(?![/a-zA-Z])[^<]*+)*+)"""
-HIDDEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
+#: Text before the first tag, or of a page without tags.
+LEAD = r"(?s)^([^<]*+(?:<(?![/a-zA-Z])[^<]*+)*+)"
+HIDDEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<![a-zA-Z][^>]*>|<\?[^>]*>"
 STARTS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "tr", "table", "hr", "ul", "ol", "div", "img"]
 CLOSES = ["/" + t for t in STARTS if t not in ("hr", "img")]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -36,49 +38,70 @@ def _unit():
 
 
 def html_tokens(raw: DataFrame, html: str = "html", spread: bool = True) -> DataFrame:
-    """Ordered tags with attributes and the decoded text after them; comments, scripts and styles removed.
+    """Ordered tags with attributes and the decoded text after them; comments, scripts, styles and declarations removed. Text
+    before the first tag, or that of a page without tags, is a token without tag at place -1.
 
     With ``spread`` pages are dealt out by id, once, for windows per page to come; readers of single tags need no shuffle."""
     clean = F.regexp_replace(html, HIDDEN, "")
     rows = raw.select("doc_id", clean.alias("h"))
     rows = rows.repartition("doc_id") if spread else rows
-    rows = rows.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(TOKEN), F.lit(0))).alias("pos", "m"))
+    found = F.transform(F.regexp_extract_all("h", F.lit(TOKEN), F.lit(0)), lambda m, i: F.struct(i.alias("pos"), m.alias("m")))
+    lead = F.regexp_extract("h", LEAD, 1)
+    first = F.when(lead.rlike(r"\S"), F.array(F.struct(F.lit(-1).alias("pos"), lead.alias("m")))).otherwise(F.array().cast("array<struct<pos:int,m:string>>"))
+    rows = rows.select("doc_id", F.inline(F.concat(first, found)))
     tag = F.lower(F.regexp_extract("m", TOKEN, 1))
-    return rows.select("doc_id", "pos", tag.alias("tag"), F.regexp_extract("m", TOKEN, 2).alias("attrs"), M.decoded(F.regexp_extract("m", TOKEN, 3)).alias("text"))
+    text = F.when(F.col("pos") < 0, F.col("m")).otherwise(F.regexp_extract("m", TOKEN, 3))
+    return rows.select("doc_id", "pos", tag.alias("tag"), F.regexp_extract("m", TOKEN, 2).alias("attrs"), M.decoded(text).alias("text"))
 
 
 def with_depth(tokens: DataFrame) -> DataFrame:
-    void = F.col("tag").isin("br", "hr", "img", "meta", "input", "link")
+    void = F.col("tag").isin("", "br", "hr", "img", "meta", "input", "link")
     step = F.when(F.col("tag").startswith("/"), -1).when(void, 0).otherwise(1)
     return tokens.withColumn("depth", F.sum(step).over(_tok()))
 
 
-def blocks(tokens: DataFrame) -> DataFrame:
-    """Runs of text under one block tag, each with its table and table-row number (0 outside tables). Text after a closing
-    block tag is a paragraph of its own, inside the table it stands in."""
+def in_tables(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with their place in the tree of tables: ``depth_t`` (open tables), ``tbl`` (number of the innermost open one,
+    0 outside), ``tr`` and ``cell`` (rows and cells begun in that table up to here).
+
+    Brackets are matched by depth: the innermost table is the last one that was opened at the current depth. A closing tag too
+    many closes nothing. Rows and cells are counted inside their own table, so a table in a cell does not disturb its rows, and
+    closing tags of rows and cells may be missing."""
     tag = F.col("tag")
-    opens = F.sum(F.when(tag == "table", 1).otherwise(0)).over(_tok())
-    closes = F.sum(F.when(tag == "/table", 1).otherwise(0)).over(_tok())
-    rows = tokens.select(
-        "*",
-        F.sum(F.when(tag.isin(STARTS + CLOSES), 1).otherwise(0)).over(_tok()).alias("seg"),
-        F.when(opens > closes, opens).otherwise(0).alias("tbl"),
-        F.sum(F.when(tag == "tr", 1).otherwise(0)).over(_tok()).alias("tr"),
-    )
-    item = F.struct("pos", "text")
-    out = rows.groupBy("doc_id", "seg").agg(
-        F.min("pos").alias("pos"), F.min_by("tag", "pos").alias("tag"), F.min_by("attrs", "pos").alias("attrs"),
-        F.min_by("tbl", "pos").alias("tbl"), F.min_by("tr", "pos").alias("tr"),
+    step = F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)
+    rows = tokens.withColumn("__sum", F.sum(step).over(_tok())).withColumn("__nth", F.sum((tag == "table").cast("int")).over(_tok()))
+    rows = rows.withColumn("depth_t", F.col("__sum") - F.least(F.min("__sum").over(_tok()), F.lit(0)))
+    level = W.partitionBy("doc_id", "depth_t").orderBy("pos")
+    inner = F.last(F.when(tag == "table", F.col("__nth")), True).over(level)
+    rows = rows.withColumn("tbl", F.when(F.col("depth_t") > 0, inner).otherwise(0))
+    own = W.partitionBy("doc_id", "tbl").orderBy("pos")
+    rows = rows.withColumn("tr", F.sum((tag == "tr").cast("int")).over(own)).withColumn("cell", F.sum(tag.isin("td", "th").cast("int")).over(own))
+    return rows.drop("__sum", "__nth")
+
+
+def segments(tokens: DataFrame) -> DataFrame:
+    """Every run of tokens from one block tag to the next, with its text (page titles left out) and its place in tables."""
+    tag = F.col("tag")
+    rows = in_tables(tokens).withColumn("seg", F.sum(F.when(tag.isin(STARTS + CLOSES), 1).otherwise(0)).over(_tok()))
+    item = F.struct("pos", F.when(tag == "title", "").otherwise(F.col("text")).alias("text"))
+    first = ["tag", "attrs", "depth_t", "tbl", "tr", "cell"]
+    return rows.groupBy("doc_id", "seg").agg(
+        F.min("pos").alias("pos"), *(F.min_by(c, "pos").alias(c) for c in first),
         X.squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "")).alias("text"),
     )
-    after = F.col("tag").startswith("/")
-    out = out.filter(F.col("tag").isin(STARTS) | (after & (F.col("text") != "")))
-    return out.withColumn("attrs", F.when(after, "").otherwise(F.col("attrs"))).withColumn("tag", F.when(after, "p").otherwise(F.col("tag")))
+
+
+def blocks(tokens: DataFrame) -> DataFrame:
+    """Runs of text under one block tag, each with its place in tables (``in_tables``). Text after a closing block tag, or before
+    the first one, is a paragraph of its own, inside the cell it stands in."""
+    loose = F.col("tag").startswith("/") | (F.col("seg") == 0)
+    out = segments(tokens).filter((F.col("tag").isin(STARTS) & (F.col("seg") > 0)) | (loose & (F.col("text") != "")))
+    return out.withColumn("attrs", F.when(loose, "").otherwise(F.col("attrs"))).withColumn("tag", F.when(loose, "p").otherwise(F.col("tag")))
 
 
 def units(blocks_: DataFrame) -> DataFrame:
-    """Top-level flow: one row per block outside tables, one per whole table; empty ones dropped."""
-    start = (F.col("tbl") == 0) | (F.col("tag") == "table")
+    """Top-level flow: one row per block outside tables, one per whole outermost table; empty ones dropped."""
+    start = (F.col("depth_t") == 0) | ((F.col("tag") == "table") & (F.col("depth_t") == 1))
     w = W.partitionBy("doc_id").orderBy("seg")
     rows = blocks_.withColumn("unit", F.sum(start.cast("int")).over(w))
     cell, head = F.col("tag").isin("td", "th"), F.col("tag").isin(HEADINGS)
@@ -228,15 +251,15 @@ def attach_instructions(subsections: DataFrame, instructions: DataFrame) -> Data
 
 
 def detect_endnotes(tokens: DataFrame) -> DataFrame:
-    """Documents without an Endnotes heading, with the token where one belongs: the last plain hr, else the last list of notes."""
-    t = tokens
-    has = F.bool_or(F.col("tag").isin("h1", "h2") & (F.trim("text") == "Endnotes"))
-    nxt = F.lead(F.when(F.col("tag") == "li", F.col("attrs"))).over(W.partitionBy("doc_id").orderBy("pos"))
-    rows = t.withColumn("li_attrs", nxt)
+    """Documents without an Endnotes heading, with the token where one belongs: the last plain hr, else the last list of notes.
+    The text of a heading or item includes that of the tags inside it."""
+    tag = F.col("tag")
+    rows = blocks(tokens).withColumn("next_tag", F.lead("tag").over(W.partitionBy("doc_id").orderBy("seg")))
+    rows = rows.withColumn("li_attrs", F.when(F.col("next_tag") == "li", F.lead("attrs").over(W.partitionBy("doc_id").orderBy("seg"))))
     g = rows.groupBy("doc_id").agg(
-        has.alias("has"),
-        F.max(F.when(F.col("tag") == "hr", F.struct("pos", "attrs"))).alias("hr"),
-        F.max(F.when(F.col("tag") == "ol", F.struct("pos", "li_attrs"))).alias("ol"),
+        F.bool_or(tag.isin("h1", "h2") & (F.col("text") == "Endnotes")).alias("has"),
+        F.max(F.when(tag == "hr", F.struct("pos", "attrs"))).alias("hr"),
+        F.max(F.when(tag == "ol", F.struct("pos", "li_attrs"))).alias("ol"),
     )
     by_hr = F.col("hr.pos").isNotNull() & ~F.col("hr.attrs").contains("style=")
     by_ol = F.coalesce(M.attribute(F.col("ol.li_attrs"), "id").rlike("^(footnote|endnote)"), F.lit(False))
@@ -252,11 +275,9 @@ def table_captions(units_: DataFrame) -> DataFrame:
 
 
 def table_cells(blocks_: DataFrame) -> DataFrame:
-    """Cells with table, row (1-based inside the table) and the text of everything in the cell."""
-    inside = blocks_.filter("tbl > 0")
-    w = W.partitionBy("doc_id", "tbl").orderBy("seg")
-    rows = inside.withColumn("cell", F.sum(F.col("tag").isin("td", "th").cast("int")).over(w)).withColumn("row", F.dense_rank().over(W.partitionBy("doc_id", "tbl").orderBy("tr")))
-    rows = rows.filter("cell > 0 AND tag <> 'tr'")
+    """Cells with table, row (1-based inside the table) and the text of everything in the cell; what stands in a table inside the
+    cell is in that table's cells."""
+    rows = blocks_.filter("cell > 0 AND tbl > 0 AND tag NOT IN ('tr', 'table')")
     item = F.struct("seg", "text")
     return rows.groupBy("doc_id", "tbl", "cell").agg(
         F.min_by("tag", "seg").alias("tag"), F.min_by("attrs", "seg").alias("attrs"), F.min("tr").alias("tr"),
@@ -275,6 +296,17 @@ def table_header_fix(cells: DataFrame) -> DataFrame:
     return cells.withColumn("new_tag", tag)
 
 
+def header_widths(fixed: DataFrame) -> DataFrame:
+    """Width class of each header cell (``table_header_fix`` rows): by the number of header cells in its row, and with three of
+    them by what they say."""
+    th = F.col("new_tag") == "th"
+    n = F.sum(th.cast("int")).over(W.partitionBy("doc_id", "tbl", "row"))
+    low = F.lower("text")
+    said = F.when(low == "component", "w-45").when(low.startswith("how to upload") | low.startswith("how to submit"), "w-40").when(low.contains("page limit"), "w-15").otherwise("w-33")
+    width = F.when(n == 3, said).when(n == 4, "w-25").when(n == 5, "w-20").otherwise("")
+    return fixed.withColumn("width", F.when(th, width))
+
+
 def table_shape(cells: DataFrame) -> DataFrame:
     """Columns, rows, words and the size class of each table."""
     words = F.regexp_count("text", F.lit(r"(?U)\S+"))
@@ -299,7 +331,10 @@ def images(tokens: DataFrame) -> DataFrame:
 
 
 def missing_alt_text(tokens: DataFrame) -> DataFrame:
-    return images(tokens).filter(~F.col("attrs").rlike(r"(?i)\balt\s*=")).select("doc_id", "pos", "src")
+    """Every image with its alternative text, blank lines in it collapsed, and whether it has none at all (alt="" is one)."""
+    missing = ~F.col("attrs").rlike(r"(?i)(?:^|[\s\"'])alt\s*=")
+    alt = F.replace(M.decoded(M.attribute("attrs", "alt")), F.lit("\n\n"), F.lit("\n"))
+    return images(tokens).select("doc_id", "pos", "src", alt.alias("alt"), missing.alias("missing"))
 
 
 def inline_image_paths(tokens: DataFrame, docs: DataFrame) -> DataFrame:
@@ -321,37 +356,83 @@ def anchors(tokens: DataFrame) -> DataFrame:
     return tokens.filter("tag = 'a'").withColumn("href", href).withColumn("anchor_id", id_)
 
 
+def anchor_elements(tokens: DataFrame) -> DataFrame:
+    """One row per anchor, with the text of all that is inside it: ``pos``, ``attrs``, ``text``, ``first`` and ``last`` (its tokens,
+    a span around the anchor alone included; ``last`` is null if it is never closed), ``after`` (text right behind it) and
+    ``then`` (text of the element after that, if it holds nothing but text)."""
+    tag, here = F.col("tag"), _tok().rowsBetween(W.unboundedPreceding, 0)
+    bare = F.trim("text") == ""
+    wraps = F.coalesce((F.lag("tag").over(_tok()) == "span") & (F.lag(bare).over(_tok())), F.lit(False))
+    closed = F.coalesce((F.lead("tag").over(_tok()) == "/span") & bare, F.lit(False))
+    only = lambda n: F.when(F.lead("tag", n + 1).over(_tok()) == F.concat(F.lit("/"), F.lead("tag", n).over(_tok())), F.lead("text", n).over(_tok()))
+    rows = tokens.withColumn("__open", F.last(F.when(tag.isin("a", "/a"), F.struct("pos", (tag == "a").alias("opens"))), True).over(here))
+    rows = rows.withColumn("__last", F.last(F.when(tag == "a", F.col("pos")), True).over(_tok().rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("__wraps", wraps).withColumn("__closed", closed)
+    rows = rows.withColumn("__next", F.lead("text").over(_tok())).withColumn("__then1", only(1)).withColumn("__then2", only(2))
+    rows = rows.withColumn("__of", F.when(tag == "/a", F.col("__last")).when(F.col("__open.opens"), F.col("__open.pos"))).filter("__of IS NOT NULL")
+    item, end = F.when(tag != "/a", F.struct("pos", "text")), tag == "/a"
+    g = rows.groupBy("doc_id", F.col("__of").alias("pos")).agg(
+        F.min_by("attrs", "pos").alias("attrs"), F.min_by("__wraps", "pos").alias("wraps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "").alias("text"),
+        F.min_by(F.struct("pos", F.col("__closed").alias("closed"), "text", "__next", "__then1", "__then2"), F.when(end, F.col("pos"))).alias("e"),
+    )
+    wrapped = F.col("wraps") & F.coalesce(F.col("e.closed"), F.lit(False))
+    return g.select(
+        "doc_id", "pos", "attrs", "text", (F.col("pos") - wrapped.cast("int")).alias("first"), (F.col("e.pos") + wrapped.cast("int")).alias("last"),
+        F.when(wrapped, F.col("e.__next")).otherwise(F.col("e.text")).alias("after"), F.when(wrapped, F.col("e.__then2")).otherwise(F.col("e.__then1")).alias("then"),
+    )
+
+
 def merge_adjacent_links(tokens: DataFrame) -> DataFrame:
-    """Anchors of the same target with nothing but space between them become one row, texts joined."""
-    tag = F.col("tag")
-    prev_tag, prev_text = F.lag("tag").over(_tok()), F.lag("text").over(_tok())
-    prev2 = F.lag("attrs", 2).over(_tok())
-    href = lambda a: M.attribute(a, "href")
-    rows = tokens.withColumn("space", prev_text).withColumn(
-        "follows", (tag == "a") & (prev_tag == "/a") & (F.trim(prev_text) == "") & (F.lag("tag", 2).over(_tok()) == "a") & (href(F.col("attrs")) == href(prev2)) & (href(F.col("attrs")) != "")
-    ).filter("tag = 'a'")
-    rows = rows.withColumn("href", href(F.col("attrs"))).filter("href <> ''")
-    rows = rows.withColumn("run", F.sum((~F.coalesce("follows", F.lit(False))).cast("int")).over(_tok()))
-    piece = F.concat(F.when(F.coalesce("follows", F.lit(False)) & (F.col("space") != ""), " ").otherwise(""), F.col("text"))
-    item = F.struct("pos", piece.alias("text"))
+    """Anchors of the same target, or of the same id without a target, with nothing but space between them become one row, their
+    texts joined, a space between where one stood. ``drops_space``: what follows is space and then punctuation, so the space goes."""
+    w = W.partitionBy("doc_id").orderBy("pos")
+    rows = anchor_elements(tokens).withColumn("href", M.attribute("attrs", "href")).withColumn("id", M.attribute("attrs", "id"))
+    blank = F.trim(F.lag("after").over(w)) == ""
+    same = (F.col("href") == F.lag("href").over(w)) & ((F.col("href") != "") | ((F.col("id") != "") & (F.col("id") == F.lag("id").over(w))))
+    joins = F.coalesce(blank & same & (F.lag("last").over(w) + 1 == F.col("first")), F.lit(False))
+    piece = F.concat(F.when(joins & (F.lag("after").over(w) != ""), " ").otherwise(""), F.col("text"))
+    rows = rows.withColumn("piece", piece).withColumn("joins", joins)
+    rows = rows.withColumn("run", F.sum((~F.col("joins")).cast("int")).over(w)).filter("href <> '' OR id <> ''")
+    glue = (F.col("after") != "") & (F.trim("after") == "") & F.coalesce(F.col("then").rlike("^[.,;!?]"), F.lit(False))
+    item = F.struct("pos", F.col("piece").alias("text"))
     return rows.groupBy("doc_id", "run").agg(
-        F.min("pos").alias("pos"), F.min("href").alias("href"), F.count("*").alias("links"),
+        F.min("pos").alias("pos"), F.min("href").alias("href"), F.min_by("id", "pos").alias("id"), F.count("*").alias("links"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "").alias("text"),
+        F.max_by(F.coalesce(glue, F.lit(False)), "pos").alias("drops_space"),
     ).drop("run")
 
 
+def block_names(tokens: DataFrame) -> DataFrame:
+    """(doc_id, id, target_pos, new_id) of every id of a document. An empty anchor hands its id to the block it stands in, or, if
+    that has no text and is no heading, to the next block that has or is. A block named several times keeps the last of these
+    ids, else its own; ``new_id`` is that name. Ids of anything else name themselves. Of an id given twice the first counts."""
+    tag = F.col("tag")
+    nxt = F.lead("tag").over(_tok())
+    empty = (tag == "a") & (F.trim("text") == "") & (nxt == "/a") & (M.attribute("attrs", "href") == "")
+    rows = in_tables(tokens).withColumn("seg", F.sum(F.when(tag.isin(STARTS + CLOSES), 1).otherwise(0)).over(_tok()))
+    rows = rows.withColumn("id", M.attribute("attrs", "id", "name")).withColumn("__empty", F.coalesce(empty, F.lit(False)))
+    named = F.struct("pos", "id", "__empty")
+    g = rows.groupBy("doc_id", "seg").agg(
+        F.min("pos").alias("pos"), F.min_by("tag", "pos").alias("tag"), F.max(F.trim("text") != "").alias("full"), F.collect_list(F.when(F.col("id") != "", named)).alias("ids"),
+    )
+    after = W.partitionBy("doc_id").orderBy("seg").rowsBetween(0, W.unboundedFollowing)
+    takes = F.when((F.col("full") & ~F.col("tag").isin("table", "tr", "ul", "ol", "/table", "/tr", "/ul", "/ol")) | F.col("tag").isin(HEADINGS), F.struct("pos", "seg"))
+    g = g.withColumn("to", F.first(takes, True).over(after)).select("doc_id", F.col("pos").alias("block_pos"), F.coalesce("to.pos", "pos").alias("to_pos"), F.explode("ids").alias("n"))
+    own = F.col("n.pos") == F.col("block_pos")
+    rows = g.select("doc_id", "n.id", "n.pos", F.when(F.col("n.__empty"), F.col("to_pos")).otherwise(F.col("n.pos")).alias("target_pos"), F.col("n.__empty").alias("handed"), own.alias("own"))
+    w = W.partitionBy("doc_id", "target_pos")
+    rows = rows.withColumn("new_id", F.max(F.struct("handed", "pos", "id")).over(w)["id"])
+    return rows.groupBy("doc_id", "id").agg(F.min_by(F.struct("target_pos", "new_id"), "pos").alias("m")).select("doc_id", "id", "m.*")
+
+
 def resolve_anchors(tokens: DataFrame) -> DataFrame:
-    """Internal links with the block that now carries their target: an empty anchor hands its id to the block holding it,
-    and links to ids that exist nowhere are marked ``#__id``."""
-    block = F.last(F.when(F.col("tag").isin(HEADINGS + ["p", "td", "th", "li"]), F.col("pos")), True).over(_tok().rowsBetween(W.unboundedPreceding, 0))
-    rows = tokens.withColumn("block_pos", block)
-    ids = rows.withColumn("id", M.attribute("attrs", "id", "name")).filter("id <> ''")
-    ids = ids.groupBy("doc_id", "id").agg(F.min(F.struct("pos", "block_pos", "tag", "text")).alias("m"))
-    empty = (F.col("m.tag") == "a") & (F.trim("m.text") == "")
-    ids = ids.select("doc_id", "id", F.when(empty, F.col("m.block_pos")).otherwise(F.col("m.pos")).alias("target_pos"))
+    """Internal links with the block that carries their target and the name it has in the end (``block_names``); links to ids
+    that exist nowhere are marked ``#__id``."""
     links = anchors(tokens).filter("href LIKE '#%'").withColumn("id", F.substring(F.col("href"), F.lit(2), F.length("href")))
-    out = links.select("doc_id", "pos", "href", "id").join(ids, ["doc_id", "id"], "left")
-    return out.select("doc_id", "pos", "href", "target_pos", F.when(F.col("target_pos").isNull(), F.concat(F.lit("#__"), "id")).otherwise(F.col("href")).alias("new_href"))
+    out = links.select("doc_id", "pos", "href", "id").join(block_names(tokens), ["doc_id", "id"], "left")
+    new = F.when(F.col("new_id").isNull(), F.concat(F.lit("#__"), "id")).otherwise(F.concat(F.lit("#"), "new_id"))
+    return out.select("doc_id", "pos", "href", "target_pos", new.alias("new_href"))
 
 
 def bold_classes(raw: DataFrame) -> DataFrame:
@@ -379,26 +460,21 @@ def bold_elements(raw: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.join(bold_classes(raw).distinct(), ["doc_id", "class"])
 
 
-METADATA = {
-    "number": "opportunity number:", "title": "opportunity name:", "opdiv": "opdiv:", "agency": "agency:", "subagency": "subagency:",
-    "subagency2": "subagency2:", "application_deadline": "application deadline:", "tagline": "tagline:", "author": "metadata author:",
-    "subject": "metadata subject:", "keywords": "metadata keywords:",
-}
-
-
-def extract_metadata(units_: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
-    """First "Label: value" text per field and document, one row per document; the opdiv value may stand in the next
-    paragraph when the one after it is again a label."""
+def extract_metadata(blocks_: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """First "Label: value" text per field and document, in running text or in a cell, one row per document; the opdiv value may
+    stand in the next paragraph of the same cell when the one after it is again a label."""
     low = F.lower("text")
-    rows = units_.filter("tag <> 'table'").withColumn("n1", F.lead("text").over(_unit())).withColumn("n2", F.lead("text", 2).over(_unit()))
+    w = W.partitionBy("doc_id", "tbl", "cell").orderBy("seg")
+    beside = lambda n: F.when((F.col("tag") == "p") & (F.lead("tag", n).over(w) == "p"), F.lead("text", n).over(w))
+    rows = blocks_.filter("text <> '' OR tag <> 'p'").withColumn("n1", beside(1)).withColumn("n2", beside(2))
     aggs = []
-    for field, label in METADATA.items():
+    for field, label in V.METADATA_TEXTS.items():
         value = F.trim(F.substring(F.col("text"), F.lit(len(label) + 1), F.length("text")))
         if field == "opdiv":
             nxt = F.when(~X.looks_like_label(F.col("n1")) & ~X.is_placeholder_acronym(F.col("n1")) & X.looks_like_label(F.col("n2")), F.col("n1"))
             value = F.coalesce(F.nullif(value, F.lit("")), nxt, F.lit(""))
         default = (defaults or {}).get(field, "")
-        found = F.min_by(value, F.when(low.startswith(label), F.col("unit")))
+        found = F.min_by(value, F.when(low.startswith(label), F.col("seg")))
         aggs.append(F.coalesce(F.nullif(found, F.lit("")), F.lit(default)).alias(field))
     return rows.groupBy("doc_id").agg(*aggs)
 

@@ -187,11 +187,14 @@ _EXTRAS = [
     "'<table><tr><td><p>Instructions for new program team</p><p>Eligibility</p><p>(YES)</p></td></tr></table><h2>Eligibility</h2><p>Opdiv: Health</p><p>Number: HRSA-25-001</p>'",
     "'<p><a href=\"https://www.google.com/url?q=https://a.example.org/x%3Fy%3D1&sa=D\">t</a> the De Minimis rate <em>de minimis</em></p><h3><a id=\"_h2\"></a>Cost  sharing</h3><hr style=\"x\">'",
     "'<style>.c1{font-weight:700;font-size:11pt}.c2{font-weight:700;font-size:20pt}</style><p class=\"c1\">bold</p><p class=\"c2\">big</p><h2>Endnotes</h2><p>Key dates</p><table><tr><th>x</th></tr></table>'",
+    "'<table><tr><td>Outer<table><tr><th>In <b>one</b></th><th>In two</th></tr><tr><td>3<table><tr><td>deep</td></tr></table></td><td>4</td></tr></table>after</td><td>Opportunity name: In a cell</td></tr><tr><td><p>Opdiv:</p><p>Health</p><p>Agency: Office</p></td></tr></table></table><p>end</p>'",
+    "'<h1><strong>Endnotes</strong></h1><hr><p><a id=\"_n1\"></a><a id=\"_n2\"></a></p><h3 id=\"own\"><a id=\"_n3\"></a>Fees</h3><p><span><a href=\"#_n1\"><em>x</em></a></span> <a href=\"#_n1\">y</a> <b>, z</b> <a href=\"#own\">o</a><a id=\"t\">u</a><a id=\"t\">v</a></p><table><tr><th>Component</th><th>How to upload</th><th>Page limit</th></tr></table>'",
     "'<table><tr><td>Forms</td><td>Page</td></tr><tr><td>1. SF-424</td><td>2</td></tr><tr><td>2 through 3. Plan</td><td>1</td></tr><tr><td>Budget</td><td>9</td></tr></table>'",
 ]
 
 RAW_HTML = f"""
   {text("page_id")} AS doc_id,
   concat({text("page_id")}, {pick("page_id", ["'.html'", "'.HTM'", "'.html'", "'.html'", "'.docx'", "'.pdf'"])}) AS filename,
-  replace(html, '</article>', concat({pick("page_id", _EXTRAS)}, '</article>')) AS html
+  CASE WHEN page_id % 29 = 7 THEN concat('Only text, page ', {text("page_id")}) WHEN page_id % 29 = 11 THEN concat('Text before &amp; ', html)
+       ELSE replace(html, '</article>', concat({pick("page_id", _EXTRAS)}, '</article>')) END AS html
 """

@@ -108,10 +108,20 @@ def _(r):
     return Z.bulk_flag_summary(Z.bulk_flag_update(asked, r.subsections, r"^\d+-\d+$"))
 
 
-@query("version_chain", """SELECT d.id, a.id AS ancestor, row_number() OVER (PARTITION BY d.id ORDER BY epoch_us(a.created), a.id) AS position, l.latest FROM r_documents a JOIN r_documents d ON d.id = a.successor
-  LEFT JOIN (SELECT from_doc, max_by(id, (created, id)) AS latest FROM r_documents WHERE from_doc IS NOT NULL GROUP BY from_doc) l ON l.from_doc = d.id""", DOC)
+# lines of up to 40 versions, and a few cycles of four
+_LINE = "CASE WHEN k % 211 = 0 THEN cast(k - 3 AS string) WHEN k % 40 <> 0 THEN cast(k + 1 AS string) END"
+
+
+@query("version_chain", f"""WITH RECURSIVE d AS (SELECT id, created, {_LINE} AS successor FROM (SELECT *, cast(id AS bigint) AS k FROM r_documents) q),
+  reach(id, ancestor, steps) AS (SELECT d.successor, d.id, cast(1 AS bigint) FROM d JOIN d s ON s.id = d.successor UNION SELECT d.successor, r.ancestor, r.steps + 1 FROM reach r JOIN d ON d.id = r.id JOIN d s ON s.id = d.successor WHERE r.steps < 200),
+  bad AS (SELECT DISTINCT ancestor AS id FROM reach WHERE steps = 200),
+  ok AS (SELECT r.*, row_number() OVER (PARTITION BY r.id ORDER BY d.created, r.ancestor) AS position FROM reach r JOIN d ON d.id = r.ancestor WHERE r.ancestor NOT IN (SELECT id FROM bad) AND r.id NOT IN (SELECT id FROM bad))
+  SELECT o.*, false AS cycle, l.latest FROM ok o LEFT JOIN (SELECT from_doc, max_by(id, (created, id)) AS latest FROM r_documents WHERE from_doc IS NOT NULL GROUP BY from_doc) l ON l.from_doc = o.id
+  UNION ALL SELECT id, NULL, NULL, NULL, true, NULL FROM bad""", DOC)
 def _(r):
-    return Z.version_chain(r.documents).join(Z.latest_clone(r.documents).withColumnRenamed("from_doc", "id"), "id", "left")
+    docs = r.documents.withColumn("successor", F.expr(_LINE.replace("k ", "cast(id AS bigint) ")))
+    chain = Z.version_chain(docs).withColumn("cycle", F.lit(False)).join(Z.latest_clone(docs).withColumnRenamed("from_doc", "id"), "id", "left")
+    return chain.unionByName(Z.version_lines(docs).filter("cycle").select("id", "cycle"), allowMissingColumns=True)
 
 
 _CODES = "CASE " + " ".join(f"WHEN contains(lower(number), '{c}') THEN '{c}'" for c in Z.GROUP_CODES) + ' ELSE "group" END'
@@ -135,13 +145,20 @@ def _(r):
 
 
 _EDITED = "CASE WHEN unit % 5 = 1 THEN text || ' edited' WHEN unit % 11 = 2 THEN '' ELSE text END"
-DIFF = f"""{PS.UNIT}, o AS (SELECT doc_id, unit AS pos, tag, text FROM u), n AS (SELECT doc_id, unit + CASE WHEN unit % 9 = 4 THEN 3 ELSE 0 END AS p0, tag, {_EDITED} AS text, unit FROM u WHERE unit % 7 <> 3),
-  nn AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p0, unit) AS pos, tag, text FROM n),
-  ok2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, text ORDER BY pos) AS nth FROM o), nk2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, text ORDER BY pos) AS nth FROM nn),
-  j AS (SELECT n.*, o.pos AS opos, max(o.pos) OVER (PARTITION BY n.doc_id ORDER BY n.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM nk2 n LEFT JOIN ok2 o ON o.doc_id = n.doc_id AND o.tag = n.tag AND o.text = n.text AND o.nth = n.nth),
-  t AS (SELECT *, CASE WHEN opos > coalesce(high, -1) THEN opos END AS hit FROM j),
-  diff AS (SELECT doc_id, pos AS k1, 1 AS k2, 0 AS k3, CASE WHEN hit IS NULL THEN 'insert' ELSE 'equal' END AS op, tag, text FROM t
-    UNION ALL SELECT o.doc_id, coalesce((SELECT min(t.pos) FROM t WHERE t.doc_id = o.doc_id AND t.hit > o.pos), {C.AT_END}), 0, o.pos, 'delete', o.tag, o.text FROM ok2 o WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = o.doc_id AND t.hit = o.pos))"""
+# the longest run from its definition: for every match the longest run that ends there, then back from the last of the longest
+DIFF = f"""{PS.UNIT}, o0 AS (SELECT doc_id, unit AS pos, tag, text FROM u), n0 AS (SELECT doc_id, unit + CASE WHEN unit % 9 = 4 THEN 3 ELSE 0 END AS p0, tag, {_EDITED} AS text, unit FROM u WHERE unit % 7 <> 3),
+  o AS (SELECT doc_id, tag, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS row, row_number() OVER (PARTITION BY doc_id, tag, text ORDER BY pos) AS nth FROM o0),
+  n AS (SELECT doc_id, tag, text, row_number() OVER (PARTITION BY doc_id ORDER BY p0, unit) AS row, row_number() OVER (PARTITION BY doc_id, tag, text ORDER BY p0, unit) AS nth FROM n0),
+  m AS (SELECT doc_id, list(o.row ORDER BY n.row) AS os, list(n.row ORDER BY n.row) AS ns FROM n JOIN o USING (doc_id, tag, text, nth) GROUP BY doc_id),
+  lis(doc_id, os, ns, i, ls) AS (SELECT doc_id, os, ns, cast(0 AS bigint), cast([] AS bigint[]) FROM m
+    UNION ALL SELECT doc_id, os, ns, i + 1, list_append(ls, 1 + coalesce(list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN os[j] < os[i + 1] THEN ls[j] ELSE 0 END)), 0)) FROM lis WHERE i < len(os)),
+  back(doc_id, os, ns, ls, i) AS (SELECT doc_id, os, ns, ls, list_max(list_filter(range(1, len(ls) + 1), lambda j: ls[j] = list_max(ls))) FROM lis WHERE i = len(os) AND i > 0
+    UNION ALL SELECT doc_id, os, ns, ls, list_max(list_filter(range(1, i), lambda j: ls[j] = ls[i] - 1)) FROM back WHERE ls[i] > 1),
+  kept AS (SELECT doc_id, os[i] AS old_row, ns[i] AS new_row FROM back),
+  a AS (SELECT o.*, k.old_row IS NOT NULL AS same, count(k.old_row) OVER w AS gap, row - coalesce(max(k.old_row) OVER w, 0) AS place FROM o LEFT JOIN kept k ON k.doc_id = o.doc_id AND k.old_row = o.row WINDOW w AS (PARTITION BY o.doc_id ORDER BY row)),
+  b AS (SELECT n.*, k.new_row IS NOT NULL AS same, count(k.new_row) OVER w AS gap, row - coalesce(max(k.new_row) OVER w, 0) AS place FROM n LEFT JOIN kept k ON k.doc_id = n.doc_id AND k.new_row = n.row WINDOW w AS (PARTITION BY n.doc_id ORDER BY row)),
+  diff AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.gap, b.gap) AS gap, cast(coalesce(a.place, b.place) AS int) AS place, CASE WHEN a.doc_id IS NULL THEN 'insert' WHEN b.doc_id IS NULL THEN 'delete' WHEN a.same THEN 'equal' ELSE 'replace' END AS op,
+    a.tag AS old_tag, a.text AS old_text, b.tag AS new_tag, b.text AS new_text FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.gap = b.gap AND a.place = b.place)"""
 
 
 def _diff(r):
@@ -152,11 +169,11 @@ def _diff(r):
     return C.block_diff(old, new.select("doc_id", "pos", "tag", "text"))
 
 
-@query("block_diff", f"WITH {DIFF} SELECT doc_id, k1, k3, op, tag, text FROM diff", ("r_raw_html",))
+@query("block_diff", f"WITH RECURSIVE {DIFF} SELECT * FROM diff", ("r_raw_html",))
 def _(r):
-    return _diff(r).select("doc_id", "k1", "k3", "op", "tag", "text")
+    return _diff(r)
 
 
-@query("diff_sides", f"WITH {DIFF} SELECT doc_id, string_agg(text, chr(10) ORDER BY k1, k2, k3) FILTER (op <> 'insert') AS old_view, string_agg(text, chr(10) ORDER BY k1, k2, k3) FILTER (op <> 'delete') AS new_view FROM diff GROUP BY doc_id", ("r_raw_html",))
+@query("diff_sides", f"WITH RECURSIVE {DIFF} SELECT doc_id, 'old' AS side, string_agg(old_text, chr(10) ORDER BY gap, place) AS view FROM diff WHERE old_text IS NOT NULL GROUP BY doc_id UNION ALL SELECT doc_id, 'new', string_agg(new_text, chr(10) ORDER BY gap, place) FROM diff WHERE new_text IS NOT NULL GROUP BY doc_id", ("r_raw_html",))
 def _(r):
     return C.diff_sides(_diff(r))
