@@ -12,7 +12,6 @@ from tomeflow.functions import text as X
 from tomeflow.operators import ordered, templates
 
 CREATE, UPDATE, DELETE = 1, 2, 3
-HOUR_MINUTES = 60
 
 
 def noise_filter(events: DataFrame) -> DataFrame:
@@ -91,20 +90,18 @@ def _newest_first(history: DataFrame) -> DataFrame:
 
 
 def history_order(history: DataFrame) -> DataFrame:
-    """Newest-first position of every event inside its document's history."""
-    chunk = F.floor(F.col("__m") / HOUR_MINUTES)
-    placed = ordered.scan(_newest_first(history), ["document_id"], ["__m", "__p", "id"], chunk, position=ordered.row_number())
-    return placed.drop("__m", "__p")
+    """Newest-first position of every event inside its document's history, however many of them one document or one minute has."""
+    return ordered.row_numbers(_newest_first(history), ["document_id"], ["__m", "__p", "id"]).drop("__m", "__p")
 
 
 def history_page(history: DataFrame, offset: int = 0, limit: int = 25) -> DataFrame:
     """One page of every document's history with ``has_more`` and the next offset. The rank is bounded, so Spark drops rows
-    beyond the page (and one more, which tells of a next page) before they are shuffled."""
+    beyond the page (and one more, which tells of a next page) before they are shuffled, and reads the log once."""
     rank = F.row_number().over(W.partitionBy("document_id").orderBy("__m", "__p", "id"))
     rows = _newest_first(history).withColumn("position", rank.cast("long")).filter(F.col("position") <= offset + limit + 1)
-    more = rows.filter(F.col("position") == offset + limit + 1).select("document_id", F.lit(True).alias("__more"))
-    page = rows.filter((F.col("position") > offset) & (F.col("position") <= offset + limit)).join(more, "document_id", "left")
-    return page.select(*history.columns, "position", F.coalesce("__more", F.lit(False)).alias("has_more"), F.lit(offset + limit).alias("next_offset"))
+    rows = rows.withColumn("has_more", F.max("position").over(W.partitionBy("document_id")) > offset + limit)
+    page = rows.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    return page.select(*history.columns, "position", "has_more", F.lit(offset + limit).alias("next_offset"))
 
 
 def dedup_daily(labelled: DataFrame) -> DataFrame:
@@ -230,14 +227,62 @@ def stable_uuid(purpose: str, c: Column) -> Column:
     return F.regexp_replace(F.md5(F.concat(F.lit(f"{purpose}:"), c)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
 
 
-def rekey_events(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace old keys by new ones in ``object_id`` and in the stored JSON. ``mapping``: model, old_id, new_id."""
-    m = mapping.select("model", F.col("old_id").alias("object_id"), "new_id")
-    rows = events.join(m, ["model", "object_id"], "left")
-    json = F.regexp_replace(F.col("object_json_repr"), F.lit(r'"pk": \d+'), F.concat(F.lit('"pk": "'), F.col("new_id"), F.lit('"')))
-    return rows.withColumn("object_json_repr", F.when(F.col("new_id").isNotNull(), json).otherwise(F.col("object_json_repr"))).withColumn(
-        "object_id", F.coalesce("new_id", "object_id")
-    ).drop("new_id")
+def rekey_events(events: DataFrame, mapping: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """Replace old keys by new ones in ``object_id`` and in the stored JSON. ``mapping``: model, old_id, new_id.
+
+    In the JSON, ``"pk": 7`` is a key of the event's own model and ``"<field>": 7`` one of the model that ``fields`` gives for it; all
+    keys of a text are replaced in one pass, and those the mapping does not know stay. Events meet the mapping once for all of
+    their keys, by the keys alone; texts meet the answer by event id."""
+    of = F.create_map(*(F.lit(x) for kv in (fields or {}).items() for x in kv)) if fields else F.create_map().cast("map<string,string>")
+    pattern = rf'"({"|".join(["pk", *(fields or {})])})": (\d+)'
+    told = F.transform(
+        F.regexp_extract_all(F.coalesce("object_json_repr", F.lit("")), F.lit(pattern), F.lit(0)),
+        lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("field"), F.regexp_extract(x, pattern, 2).alias("old_id")),
+    )
+    model = lambda f: F.when(f == "pk", F.col("model")).otherwise(F.try_element_at(of, f))
+    wanted = F.array_union(F.array(F.struct(F.col("model").alias("m"), F.col("object_id").alias("old_id"))), F.transform(told, lambda x: F.struct(model(x["field"]).alias("m"), x["old_id"].alias("old_id"))))
+    keys = events.select("id", F.explode(wanted).alias("k")).select("id", F.col("k.m").alias("model"), "k.old_id").filter("model IS NOT NULL AND old_id IS NOT NULL")
+    named = F.concat_ws(":", "model", "old_id")
+    found = keys.join(mapping.select("model", "old_id", "new_id"), ["model", "old_id"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(named.alias("k"), F.col("new_id").alias("v")))).alias("__ids"))
+    new_of = lambda m, i: F.try_element_at("__ids", F.concat_ws(":", m, i))
+    pieces, refs = F.split("object_json_repr", pattern), F.regexp_extract_all("object_json_repr", F.lit(pattern), F.lit(0))
+
+    def swapped(ref: Column) -> Column:
+        field, old = F.regexp_extract(ref, pattern, 1), F.regexp_extract(ref, pattern, 2)
+        return F.coalesce(F.concat(F.lit('"'), field, F.lit('": "'), new_of(model(field), old), F.lit('"')), ref)
+
+    json = F.array_join(F.zip_with(pieces, F.concat(F.transform(refs, swapped), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    rows = events.join(found, "id", "left")
+    known = F.col("__ids").isNotNull() & F.col("object_json_repr").isNotNull()
+    rows = rows.withColumn("object_json_repr", F.when(known, json).otherwise(F.col("object_json_repr")))
+    return rows.withColumn("object_id", F.coalesce(new_of(F.col("model"), F.col("object_id")), "object_id")).drop("__ids").select(*events.columns)
+
+
+def rekey_tables(tables: dict[str, DataFrame], mapping: DataFrame, graph: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """Every table with its old keys replaced. ``graph`` names the key columns of each table and the model they point to, its own
+    id included, as ``{"section": {"id": "section", "document_id": "document"}}``; the map goes down every edge of it, so no child
+    is left behind. Keys the mapping does not know stay; null stays null."""
+    out = {}
+    for name, df in tables.items():
+        rows = df
+        for column, model in graph.get(name, {}).items():
+            m = mapping.filter(F.col("model") == model).select(F.col("old_id").alias(column), F.col("new_id").alias("__new"))
+            rows = rows.join(m, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+        out[name] = rows.select(*df.columns)
+    return out
+
+
+def dangling_keys(tables: dict[str, DataFrame], graph: dict[str, dict[str, str]]) -> DataFrame:
+    """(table, column, key) of every key whose row is not there."""
+    out = None
+    for name, columns in graph.items():
+        for column, model in columns.items():
+            if column == "id":
+                continue
+            rows = tables[name].filter(F.col(column).isNotNull()).select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.col(column).alias("key"))
+            rows = rows.join(tables[model].select(F.col("id").alias("key")), "key", "left_anti").select("table", "column", "key")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def append_audit(requests: DataFrame, prefix: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow import fixed_values as V
+from tomeflow.operators import ordered
 
 
 def blank(c: Column | str) -> Column:
@@ -224,3 +225,15 @@ def validate_subsections(subsections: DataFrame) -> DataFrame:
         "no variable in content": (F.col("edit_mode") == "variables") & ~F.col("body").rlike(r"\{[^{}]+\}"),
     }
     return _violations(subsections, "subsections", rules)
+
+
+#: Default orders of lists, by name; the id settles ties.
+ORDERS = {
+    "documents, last updated first": ("-updated", "id"), "instances, last created first": ("-created", "id"), "documents by title": ("title", "id"),
+    "users by email": ("email", "id"), "sections in order": ("order", "id"), "rows in order": ("order", "id"),
+}
+
+
+def in_order(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` in one of the default orders (``ORDERS``), with their place in it. No task sorts or numbers everything."""
+    return ordered.row_numbers(rows, [], [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[name]])

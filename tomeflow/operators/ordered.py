@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tomeflow.session import cut
+
 CHUNK_ROWS = 4096
 _CHUNK = "__chunk"
 
@@ -125,3 +127,21 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, /, **s
     same = [F.col(c).eqNullSafe(F.col(a)) for c, a in at.items()]
     joined = rows.join(carries, same, "left")
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "position") -> DataFrame:
+    """``df`` with the 1-based place of every row inside its key, for any order and any skew.
+
+    Rows are dealt out by ranges of key and order, so a key with most of the rows, or with many in one instant, is spread over
+    many parts; each part numbers its own rows, and the numbers of rows in earlier parts of the key (one row per key and part)
+    are added. The parts are written once, as their bounds are sampled. ``order`` (names, or columns with a direction) has to
+    tell rows apart for a fixed result; without ``keys`` the whole table is numbered. A null key is a key of its own."""
+    parts = cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__part_of"), before.alias("__start"))
+    placed = parts.withColumn("__place", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order)))
+    same = F.col("__part") == F.col("__part_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__place")).alias(name))

@@ -6,24 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tomeflow import fixed_values as V
 from tomeflow.functions import text as X
 from tomeflow.operators.sizes import small
 
 PLACEHOLDER = r"(?<!\\)\{(?![:.#])([^{}]*\S[^{}]*)\}"
 VARIABLES = "array<struct<key:string,type:string,label:string,value:string>>"
-INSTANCE_FIELDS = {
-    "opdiv": "Operating Division",
-    "agency": "Agency",
-    "title": "Notice title",
-    "short_name": "Short name",
-    "number": "Notice number",
-    "activity_code": "Activity Code",
-    "federal_assistance_listing": "Federal Assistance Listing",
-    "tagline": "Tagline",
-    "author": "Metadata Author",
-    "subject": "Metadata Subject",
-    "keywords": "Metadata Keywords",
-}
 
 
 def extract_variables(subsections: DataFrame) -> DataFrame:
@@ -78,11 +66,11 @@ def set_values(variables_json: Column, values: Column) -> Column:
     )
 
 
-def prefill(label: Column, value: Column) -> Column:
-    """Value of the last instance field whose display label occurs in the variable label; else the given value. Needs all
-    ``INSTANCE_FIELDS`` as columns."""
+def prefill(label: Column, value: Column, labels: dict[str, str] | None = None) -> Column:
+    """Value of the last instance field whose display label occurs in the variable label; else the given value. ``labels`` (field
+    to display label, in order; without: ``fixed_values.INSTANCE_LABELS``) names the fields, which have to be columns."""
     out = value
-    for field, name in INSTANCE_FIELDS.items():
+    for field, name in (V.INSTANCE_LABELS if labels is None else labels).items():
         out = F.when(F.lower(label).contains(name.lower()) & (F.coalesce(F.col(field), F.lit("")) != ""), F.col(field)).otherwise(out)
     return out
 

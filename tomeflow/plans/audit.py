@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow import fixed_values as V
@@ -173,15 +176,31 @@ def _(r):
     return A.purge_by_app(r.events, types, "retired").select("id", "model")
 
 
-_UUID = "regexp_replace(md5(concat('document:', d.id)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5')"
-
-
-@query("rekey_foreign_keys", f"""SELECT e.id, CASE WHEN d.id IS NULL THEN e.object_id ELSE {_UUID} END AS object_id,
-   CASE WHEN d.id IS NULL THEN e.object_json_repr ELSE regexp_replace(e.object_json_repr, '"pk": \\d+', concat('"pk": "', {_UUID}, '"'), 'g') END AS object_json_repr
-  FROM r_events e LEFT JOIN r_documents d ON e.model = 'document' AND d.id = e.object_id""", ("r_events", "r_documents"))
-def _(r):
-    ids = r.documents.select(F.lit("document").alias("model"), F.col("id").alias("old_id"), A.stable_uuid("document", F.col("id")).alias("new_id"))
-    return A.rekey_events(r.events, ids).select("id", "object_id", "object_json_repr")
+_GRAPH = {"document": {"id": "document", "parent": "document", "successor": "document", "from_doc": "document"}, "section": {"id": "section", "document_id": "document"}, "subsection": {"id": "subsection", "section_id": "section"}}
+_KEY = lambda model, c: f"regexp_replace(md5(concat('{model}:', {c})), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5')"
+_IF = lambda model, c: f"CASE WHEN {c} IN (SELECT id FROM r_{model}s) THEN {_KEY(model, c)} ELSE {c} END"
+#: The stored JSON names the row, its document and its section.
+_JSON = "concat('[{\"model\": \"app.', model, '\", \"pk\": ', object_id, ', \"fields\": {\"document\": ', cast(id % 300 AS string), ', \"section\": ', cast(id % 7000 AS string), ', \"order\": 7}}]')"
+
+
+@query("rekey_foreign_keys", f"""WITH e AS (SELECT id, model, object_id, cast(id % 300 AS string) AS doc, cast(id % 7000 AS string) AS sec FROM r_events),
+  n AS (SELECT e.*, CASE WHEN model = 'document' THEN {_IF('document', 'object_id')} WHEN model = 'section' THEN {_IF('section', 'object_id')} ELSE {_IF('subsection', 'object_id')} END AS new_id, {_IF('document', 'doc')} AS new_doc, {_IF('section', 'sec')} AS new_sec FROM e)
+  SELECT 'event' AS kind, cast(id AS string) AS id, new_id AS a, concat('[{{"model": "app.', model, '", "pk": ', CASE WHEN regexp_matches(object_id, '^[0-9]+$') AND new_id <> object_id THEN '"' || new_id || '"' ELSE object_id END, ', "fields": {{"document": ',
+    CASE WHEN new_doc <> doc THEN '"' || new_doc || '"' ELSE doc END, ', "section": ', CASE WHEN new_sec <> sec THEN '"' || new_sec || '"' ELSE sec END, ', "order": 7}}}}]') AS b FROM n
+  UNION ALL SELECT 'document', {_KEY('document', 'id')}, {_IF('document', 'parent')}, concat_ws('|', {_IF('document', 'successor')}, {_IF('document', 'from_doc')}) FROM r_documents
+  UNION ALL SELECT 'section', {_KEY('section', 'id')}, {_IF('document', 'document_id')}, name FROM r_sections
+  UNION ALL SELECT 'subsection', {_KEY('subsection', 'id')}, {_IF('section', 'section_id')}, name FROM r_subsections""", (*ALL, "r_subsections"))
+def _(r):
+    tables = {"document": r.documents, "section": r.sections, "subsection": r.subsections}
+    mapping = reduce(DataFrame.unionByName, (df.select(F.lit(m).alias("model"), F.col("id").alias("old_id"), A.stable_uuid(m, F.col("id")).alias("new_id")) for m, df in tables.items()))
+    t = A.rekey_tables(tables, mapping, _GRAPH)
+    events = A.rekey_events(r.events.select("id", "model", "object_id", F.expr(_JSON).alias("object_json_repr")), mapping, {"document": "document", "section": "section"})
+    row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), a.alias("a"), b.alias("b"))
+    return (
+        row(events, "event", F.col("object_id"), F.col("object_json_repr"))
+        .unionByName(row(t["document"], "document", F.col("parent"), F.concat_ws("|", "successor", "from_doc")))
+        .unionByName(row(t["section"], "section", F.col("document_id"), F.col("name"))).unionByName(row(t["subsection"], "subsection", F.col("section_id"), F.col("name")))
+    )
 
 
 _ASK = "CASE id % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'print' WHEN 2 THEN 'reimport' ELSE 'remove' END"

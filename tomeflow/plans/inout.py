@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeflow import schemas
 from tomeflow.operators import audit as A
 from tomeflow.operators import compare as C
+from tomeflow.operators import filters as L
 from tomeflow.operators import quality as Q
 from tomeflow.plans import audit as PA
 from tomeflow.plans import compare as PC
@@ -42,11 +46,22 @@ def _(r):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
-@query("read_raw_html", r"""SELECT doc_id, filename, CASE WHEN regexp_matches(lower(filename), '\.html?$') THEN NULL WHEN lower(filename) LIKE '%.docx' THEN 'Word file: convert to HTML first'
-  ELSE 'Please import a .docx or HTML file.' END AS reason FROM r_raw_html""", ("r_raw_html",))
+#: Bytes of an upload: some hold something else than their name says.
+_BYTES = "CASE WHEN k % 9 = 4 THEN concat('PK', chr(3), chr(4), 'zip') WHEN k % 9 = 7 THEN '%PDF-1.7 x' WHEN k % 9 = 8 THEN concat('plain ', doc_id) ELSE concat('  ', html) END"
+_UPLOADS = "SELECT filename, html, doc_id, cast(doc_id AS bigint) AS k FROM {0} WHERE cast(doc_id AS bigint) % 4 = 0"
+
+
+@query("read_raw_html", rf"""WITH b AS (SELECT filename, {_BYTES} AS content FROM ({_UPLOADS.format('r_raw_html')}) q),
+  k AS (SELECT *, CASE WHEN regexp_matches(content, '^\s*<') THEN 'html' WHEN content LIKE 'PK%' THEN 'word' WHEN content LIKE '\%PDF%' ESCAPE '\' THEN 'pdf' ELSE 'other' END AS kind FROM b)
+  SELECT filename, kind, CASE WHEN kind = 'word' OR lower(filename) LIKE '%.docx' THEN 'Word file: convert to HTML first' WHEN NOT regexp_matches(lower(filename), '\.html?$') THEN 'Please import a .docx or HTML file.'
+    WHEN kind <> 'html' THEN 'Not HTML inside: ' || kind END AS reason, CASE WHEN kind = 'html' AND regexp_matches(lower(filename), '\.html?$') THEN content END AS html FROM k""", ("r_raw_html",))
 def _(r):
-    ok, bad = readers.split_uploads(r.raw_html)
-    return ok.select("doc_id", "filename", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+    path = scratch(r, "uploads")
+    rows = r.spark.sql(_UPLOADS.format("{raw}"), raw=r.raw_html).selectExpr("filename", f"{_BYTES} AS content")
+    rows.repartition(8, "filename").write.partitionBy("filename").option("lineSep", "\u0001").text(path)  # a file each
+    files = readers.read_uploads(r.spark, path).withColumn("content", F.expr("substring(content, 1, length(content) - 1)"))  # without the line's end
+    ok, bad = readers.split_uploads(files)
+    return ok.unionByName(bad, allowMissingColumns=True)
 
 
 def _nested_path(r):
@@ -55,27 +70,44 @@ def _nested_path(r):
     return path
 
 
-@query("read_nested_json", """SELECT x.name, x."order", x.tag, x.body, s.name AS section_name, s."order" AS section_order, d.title, 'machinery' AS "group" FROM r_documents d
-  JOIN r_sections s ON s.document_id = d.id JOIN r_subsections x ON x.section_id = s.id WHERE d.archived IS NULL""", ALL3)
+_DROPPED = "cast(d.id AS bigint) % 13 = 0"
+
+
+@query("read_nested_json", f"""SELECT 'row' AS kind, x.name, x."order", x.tag, x.body, s.name AS section_name, s."order" AS section_order, d.title, 'machinery' AS "group" FROM r_documents d
+  JOIN r_sections s ON s.document_id = d.id JOIN r_subsections x ON x.section_id = s.id WHERE d.archived IS NULL
+  UNION ALL SELECT 'no sections', d.id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r_documents d WHERE d.archived IS NULL AND NOT EXISTS (SELECT 1 FROM r_sections s WHERE s.document_id = d.id)
+  UNION ALL SELECT 'malformed', NULL, NULL, NULL, concat('{{"id": "', d.id, '", "sections": ['), NULL, NULL, NULL, NULL FROM r_documents d WHERE {_DROPPED}
+  UNION ALL SELECT 'no id', NULL, NULL, NULL, concat('{{"title":"', d.name, '"}}'), NULL, NULL, NULL, NULL FROM (SELECT id, 'No ' || id AS name FROM r_documents) d WHERE {_DROPPED}""", ALL3)
 def _(r):
-    docs, sections, subs = readers.read_nested_json(r.spark, _nested_path(r), "machinery")
+    path = _nested_path(r)
+    odd = r.documents.alias("d").filter(_DROPPED)
+    odd.selectExpr("concat('{\"id\": \"', id, '\", \"sections\": [') AS line").write.mode("append").text(path)
+    odd.selectExpr("concat('{\"title\":\"No ', id, '\"}') AS line").write.mode("append").text(path)
+    docs, sections, subs, rejects = readers.read_nested_json(r.spark, path, "machinery")
     s = sections.select(F.col("id").alias("section_id"), "document_id", F.col("name").alias("section_name"), F.col("order").alias("section_order"))
     d = docs.select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("")).alias("title"), "group")
-    return subs.select("section_id", "name", "order", "tag", "body").join(s, "section_id").join(d, "document_id").drop("section_id", "document_id")
+    rows = subs.select(F.lit("row").alias("kind"), "section_id", "name", "order", "tag", "body").join(s, "section_id").join(d, "document_id").drop("section_id", "document_id")
+    bad = rejects.select(F.col("reason").alias("kind"), F.when(F.col("reason") == "no sections", F.col("id")).alias("name"), F.when(F.col("reason") != "no sections", F.col("line")).alias("body"))
+    return rows.unionByName(bad, allowMissingColumns=True)
 
 
-@query("write_nested_json", """SELECT d.id, nullif(d.title, '') AS title, count(DISTINCT s.id) AS n_sections, count(x.id) AS n_subsections FROM r_documents d
-  LEFT JOIN r_sections s ON s.document_id = d.id LEFT JOIN r_subsections x ON x.section_id = s.id WHERE d.archived IS NULL GROUP BY d.id, d.title""", ALL3)
+@query("write_nested_json", """SELECT d.id, nullif(d.title, '') AS title, s.name AS section_name, s."order" AS section_order, s.html_id AS section_html_id, x.name, x."order", x.tag, x.html_id, x.callout_box, x.body FROM r_documents d
+  LEFT JOIN r_sections s ON s.document_id = d.id LEFT JOIN r_subsections x ON x.section_id = s.id WHERE d.archived IS NULL""", ALL3)
 def _(r):
-    rows = r.spark.read.schema("id string, title string, sections array<struct<id:string,subsections:array<struct<id:string>>>>").json(_nested_path(r))
-    n = F.aggregate(F.coalesce("sections", F.array().cast("array<struct<id:string,subsections:array<struct<id:string>>>>")), F.lit(0).cast("bigint"), lambda a, s: a + F.size(s["subsections"]))
-    return rows.select("id", "title", F.greatest(F.size("sections"), F.lit(0)).cast("bigint").alias("n_sections"), n.alias("n_subsections"))
+    rows = r.spark.read.schema(schemas.NESTED_DOCUMENT).json(_nested_path(r))
+    s = rows.select("id", "title", F.explode_outer("sections").alias("s"))
+    x = s.select("id", "title", F.col("s.name").alias("section_name"), F.col("s.order").alias("section_order"), F.col("s.html_id").alias("section_html_id"), F.explode_outer("s.subsections").alias("x"))
+    return x.select("id", "title", "section_name", "section_order", "section_html_id", *(f"x.{c}" for c in ("name", "order", "tag", "html_id", "callout_box", "body")))
 
 
-@query("sort_nested", """SELECT d.id, string_agg(s.name, '>' ORDER BY s."order") AS names FROM r_documents d LEFT JOIN r_sections s ON s.document_id = d.id WHERE d.archived IS NULL GROUP BY d.id""", ("r_documents", "r_sections"))
+@query("sort_nested", """SELECT d.id, s.pos AS section_pos, s.name AS section_name, x.pos, x.name, x.body FROM r_documents d
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY "order", id) - 1 AS pos FROM r_sections) s ON s.document_id = d.id
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY "order", id) - 1 AS pos FROM r_subsections) x ON x.section_id = s.id WHERE d.archived IS NULL""", ALL3)
 def _(r):
     rows = sinks.nested(r.documents, r.sections, r.subsections)
-    return rows.select("id", F.array_join(F.transform("sections", lambda s: s["name"]), ">").alias("names"))
+    s = rows.select("id", F.posexplode_outer("sections").alias("section_pos", "s"))
+    x = s.select("id", "section_pos", F.col("s.name").alias("section_name"), F.posexplode_outer("s.subsections").alias("pos", "x"))
+    return x.select("id", "section_pos", "section_name", "pos", "x.name", "x.body")
 
 
 @query("read_questions", f"""SELECT key, label, page, subsections, max(page) OVER () AS max_page FROM (SELECT {_Q_KEY} AS key, {_Q_LABEL} AS label, {_Q_PAGE} AS page, {_Q_SUBS} AS subsections FROM region) q""")
@@ -96,9 +128,17 @@ def _(r):
     return readers.recent_images(r.images).select("key", "last_modified")
 
 
-@query("list_orders", "SELECT id, title, updated FROM r_documents ORDER BY updated DESC, id", ("r_documents",))
+_ORDERS = {
+    "documents, last updated first": ("r_documents", "updated DESC, id"), "instances, last created first": ("r_documents", "created DESC, id"),
+    "documents by title": ("r_documents", "title, id"), "users by email": ("r_users", "email, id"), "sections in order": ("r_sections", '"order", id'), "rows in order": ("r_subsections", '"order", id'),
+}
+
+
+@query("list_orders", " UNION ALL ".join(f"SELECT '{name}' AS list, id, row_number() OVER (ORDER BY {by}) AS position FROM {table}" for name, (table, by) in _ORDERS.items()), (*ALL3, "r_users"))
 def _(r):
-    return r.documents.select("id", "title", "updated").orderBy(F.desc("updated"), "id")
+    tables = {"r_documents": r.documents, "r_users": r.users, "r_sections": r.sections, "r_subsections": r.subsections}
+    lists = [L.in_order(tables[t], name).select(F.lit(name).alias("list"), "id", "position") for name, (t, _) in _ORDERS.items()]
+    return reduce(DataFrame.unionByName, lists)
 
 
 @query("write_compare_csv", f"""WITH RECURSIVE {PC.TYPED} SELECT status AS "Status", section_name AS "Step name", old_name AS "Section name", old_value AS "Old value", new_name AS "New section name", new_value AS "New value"
@@ -129,11 +169,14 @@ def _(r):
     return reread_csv(r, rows, f"{scratch(r, 'report')}/{name}").withColumn("file", F.lit(name))
 
 
-@query("doc_inventory_csv", f"""SELECT 'document' AS type, id, '{BASE}/document/' || id || '/edit' AS url, number, title, status FROM r_documents WHERE parent IS NULL
-  UNION ALL SELECT 'template', id, '{BASE}/template/' || id || '/edit', number, title, status FROM r_documents WHERE parent IS NOT NULL""", ("r_documents",))
+_TIMES = "strftime(created, '%Y-%m-%dT%H:%M:%S.000Z') AS created, strftime(updated, '%Y-%m-%dT%H:%M:%S.000Z') AS updated"
+
+
+@query("doc_inventory_csv", f"""SELECT 'document' AS type, id, '{BASE}/document/' || id || '/edit' AS url, number, title, status, {_TIMES} FROM r_documents WHERE parent IS NULL
+  UNION ALL SELECT 'template', id, '{BASE}/template/' || id || '/edit', number, title, status, {_TIMES} FROM r_documents WHERE parent IS NOT NULL""", ("r_documents",))
 def _(r):
     rows = sinks.inventory(r.documents.filter("parent IS NULL"), r.documents.filter("parent IS NOT NULL"), BASE)
-    return reread_csv(r, rows, scratch(r, "inventory")).drop("created", "updated")
+    return reread_csv(r, rows, scratch(r, "inventory"))
 
 
 def _stream(r):

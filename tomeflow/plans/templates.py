@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tomeflow import fixed_values as V
 from tomeflow.operators import templates as T
 from tomeflow.plans.registry import query
 from tomeflow.plans.trees import _slug
@@ -88,16 +89,17 @@ def _(r):
     return T.instantiate(inst, rows, questions(r)).select("instance_id", "section_id", "id", "name")
 
 
-@query("prefill_variables", f"""WITH {VARS}, lab AS (SELECT v.id, v.key, CASE v.position % 5 WHEN 0 THEN v.label || ' agency' WHEN 1 THEN v.label || ' and Tagline' WHEN 2 THEN v.label || ' tagline of agency' WHEN 3 THEN v.label || ' activity code' ELSE v.label || ' Federal Assistance Listing, agency' END AS label, t.document_id
+@query("prefill_variables", f"""WITH {VARS}, lab AS (SELECT v.id, v.key, CASE v.position % 7 WHEN 0 THEN v.label || ' agency' WHEN 4 THEN v.label || ' (NOFO title)' WHEN 5 THEN 'the nofo number of ' || v.label WHEN 1 THEN v.label || ' and Tagline' WHEN 2 THEN v.label || ' tagline of agency' WHEN 3 THEN v.label || ' activity code' ELSE v.label || ' Federal Assistance Listing, agency' END AS label, t.document_id
      FROM vars v JOIN r_tree t ON t.id = v.id)
   SELECT l.id, l.key, l.label, CASE WHEN contains(lower(l.label), 'tagline') AND d.tagline <> '' THEN d.tagline
      WHEN contains(lower(l.label), 'federal assistance listing') THEN concat('93.', d.id) WHEN contains(lower(l.label), 'activity code') THEN concat('U', d.id)
+     WHEN contains(lower(l.label), 'nofo number') AND d.number <> '' THEN d.number WHEN contains(lower(l.label), 'nofo title') AND d.title <> '' THEN d.title
      WHEN contains(lower(l.label), 'agency') AND d.agency <> '' THEN d.agency END AS value FROM lab l JOIN r_documents d ON d.id = l.document_id""", ("r_tree", "r_documents"))
 def _(r):
-    label = F.concat("label", F.expr("CASE position % 5 WHEN 0 THEN ' agency' WHEN 1 THEN ' and Tagline' WHEN 2 THEN ' tagline of agency' WHEN 3 THEN ' activity code' ELSE ' Federal Assistance Listing, agency' END"))
+    label = F.when(F.col("position") % 7 == 5, F.concat(F.lit("the nofo number of "), "label")).otherwise(F.concat("label", F.expr("CASE position % 7 WHEN 0 THEN ' agency' WHEN 4 THEN ' (NOFO title)' WHEN 1 THEN ' and Tagline' WHEN 2 THEN ' tagline of agency' WHEN 3 THEN ' activity code' ELSE ' Federal Assistance Listing, agency' END")))
     rows = T.extract_variables(r.subsections).select("id", "key", label.alias("label")).join(r.tree.select("id", "document_id"), "id")
     coded = r.documents.withColumn("activity_code", F.concat(F.lit("U"), "id")).withColumn("federal_assistance_listing", F.concat(F.lit("93."), "id"))
-    docs = coded.select(F.col("id").alias("document_id"), *T.INSTANCE_FIELDS)
+    docs = coded.select(F.col("id").alias("document_id"), *V.INSTANCE_LABELS)
     return rows.join(docs, "document_id").select("id", "key", "label", T.prefill(F.col("label"), F.lit(None).cast("string")).alias("value"))
 
 

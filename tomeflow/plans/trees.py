@@ -72,12 +72,16 @@ def _(r):
     return O.allowed_actions(r.documents)
 
 
+# a section belongs to a template or to an instance; some to both or to neither
+_TEMPLATE = "CASE WHEN cast(id AS bigint) % 3 <> 0 OR cast(id AS bigint) % 29 = 3 THEN document_id END"
+_INSTANCE = "CASE WHEN cast(id AS bigint) % 3 = 0 AND cast(id AS bigint) % 31 <> 5 OR cast(id AS bigint) % 37 = 2 THEN document_id END"
 _V_SQL = r"""
 SELECT 'documents' AS "table", id, 'title or number required' AS rule FROM r_documents WHERE trim(title) = '' AND trim(number) = ''
 UNION ALL SELECT 'documents', id, 'title too long' FROM r_documents WHERE length(title) > 250
 UNION ALL SELECT 'documents', id, 'theme not permitted for group' FROM r_documents WHERE "group" = 'furniture' AND theme <> 'portrait-acf-white'
 UNION ALL SELECT 'sections', id, 'blank name' FROM r_sections WHERE name = ''
 UNION ALL SELECT 'sections', id, 'blank id' FROM r_sections WHERE html_id = ''
+UNION ALL SELECT 'sections', id, 'exactly one parent' FROM (SELECT id, {_TEMPLATE} AS a, {_INSTANCE} AS b FROM r_sections) q WHERE (a IS NULL) = (b IS NULL)
 UNION ALL SELECT 'subsections', id, 'name without heading level' FROM r_subsections WHERE name <> '' AND tag = ''
 UNION ALL SELECT 'subsections', id, 'heading level without name' FROM r_subsections WHERE name = '' AND tag <> ''
 UNION ALL SELECT 'subsections', id, 'neither name nor content' FROM r_subsections WHERE name = '' AND tag = '' AND body = ''
@@ -85,10 +89,11 @@ UNION ALL SELECT 'subsections', id, 'no variable in content' FROM r_subsections
 """
 
 
-@query("validate_rows", _V_SQL, ("r_documents", "r_sections", "r_subsections"))
+@query("validate_rows", _V_SQL.replace("{_TEMPLATE}", _TEMPLATE).replace("{_INSTANCE}", _INSTANCE), ("r_documents", "r_sections", "r_subsections"))
 def _(r):
     docs = O.validate_documents(r.documents, {"furniture": {"theme": ["portrait-acf-white"]}})
-    return docs.unionByName(O.validate_sections(r.sections)).unionByName(O.validate_subsections(r.subsections))
+    owned = r.sections.withColumn("template_id", F.expr(_TEMPLATE)).withColumn("instance_id", F.expr(_INSTANCE))
+    return docs.unionByName(O.validate_sections(owned, ("template_id", "instance_id"))).unionByName(O.validate_subsections(r.subsections))
 
 
 _FLAG = " AND ".join(f"NOT contains(lower(name), '{w}')" for w in V.NO_SECTION_PAGE_WORDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeflow import schemas
@@ -12,31 +12,49 @@ IMAGE = r"(?i)\.(jpe?g|png)$"
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as ``filename``, ``html`` (utf-8)."""
+    """Uploaded files as ``path``, ``filename``, ``content`` (bytes) and ``size``. Folders may name the file (``filename=...``).
+    Spark lists no files of zero bytes, so an empty upload gives no row."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("html"))
+    name = F.col("filename").cast("string") if "filename" in files.columns else F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("filename"), "content", F.col("length").alias("size"))
+
+
+def content_kind(content: Column) -> Column:
+    """html, word, pdf or other, by the leading bytes; a byte order mark and white space may come before a tag."""
+    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    return F.when(head.rlike(r"^(?:\u00EF\u00BB\u00BF)?\s*<"), "html").when(head.startswith("PK\u0003\u0004"), "word").when(head.startswith("%PDF-"), "pdf").otherwise("other")
 
 
 def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted HTML, rejected with a reason). Word files are recognised; decoding them is a separate step."""
-    low = F.lower("filename")
-    reason = F.when(low.rlike(r"\.html?$"), None).when(low.endswith(".docx"), "Word file: convert to HTML first").otherwise("Please import a .docx or HTML file.")
-    rows = files.withColumn("reason", reason)
-    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("doc_id", "filename", "reason")
-
-
-def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, sections, subsections) from nested JSON lines. Documents without sections are left out; incoming id,
-    archived, status and group are ignored: the id is made anew, the group is given."""
-    raw = spark.read.schema(schemas.NESTED_DOCUMENT).json(path).filter(F.size("sections") > 0)
-    raw = raw.withColumn("source_id", F.col("id")).withColumn("id", stable_uuid("import", F.col("id")))
+    """(accepted with ``html``, rejected with a reason) from ``read_uploads`` rows. The content decides, not only the name: HTML
+    needs an HTML name, leading bytes of HTML and valid UTF-8. Word files are recognised; decoding them is a separate step."""
+    named = F.lower("filename").rlike(r"\.html?$")
+    reason = (
+        F.when((F.col("kind") == "word") | F.lower("filename").endswith(".docx"), "Word file: convert to HTML first")
+        .when(~named, "Please import a .docx or HTML file.").when(F.col("kind") != "html", F.concat(F.lit("Not HTML inside: "), "kind"))
+        .when(~F.is_valid_utf8("content"), "Not UTF-8.")
+    )
+    rows = files.withColumn("kind", content_kind(F.col("content"))).withColumn("reason", reason)
+    html = F.regexp_replace(F.decode("content", "UTF-8"), "^\uFEFF", "")
+    return rows.filter("reason IS NULL").select("filename", "kind", html.alias("html")), rows.filter("reason IS NOT NULL").select("filename", "kind", "reason")
+
+
+def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, sections, subsections, rejects) from nested JSON lines. Incoming id, archived, status and group are ignored:
+    the id is made anew, the group is given. Rejects are lines that are no such JSON, documents without an id and documents
+    without sections, each with ``line`` (what came in), ``id`` and ``reason``; every line is either read or rejected."""
+    lines = spark.read.schema(f"{schemas.NESTED_DOCUMENT}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
+    reason = F.when(F.col("__bad").isNotNull(), "malformed").when(F.col("id").isNull(), "no id").when(F.coalesce(F.size("sections"), F.lit(0)) < 1, "no sections")
+    told = lines.withColumn("__reason", reason)
+    rejects = told.filter("__reason IS NOT NULL").select("id", F.col("__reason").alias("reason"), F.coalesce("__bad", F.to_json(F.struct("id", *schemas.TOP_FIELDS))).alias("line"))
+    raw = told.filter("__reason IS NULL").withColumn("source_id", F.col("id")).withColumn("id", stable_uuid("import", F.col("id")))
     docs = raw.select("id", "source_id", F.lit(group).alias("group"), F.lit("draft").alias("status"), *schemas.TOP_FIELDS)
     s = raw.select(F.col("id").alias("document_id"), F.posexplode("sections").alias("n", "s"))
     s = s.withColumn("section_id", F.concat_ws("-", "document_id", F.col("n").cast("string")))
     sections = s.select(F.col("section_id").alias("id"), "document_id", "s.name", "s.order", "s.html_id", "s.html_class", "s.has_section_page")
     x = s.select("section_id", F.posexplode("s.subsections").alias("n", "x"))
     subs = x.select(F.concat_ws("-", "section_id", F.col("n").cast("string")).alias("id"), "section_id", *[f"x.{c}" for c in ("name", "order", "tag", "html_id", "html_class", "callout_box", "body")])
-    return docs, sections, subs
+    return docs, sections, subs, rejects
 
 
 def read_questions(spark: SparkSession, path: str, page: int | None = None) -> DataFrame:
