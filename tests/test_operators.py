@@ -37,7 +37,7 @@ def test_scan_equals_brute_force(spark, size):
     v = F.col("v")
     got = ordered.scan(
         df, ["k"], ["pos"], ordered.chunk_of("pos", size), a=ordered.lag(v), b=ordered.lead(v), c=ordered.last_before(v), d=ordered.last_upto(v),
-        e=ordered.first_after(v), f=ordered.running_sum(v), g=ordered.max_before(v), n=ordered.row_number(),
+        e=ordered.first_after(v), f=ordered.running_sum(v), g=ordered.max_before(v), h=ordered.first_upto(v), n=ordered.row_number(),
     )
     want, first_of = [], {d[0]: d[1] for d in reversed(data)}
     for key in {d[0] for d in data}:
@@ -47,8 +47,8 @@ def test_scan_equals_brute_force(spark, size):
             before, after = full(vs[:i]), full(vs[i + 1 :])
             upto = full(vs[: i + 1])
             want.append((key, i + 1 if i else first_of[key], vs[i - 1] if i else None, vs[i + 1] if i + 1 < len(vs) else None, before[-1] if before else None,
-                         upto[-1] if upto else None, after[0] if after else None, sum(upto), max(before) if before else None, i + 1))
-    have = [tuple(r[c] for c in ("k", "pos", "a", "b", "c", "d", "e", "f", "g", "n")) for r in got.collect()]
+                         upto[-1] if upto else None, after[0] if after else None, sum(upto), max(before) if before else None, upto[0] if upto else None, i + 1))
+    have = [tuple(r[c] for c in ("k", "pos", "a", "b", "c", "d", "e", "f", "g", "h", "n")) for r in got.collect()]
     assert sorted(have, key=str) == sorted(want, key=str)
 
 

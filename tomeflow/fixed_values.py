@@ -133,3 +133,17 @@ INSTANCE_LABELS = {
     "subject": "Metadata Subject",
     "keywords": "Metadata Keywords",
 }
+
+# Theme by owner or document number (lower-cased), first match wins.
+THEME_RULES = [
+    ("owner", r"national institutes of health|\bnih\b", "portrait-nih-white"),
+    ("owner", r"health resources and services administration|\bhrsa\b", "portrait-hrsa-white"),
+    ("number", "cdc-", "portrait-cdc-blue"),
+    ("number", "acf-", "portrait-acf-white"),
+    ("number", "acl-", "portrait-acl-white"),
+    ("number", "cms-", "portrait-cms-white"),
+    ("number", "ihs-", "portrait-ihs-white"),
+    ("number", "(?:^|-)hrsa-", "portrait-hrsa-white"),
+    ("number", "rfa-", "portrait-cdc-blue"),
+]
+THEME_ELSE = "portrait-nih-white"

@@ -52,6 +52,11 @@ def first_after(expr: Column) -> Spec:
     return Spec("first_after", expr)
 
 
+def first_upto(expr: Column) -> Spec:
+    """First non-null value on this or an earlier row."""
+    return Spec("first_upto", expr)
+
+
 def running_sum(expr: Column) -> Spec:
     """Sum up to and including this row."""
     return Spec("running_sum", expr)
@@ -98,6 +103,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, /, **s
             reduce_.append(F.max_by(e, seen).alias(f"__carry_{n}"))
             carry[n] = F.last(c, True).over(before)
             final[n] = F.coalesce(F.col(n), c)
+        elif s.kind == "first_upto":
+            here[n] = F.first(e, True).over(local.rowsBetween(W.unboundedPreceding, 0))
+            reduce_.append(F.min_by(e, seen).alias(f"__carry_{n}"))
+            carry[n] = F.first(c, True).over(before)
+            final[n] = F.coalesce(c, F.col(n))
         elif s.kind in ("lead", "first_after"):
             if s.kind == "lead":
                 here[n] = F.lead(e).over(local)

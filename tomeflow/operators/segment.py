@@ -16,6 +16,7 @@ from tomeflow.operators import ordered
 from tomeflow.functions import markup as M
 from tomeflow.functions import text as X
 from tomeflow.operators.filters import section_page_flag
+from tomeflow.operators.templates import PLACEHOLDER
 
 #: A tag, its attributes (which may hold ">" in quotes) and the text up to the next tag; a "<" that opens no tag is text.
 TOKEN = r"""(?s)<(/?[a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>([^<]*+(?:<(?![/a-zA-Z])[^<]*+)*+)"""
@@ -480,15 +481,12 @@ def extract_metadata(blocks_: DataFrame, defaults: dict[str, str] | None = None)
 
 
 def theme_for(number: Column, opdiv: Column) -> Column:
-    """Theme by owner or number; the order of the rules matters."""
-    n, o = F.lower(number), F.lower(opdiv)
-    return (
-        F.when(o.contains("national institutes of health") | o.rlike(r"\bnih\b"), "portrait-nih-white")
-        .when(o.contains("health resources and services administration") | o.rlike(r"\bhrsa\b"), "portrait-hrsa-white")
-        .when(n.contains("cdc-"), "portrait-cdc-blue").when(n.contains("acf-"), "portrait-acf-white").when(n.contains("acl-"), "portrait-acl-white")
-        .when(n.contains("cms-"), "portrait-cms-white").when(n.contains("ihs-"), "portrait-ihs-white").when(n.rlike("(?:^|-)hrsa-"), "portrait-hrsa-white")
-        .when(n.contains("rfa-"), "portrait-cdc-blue").otherwise("portrait-nih-white")
-    )
+    """Theme by owner or number, lower-cased: the first of ``fixed_values.THEME_RULES`` whose pattern is found."""
+    of = {"number": F.lower(number), "owner": F.lower(opdiv)}
+    out = F.lit(V.THEME_ELSE)
+    for field, pattern, theme in reversed(V.THEME_RULES):
+        out = F.when(of[field].rlike(pattern), theme).otherwise(out)
+    return out
 
 
 def classify_document(docs: DataFrame, images: DataFrame, pages_group: str = "nih") -> DataFrame:
@@ -512,7 +510,7 @@ def build_rows(tree: DataFrame) -> DataFrame:
     """Default ids, ``optional`` and the edit mode of freshly imported subsections."""
     low_i, low_b = F.lower("instructions"), F.lower("body")
     optional = low_i.contains("section is only required if")
-    has_var = F.col("body").rlike(r"(?<!\\)\{(?![:.#])([^{}]*\S[^{}]*)\}")
+    has_var = F.col("body").rlike(PLACEHOLDER)
     mode = F.when(has_var, "variables").when(optional | low_b.contains("insert") | low_i.contains("insert"), "full").otherwise("locked")
     made = F.concat_ws("--", F.col("order").cast("string"), X.slug(F.col("section_name")), X.slug(F.col("name")))
     html_id = F.when((F.col("html_id") == "") & (F.col("name") != ""), made).otherwise(F.col("html_id"))

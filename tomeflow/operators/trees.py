@@ -9,6 +9,7 @@ from tomeflow import fixed_values as V
 from tomeflow.functions import text as X
 from tomeflow.operators import ordered
 from tomeflow.operators.filters import blank
+from tomeflow.session import cut
 
 SECTION_KEY = ["section_id"]
 
@@ -110,8 +111,9 @@ def heading_ids(tree: DataFrame) -> DataFrame:
     """``{n}--{section}--{subsection}`` with n counting through the document in section and subsection order.
 
     n is the rows of earlier sections plus the place in the own section; both parts are chunked scans, so
-    neither a large document nor a large section lands in one task.
+    neither a large document nor a large section lands in one task. The rows are written once and read by both.
     """
+    tree = cut(tree)
     rows = _scan(tree, place=ordered.row_number())
     sizes = tree.groupBy("document_id", "section_id", "section_order").agg(F.count("*").alias("rows"))
     upto = ordered.scan(sizes, ["document_id"], ["section_order"], ordered.chunk_of("section_order"), upto=ordered.running_sum(F.col("rows")))
@@ -141,21 +143,21 @@ def step_2_section(sections: DataFrame) -> DataFrame:
 
 
 def group_by_header(subsections: DataFrame) -> DataFrame:
-    """Number the header groups of a section; drop an empty header row that only repeats the group name."""
-    low = F.lower(F.trim("name"))
-    header = low.isin(V.GROUP_HEADERS) | F.lower("tag").isin("h2", "h3")
-    rows = _scan(subsections.withColumn("is_header", header), place=ordered.row_number())
-    rows = rows.withColumn("starts", F.col("is_header") | (F.col("place") == 1))
-    rows = _scan(rows, group_no=ordered.running_sum(F.col("starts").cast("int")), heading=ordered.last_upto(F.when(F.col("starts"), F.col("name"))))
+    """Header groups of a section: id, section_id, order, name, tag, ``group_no`` and ``heading`` of each row; an empty header row
+    that only repeats the group's name is left out, as are later bare rows of that name while their group is still empty.
+
+    Names and flags are written once; bodies are looked at on the way and stay where they are."""
+    header = F.lower(F.trim("name")).isin(V.GROUP_HEADERS) | F.lower("tag").isin("h2", "h3")
     bare = (F.col("body") == "") & (F.col("instructions") == "")
+    rows = cut(subsections.select("id", "section_id", "order", "name", "tag", header.alias("is_header"), bare.alias("bare")))
+    at = F.coalesce("order", F.lit(-(1 << 31))).alias("at")  # a row without an order comes first
+    rows = _scan(rows, heads=ordered.running_sum(F.col("is_header").cast("int")), head=ordered.last_upto(F.when(F.col("is_header"), F.struct(at, "name"))), first=ordered.first_upto(F.struct(at, "name", "is_header")))
+    opened = F.coalesce(F.col("head.at"), F.col("first.at"))
+    rows = rows.withColumn("heading", F.coalesce("head.name", "first.name")).withColumn("group_no", F.col("heads") + (~F.col("first.is_header")).cast("int")).withColumn("opened", opened)
     same = F.lower(F.trim("name")) == F.lower(F.trim("heading"))
-    # A later bare row of the same name is also skipped while its group is still empty, i.e. all rows since the header were bare.
-    kept = F.when(~(bare & same), 1)
-    rows = ordered.scan(
-        rows.withColumn("__kept", kept), ["section_id", "group_no"], ["order"], ordered.chunk_of("order"),
-        kept_upto=ordered.last_upto(F.col("__kept")),
-    )
-    return rows.filter(F.col("kept_upto").isNotNull()).drop("is_header", "place", "starts", "__kept", "kept_upto")
+    rows = cut(rows.select("id", "section_id", "order", "name", "tag", "group_no", "heading", "opened", F.when(~(F.col("bare") & same), at).alias("kept")))
+    rows = _scan(rows, upto=ordered.last_upto(F.col("kept")))
+    return rows.filter(F.col("upto") >= F.col("opened")).drop("opened", "kept", "upto")
 
 
 def toc_items(sections: DataFrame, subsections: DataFrame) -> DataFrame:

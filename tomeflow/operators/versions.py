@@ -102,15 +102,17 @@ def rewrite_anchor_refs(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     both = mapping.unionByName(mapping.filter(F.col("old_id").contains("&")).withColumn("old_id", F.replace("old_id", F.lit("&"), F.lit("&amp;"))))
     m = both.filter("old_id <> ''").groupBy("document_id", F.lower("old_id").alias("old_id")).agg(F.min_by("new_id", "rank").alias("new_id"))
     found = refs.join(m, ["document_id", "old_id"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("old_id", "new_id"))).alias("ids"))
-    tokens = F.regexp_extract_all("body", F.lit(rf'(?s){REF}|(?:(?!(?i:href="#)|\(#).)++|.'), F.lit(0))
+    pieces, said = F.split("body", REF), F.regexp_extract_all("body", F.lit(REF), F.lit(0))
 
     def one(t: Column) -> Column:
         name = F.lower(F.regexp_replace(t, r'^(?i:href="#)|^\(#|"$|\)$', ""))
-        new = F.when(t.rlike(rf"^(?:{REF})$"), F.try_element_at("ids", name))
+        new = F.try_element_at("ids", name)
         return F.when(new.isNull(), t).when(t.startswith("("), F.concat(F.lit("(#"), new, F.lit(")"))).otherwise(F.concat(F.lit('href="#'), new, F.lit('"')))
 
+    # the body is cut at its references and put together again around the new ones
+    whole = F.array_join(F.zip_with(pieces, F.concat(F.transform(said, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = rows.join(found, "id", "left")
-    return out.withColumn("body", F.when(F.col("ids").isNull(), F.col("body")).otherwise(F.array_join(F.transform(tokens, one), ""))).drop("ids")
+    return out.withColumn("body", F.when(F.col("ids").isNull(), F.col("body")).otherwise(whole)).drop("ids")
 
 
 def reparent_instances(docs: DataFrame, unpublished: DataFrame, purpose: str = "unpublish") -> DataFrame:
