@@ -72,7 +72,7 @@ def test_filter_errs_on_one_side():
     q = ngrams.levels(counts)
     assert all(1 + math.floor(math.log(c) / math.log(ngrams.BASE) + 1e-12) == k for c, k in zip(counts.tolist(), q.tolist(), strict=True))
     size = int(q.sum()) * ngrams.BITS
-    bloom = ngrams.Bloom(np.zeros(size // 8 + 1, np.uint8), np.zeros(1, np.uint64), np.array([size], np.uint64), ngrams.PROBES)
+    bloom = ngrams.Bloom(bytes(size // 8 + 1), np.zeros(1, np.uint64), np.array([size], np.uint64), ngrams.PROBES)
     none = np.zeros(20000, np.int64)
     bloom.add(keys, q, none)
     read = bloom.read(keys, none)

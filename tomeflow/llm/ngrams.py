@@ -19,18 +19,17 @@ have to fit. Bigrams are 64-bit keys, 32 of the history and 32 of the word with
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeflow.llm import rolling
-from tomeflow.llm.substrings import Batches, lists, raw_texts
+from tomeflow.llm.substrings import Batches, raw_texts
 from tomeflow.session import cut
 
 BASE = 1.5
@@ -42,16 +41,16 @@ PROBES = 7
 HEAD = 250_000
 FILTER_BYTES = 128 << 20
 #: Training tokens per shard of the filter, and most shards.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 500_000
 MOST_SHARDS = 20_000
-#: Tokens and words handled at once in a task.
-TOKENS = 400_000
-FLUSH = 300_000
+#: Bytes of text handled at once in a task: when counting, and when scoring.
+COUNT_BYTES = 4 << 20
+SCORE_BYTES = 2 << 20
+#: Size of a shard up to which its bits are set one to a byte.
+PLAIN_BYTES = 4 << 20
 _U = np.uint64
 _START, _END, _COUNT, _TYPES = (_U(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _LEVEL = 0xD6E8FEB86659FD93
-#: The end token among words, which are never empty.
-END = b""
 _LOWEST = BASE ** np.arange(110)
 _UPPER = np.minimum(np.ceil(_LOWEST[1:]) - 1, 2.0**63)
 #: Count that stands for each level: the middle of the whole numbers with it.
@@ -63,52 +62,61 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_LOWEST, counts, "right")
 
 
-def tokens_of(raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Words (A-Z lower-cased) and the end token, and the keys of their bigrams."""
-    low = raw.lower()
-    start, stop = rolling.word_bounds(low)
-    h = np.concatenate(([_START], rolling.span(rolling.byte_sums(low), start, stop), [_END]))
-    keys = (h[:-1] >> _U(32) << _U(32)) | (rolling.mix(h[:-1] * _U(3) + h[1:]) >> _U(32))
-    return [*low.split(), END], keys
+class Parsed:
+    """The tokens of some texts, all in one go: ``words`` (A-Z lower-cased), ``at`` (which token each word is), ``keys`` (bigram that
+    each token ends, the end token of a text included), ``ends`` (where the tokens of each text begin, and the end of the last)."""
+
+    def __init__(self, raws: list[bytes]) -> None:
+        blob = b" ".join(raws).lower()
+        start, stop = rolling.word_bounds(blob)
+        text_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        n = np.diff(np.searchsorted(start, text_at))
+        self.ends = np.append(0, np.cumsum(n + 1))
+        self.at = np.arange(len(start)) + np.repeat(np.arange(len(raws)), n)
+        token = np.full(int(self.ends[-1]), _END)
+        token[self.at] = rolling.span(rolling.byte_sums(blob), start, stop)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[self.ends[:-1]] = _START
+        self.keys = (before >> _U(32) << _U(32)) | (rolling.mix(before * _U(3) + token) >> _U(32))
+        raw = np.frombuffer(blob, np.uint8)
+        sizes = np.append(0, np.cumsum(stop - start)).astype(np.int32)
+        self.words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(sizes), pa.py_buffer(raw[~rolling.SPACES[raw]])])
+
+
+def _together(batches: Batches, most: int, key: str | None = None) -> Iterator[tuple[list[bytes], list]]:
+    """Texts of about ``most`` bytes at a time, and their values of the column ``key``."""
+    raws, rows, size = [], [], 0
+    for batch in batches:
+        for raw, row in zip(raw_texts(batch), batch.column(key).to_pylist() if key else [None] * len(batch), strict=True):
+            raws.append(raw)
+            rows.append(row)
+            size += len(raw)
+            if size > most:
+                yield raws, rows
+                raws, rows, size = [], [], 0
+    if raws:
+        yield raws, rows
 
 
 def _words(batches: Batches) -> Batches:
-    total: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for raw in raw_texts(batch):
-            total.update(raw.lower().split())
-            total[END] += 1
-            if len(total) > FLUSH:
-                yield flush()
-                total.clear()
-    yield flush()
+    """Words and their counts; the end token is the empty word."""
+    for raws, _ in _together(batches, COUNT_BYTES):
+        found = pc.value_counts(Parsed(raws).words)
+        ends = pa.array([b""], pa.binary()), pa.array([len(raws)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip((found.field("values"), found.field("counts")), ends, strict=True)], ["word", "n"])
 
 
 def _bigrams(batches: Batches) -> Batches:
-    held, n = [], 0
-
-    def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate([np.zeros(0, _U), *held]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
-
-    for batch in batches:
-        for raw in raw_texts(batch):
-            held.append(tokens_of(raw)[1])
-            n += len(held[-1])
-            if n > 5 * TOKENS:
-                yield flush()
-                held, n = [], 0
-    yield flush()
+    for raws, _ in _together(batches, COUNT_BYTES):
+        keys, counts = np.unique(Parsed(raws).keys, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
 
 
 class Bloom:
     """Bits of one or several shards, end to end; ``first`` and ``bits`` are the place and size of every shard (0: not here)."""
 
-    def __init__(self, data: np.ndarray, first: np.ndarray, bits: np.ndarray, probes: int) -> None:
+    def __init__(self, data: bytes, first: np.ndarray, bits: np.ndarray, probes: int) -> None:
         self.data, self.first, self.bits, self.probes = data, first, bits, probes
 
     def _places(self, keys: np.ndarray, level: int, shard: np.ndarray) -> Iterator[np.ndarray]:
@@ -118,14 +126,22 @@ class Bloom:
             yield (self.first[shard] + (h + _U(i) * step) % self.bits[shard]).astype(np.int64)
 
     def add(self, keys: np.ndarray, q: np.ndarray, shard: np.ndarray) -> None:
+        order = np.argsort(-q, kind="stable")
+        keys, shard, q = keys[order], shard[order], q[order]
+        data = np.frombuffer(self.data, np.uint8).copy()
+        plain = np.unpackbits(data, bitorder="little") if len(data) <= PLAIN_BYTES else None
         for level in range(1, int(q.max(initial=0)) + 1):
-            has = q >= level
+            has = slice(0, int(np.searchsorted(-q, -level, "right")))
             for at in self._places(keys[has], level, shard[has]):
-                np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                if plain is not None:
+                    plain[at] = 1
+                else:
+                    np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.data = (data if plain is None else np.packbits(plain, bitorder="little")).tobytes()
 
     def read(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The highest level up to which every one is there."""
-        q = np.zeros(len(keys), np.int64)
+        q, data = np.zeros(len(keys), np.int64), np.frombuffer(self.data, np.uint8)
         alive = np.flatnonzero(self.bits[shard] > 0)
         for level in range(1, len(STANDS)):
             k, s, there = keys[alive], shard[alive], np.arange(len(alive))
@@ -133,7 +149,7 @@ class Bloom:
             step, first, bits = rolling.mix(h) | _U(1), self.first[s], self.bits[s]
             for i in range(self.probes):
                 at = (first[there] + (h[there] + _U(i) * step[there]) % bits[there]).astype(np.int64)
-                there = there[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                there = there[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             alive = alive[there]
             if not len(alive):
                 break
@@ -163,9 +179,9 @@ def _built(bits: int, probes: int) -> Callable[[Batches], Batches]:
         keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, q = _entries(keys, counts)
         size = -(-int(q.sum()) * bits // 64) * 8
-        bloom = Bloom(np.zeros(size, np.uint8), np.zeros(1, _U), np.array([8 * size], _U), probes)
+        bloom = Bloom(bytes(size), np.zeros(1, _U), np.array([8 * size], _U), probes)
         bloom.add(keys, q, np.zeros(len(keys), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([bloom.data.tobytes()], pa.binary())], ["shard", "size", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([bloom.data], pa.binary())], ["shard", "size", "data"])
 
     def work(batches: Batches) -> Batches:
         now, held = -1, []
@@ -187,7 +203,8 @@ def build(docs: DataFrame, n_tokens: int, bits: int = BITS, probes: int = PROBES
     """The filter of ``docs`` (text) as a written table (shard, size, data), and its number of shards."""
     shards = min(MOST_SHARDS, n_tokens // SHARD_TOKENS + 1)
     parts = docs.select("text").mapInArrow(_bigrams, "key long, n long").withColumn("shard", F.pmod(F.shiftrightunsigned("key", 32), F.lit(shards)).cast("int"))
-    counts = parts.repartition("shard").groupBy("shard", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("shard")
+    # as many parts as shards bound what a task sorts
+    counts = parts.repartition(shards, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("shard")
     return cut(counts.mapInArrow(_built(bits, probes), "shard int, size long, data binary")), shards
 
 
@@ -195,9 +212,9 @@ def _held(filters: DataFrame, shards: int, wanted: list[int], probes: int) -> Bl
     first, bits, parts, end = np.zeros(shards, _U), np.zeros(shards, _U), [], 0
     for r in filters.where(F.col("shard").isin(wanted)).select("shard", "data").toLocalIterator():
         first[r.shard], bits[r.shard] = 8 * end, 8 * len(r.data)
-        parts.append(np.frombuffer(bytes(r.data), np.uint8))
+        parts.append(r.data)
         end += len(r.data)
-    return Bloom(np.concatenate(parts) if parts else np.zeros(8, np.uint8), first, bits, probes)
+    return Bloom(b"".join(parts) or bytes(8), first, bits, probes)
 
 
 def _scored(model: Broadcast, head: Broadcast, wanted: np.ndarray) -> Callable[[Batches], Batches]:
@@ -223,51 +240,33 @@ def _scored(model: Broadcast, head: Broadcast, wanted: np.ndarray) -> Callable[[
             p = np.where(q > 0, (np.minimum(STANDS[q], c) - DISCOUNT) / c, back)
         return here[of][place], (here[of] & (q == 0))[place], np.log10(p)[place]
 
-    def flush(rows: list, texts: list[list[bytes]], keys: list[np.ndarray]) -> pa.RecordBatch:
-        known, ends = head.value, np.cumsum([0, *map(len, keys)])
-        here, missing, logs = unseen(np.concatenate([np.zeros(0, _U), *keys]))
-        out: list[list] = [[] for _ in range(6)]
-        words, tfs, backs, sizes = [], [], [], []
-        for i, said in enumerate(texts):
-            a, b = ends[i], ends[i + 1]
-            mine, back = here[a:b], missing[a:b]
-            tf = Counter(said if mine.all() else compress(said, mine.tolist()))
-            backed = Counter(compress(said, back.tolist()))
-            base, score, n_known, before = 0.0, float(logs[a:b][mine].sum()), 0, len(words)
-            for word, k in tf.items():
-                value = known.get(word)
-                if value is None:
-                    words.append(word)
-                    tfs.append(k)
-                    backs.append(backed.get(word, 0))
-                else:
-                    n_known += k
-                    base += k * value
-            for word, k in backed.items():
-                value = known.get(word)
-                if value is not None:
-                    score += k * value
-            sizes.append(len(words) - before)
-            for column, value in zip(out, (int(mine.sum()), n_known, base, score, int(back.sum()), rows[i]), strict=True):
-                column.append(value)
-        at = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-        each = [pa.ListArray.from_arrays(at, x) for x in (pa.array(words, pa.binary()), pa.array(tfs, pa.int64()), pa.array(backs, pa.int64()))]
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(out[5], pa.int64()), *(pa.array(v, t) for v, t in zip(out, types, strict=False)), *each], ["row_key", "tokens", "known", "base", "score", "backed", "words", "tfs", "backs"])
+    def one(raws: list[bytes], rows: list[int]) -> pa.RecordBatch:
+        common, gains = head.value
+        parsed, n = Parsed(raws), len(raws)
+        here, missing, logs = unseen(parsed.keys)
+        coded = parsed.words.dictionary_encode()
+        ids, place = coded.indices.to_numpy(), pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1).to_numpy()
+        end = pc.index(common, pa.scalar(b"", pa.binary())).as_py()
+        each = np.full(int(parsed.ends[-1]), end, np.int64)
+        each[parsed.at] = place[ids] if len(ids) else 0
+        known = each >= 0
+        gain = np.where(known, gains[each], 0.0) if len(gains) else np.zeros(len(each))
+        of = np.repeat(np.arange(n), np.diff(parsed.ends))
+        total = lambda x: np.bincount(of, x, minlength=n)
+        whole = lambda x: pa.array(total(x).astype(np.int64))
+        sums = [whole(here), whole(here & known), pa.array(total(np.where(here, gain, 0.0))), pa.array(total(np.where(here, logs, 0.0) + np.where(missing, gain, 0.0))), whole(missing)]
+        # rare words, counted per text
+        rare = (here & ~known)[parsed.at]
+        pair, back, tf = np.unique(of[parsed.at][rare] * max(1, len(coded.dictionary)) + ids[rare], return_inverse=True, return_counts=True)
+        backs = np.bincount(back, missing[parsed.at][rare], minlength=len(pair)).astype(np.int64)
+        text, word = np.divmod(pair, max(1, len(coded.dictionary)))
+        at = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=n))), pa.int32())
+        lists_ = [pa.ListArray.from_arrays(at, x) for x in (coded.dictionary.take(pa.array(word)), pa.array(tf, pa.int64()), pa.array(backs))]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *sums, *lists_], ["row_key", "tokens", "known", "base", "score", "backed", "words", "tfs", "backs"])
 
     def work(batches: Batches) -> Batches:
-        rows, texts, keys, n = [], [], [], 0
-        for batch in batches:
-            for row, raw in zip(batch.column("row_key").to_pylist(), raw_texts(batch), strict=True):
-                said, k = tokens_of(raw)
-                rows.append(row)
-                texts.append(said)
-                keys.append(k)
-                n += len(k)
-                if n > TOKENS:
-                    yield flush(rows, texts, keys)
-                    rows, texts, keys, n = [], [], [], 0
-        yield flush(rows, texts, keys)
+        for raws, rows in _together(batches, SCORE_BYTES, "row_key"):
+            yield one(raws, rows)
 
     return work
 
@@ -307,7 +306,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text"
     common = (F.col("c") >= floor) | (F.length("word") == 0)
     table = counts.where(common).toArrow()
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast({w: math.log10(c + 1) for w, c in zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True)})
+    known = spark.sparkContext.broadcast((table.column("word").cast(pa.binary()).combine_chunks(), np.log10(table.column("c").to_numpy() + 1.0)))
     wide = "row_key long, tokens long, known long, base double, score double, backed long, words array<binary>, tfs array<long>, backs array<long>"
     groups, done = _passes(filters, filter_bytes), None
     for group in groups:
@@ -319,6 +318,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text"
         part = cut(read.select("row_key", "text").mapInArrow(_scored(model, known, wanted), wide))
         model.unpersist()
         done = part if done is None else done.union(part)
+    known.unpersist()
     rare = done.select("row_key", F.explode(F.arrays_zip("words", "tfs", "backs")).alias("w")).select("row_key", F.col("w.words").alias("word"), F.col("w.tfs").alias("tf"), F.col("w.backs").alias("back"))
     gain = F.log10(F.col("c") + 1)
     met = rare.join(counts.where(~common), "word").groupBy("row_key").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * gain).alias("more_base"), F.sum(F.col("back") * gain).alias("more_score"))
