@@ -41,10 +41,10 @@ def replace_in_subsections(subsections: DataFrame, chosen: DataFrame, old: str,
 
 
 def sanitize_text(df: DataFrame, column: str, out: str) -> DataFrame:
-    """NFKC and clean-up. Rows of plain ASCII never reach Python: they are their own NFKC form."""
-    plain = F.coalesce(F.col(column), F.lit("")).rlike(r"^\p{ASCII}*$")
-    ascii_rows = df.filter(plain).withColumn(out, X.squeeze(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"\p{C}", "")))
-    return ascii_rows.unionByName(df.filter(~plain).withColumn(out, X.sanitize(F.col(column))))
+    """NFKC and clean-up in one pass. Plain ASCII is its own NFKC form, so such rows send a null to Python in place of their text."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return df.withColumn(out, F.when(plain, X.squeeze(F.regexp_replace(text, r"\p{C}", ""))).otherwise(X.sanitize(F.when(~plain, text))))
 
 
 def mark_modified(subsections: DataFrame) -> DataFrame:

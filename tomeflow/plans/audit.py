@@ -227,8 +227,19 @@ def _(r):
     return A.backfill_print_logs(r.events.selectExpr("id", f"{_OLD} AS changed_fields"))
 
 
-@query("event_diffs", f"""WITH {EV}, b AS (SELECT id, object_id, json_extract_string(js, '$.body[0]') AS old_body, json_extract_string(js, '$.body[1]') AS new_body
-    FROM evk WHERE model = 'subsection' AND list_contains(keys, 'body'))
-  SELECT * FROM b WHERE trim(regexp_replace(old_body, '\\s+', ' ', 'g')) <> trim(regexp_replace(new_body, '\\s+', ' ', 'g'))""", ("r_events",))
-def _(r):
-    return A.event_diffs(r.events, r.subsections.select("id", "body"))
+# some events change the value of the first plain placeholder of their row
+_LABEL = r"regexp_extract(body, '\{([A-Za-z]+( [A-Za-z]+)*)\}', 1)"
+_ESCAPED = "replace(concat('[{\"key\":\"k\",\"type\":\"string\",\"label\":\"', label, '\",\"value\":\"{0}\"}]'), '\"', concat(chr(92), '\"'))"
+_OLD_VALUE, _NEW_VALUE = _ESCAPED.replace("{0}", "old value"), _ESCAPED.replace("{0}", "new value")
+
+
+@query("event_diffs", f"""WITH {EV}, s AS (SELECT id AS sid, body, {_LABEL} AS label FROM r_subsections), v AS (SELECT e.id, e.object_id, s.body, s.label FROM r_events e JOIN s ON s.sid = e.object_id WHERE e.model = 'subsection' AND e.id % 3 = 0 AND label <> ''),
+  b AS (SELECT id, object_id, json_extract_string(js, '$.body[0]') AS old_body, json_extract_string(js, '$.body[1]') AS new_body FROM evk WHERE model = 'subsection' AND list_contains(keys, 'body') AND id NOT IN (SELECT id FROM v)
+    UNION ALL SELECT id, object_id, replace(body, '{{' || label || '}}', 'old value'), replace(body, '{{' || label || '}}', 'new value') FROM v)
+  SELECT * FROM b WHERE trim(regexp_replace(old_body, '\\s+', ' ', 'g')) <> trim(regexp_replace(new_body, '\\s+', ' ', 'g'))""", ("r_events", "r_subsections"))
+def _(r):
+    labels = r.subsections.select(F.col("id").alias("object_id"), F.expr(_LABEL.replace("\\", "\\\\")).alias("label")).filter("label <> ''")
+    events = r.events.join(labels, "object_id", "left")
+    told = F.expr(f"concat('{{\"variables\": [\"', {_OLD_VALUE}, '\", \"', {_NEW_VALUE}, '\"]}}')")
+    mine = (F.col("model") == "subsection") & (F.col("id") % 3 == 0) & F.col("label").isNotNull()
+    return A.event_diffs(events.withColumn("changed_fields", F.when(mine, told).otherwise(F.col("changed_fields"))).drop("label"), r.subsections.select("id", "body"))

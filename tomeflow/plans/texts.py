@@ -83,13 +83,16 @@ def _(r):
     return S.replace_in_subsections(r.subsections, chosen, "Page", "leaf", include_name=True).select("id", "new_body", "new_name")
 
 
-@query("page_break_edit", r"""SELECT id, array_to_string([c for c in string_split(html_class, ' ') if c <> '' AND NOT starts_with(c, 'page-break')], ' ') AS html_class,
-   replace(body, 'page-break', '') AS body, CASE WHEN NOT regexp_matches(html_class, '(^| )page-break') AND NOT contains(body, 'page-break') THEN true ELSE false END AS elsewhere
-  FROM r_subsections""", SUB)
+@query("page_break_edit", rf"""WITH src AS (SELECT id AS pid, html_class, regexp_replace(body, '\]\([^)]*\)', ']', 'g') AS body FROM r_subsections), {_snippets('src', 'page-break')},
+  con AS (SELECT pid, string_agg('<p>' || text || '</p>', '' ORDER BY g) AS found FROM snippet GROUP BY pid)
+  SELECT id, array_to_string([c for c in string_split(s.html_class, ' ') if c <> '' AND NOT starts_with(c, 'page-break')], ' ') AS html_class, replace(s.body, 'page-break', '') AS body,
+   CASE WHEN NOT regexp_matches(s.html_class, '(^| )page-break') AND con.found IS NULL THEN '<p><em>Page break found in CSS classes or other locations</em></p>'
+     ELSE (CASE WHEN regexp_matches(s.html_class, '(^| )page-break') THEN '<strong><mark class="bg-yellow">Page break at top of section found.</mark></strong>' ELSE '' END) || coalesce(con.found, '') END AS context
+  FROM r_subsections s LEFT JOIN con ON con.pid = s.id""", SUB)
 def _(r):
     classes, body = X.remove_page_breaks(F.col("html_class"), F.col("body"))
     context = X.page_break_context(F.col("body"), F.col("html_class"))
-    return r.subsections.select("id", classes.alias("html_class"), body.alias("body"), context.startswith("<p><em>").alias("elsewhere"))
+    return r.subsections.select("id", classes.alias("html_class"), body.alias("body"), context.alias("context"))
 
 
 @query("mark_modified", r"""SELECT id, new_body FROM (SELECT id, body, regexp_replace(regexp_replace(body, 'Announcement version:\s*(?:New|Initial)', 'Announcement version: Modified', 'gi'),
