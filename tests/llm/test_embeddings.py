@@ -57,7 +57,7 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((2, 400, 64))
     y = x * 0.8 + y * 0.6
-    signs, factor = embeddings.encode(x, 1)
+    signs, factor, _ = embeddings.encode(x, 1)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     turned = unit(y) @ embeddings.rotation(64, 0).T
     estimate = (np.where(signs, 1.0, -1.0) * turned).sum(axis=1) / (8 * factor)
@@ -66,5 +66,19 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 0.02 and (np.abs(error) <= bound).all()
 
 
+def test_bytes_of_rotated_vectors_keep_the_bounds():
+    """Codes and bytes alone: no pair at the threshold falls short of its bound, most others do."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 64))
+    y = x + rng.standard_normal((300, 64)) * 0.25
+    signs, factor, _ = embeddings.encode(x, 1)
+    near, step = embeddings.rounded(embeddings.encode(y, 1)[2])
+    assert near.dtype == np.int8 and np.abs(near).max() == 127
+    upper = embeddings._upper(signs, near * step[:, None], factor, step[None, :])
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = unit(x) @ unit(y).T
+    assert (upper >= cosine - 1e-9).mean() > 0.9998 and (upper[cosine >= 0.95] >= 0.95).all() and (upper[cosine < 0.5] < 0.95).mean() > 0.98
+
+
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
