@@ -60,7 +60,7 @@ def test_equals_plain_model(spark, monkeypatch, setting):
     monkeypatch.setattr(ngrams, "SHARD_TOKENS", 3000)
     rows = fixture()
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, word int, tokens string").repartition(5)
-    got = sorted((tuple(r) for r in ngrams.score(df, LEARN, bits=60, probes=30, **setting).collect()), key=str)
+    got = sorted((tuple(r) for r in ngrams.score(df, LEARN, bits=4000, **setting).collect()), key=str)
     want = plain(rows)
     assert [r[:4] for r in got] == [r[:4] for r in want]
     assert [r[4:] for r in got] == [pytest.approx(r[4:], rel=1e-9) for r in want]
@@ -71,8 +71,8 @@ def test_filter_errs_on_one_side():
     keys, counts = rnd.integers(0, 1 << 63, 20000).astype(np.uint64), rnd.zipf(1.7, 20000).clip(1, 10**12)
     q = ngrams.levels(counts)
     assert all(1 + math.floor(math.log(c) / math.log(ngrams.BASE) + 1e-12) == k for c, k in zip(counts.tolist(), q.tolist(), strict=True))
-    size = int(q.sum()) * ngrams.BITS
-    bloom = ngrams.Bloom(bytes(size // 8 + 1), np.zeros(1, np.uint64), np.array([size], np.uint64), ngrams.PROBES)
+    words = int(q.sum()) * ngrams.BITS // 64 + 1
+    bloom = ngrams.Bloom(bytes(8 * words), np.zeros(1, np.uint64), np.array([words], np.uint64))
     none = np.zeros(20000, np.int64)
     bloom.add(keys, q, none)
     read = bloom.read(keys, none)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +35,22 @@ from tomeflow.session import cut
 
 BASE = 1.5
 DISCOUNT = 0.75
-#: Bits of the filter per entry and probes per entry: an absent entry is taken for a present one with a chance below 1 in 100.
-BITS = 10
-PROBES = 7
+#: Bits of the filter per entry, and bits an entry sets: an absent entry is taken for a present one with a chance below 1 in 100.
+BITS = 14
+PROBES = 4
 #: Most words whose exact counts are broadcast.
 HEAD = 250_000
-FILTER_BYTES = 128 << 20
+FILTER_BYTES = 160 << 20
 #: Training tokens per shard of the filter, and most shards.
 SHARD_TOKENS = 500_000
 MOST_SHARDS = 20_000
 #: Bytes of text handled at once in a task: when counting, and when scoring.
 COUNT_BYTES = 4 << 20
 SCORE_BYTES = 2 << 20
-#: Size of a shard up to which its bits are set one to a byte.
-PLAIN_BYTES = 4 << 20
 _U = np.uint64
 _START, _END, _COUNT, _TYPES = (_U(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _LEVEL = 0xD6E8FEB86659FD93
+_ONE = _U(1)
 _LOWEST = BASE ** np.arange(110)
 _UPPER = np.minimum(np.ceil(_LOWEST[1:]) - 1, 2.0**63)
 #: Count that stands for each level: the middle of the whole numbers with it.
@@ -67,21 +67,27 @@ class Parsed:
     each token ends, the end token of a text included), ``ends`` (where the tokens of each text begin, and the end of the last)."""
 
     def __init__(self, raws: list[bytes]) -> None:
-        blob = b" ".join(raws).lower()
-        start, stop = rolling.word_bounds(blob)
+        self.blob = b" ".join(raws).lower()
+        self.start, self.stop = rolling.word_bounds(self.blob)
         text_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        n = np.diff(np.searchsorted(start, text_at))
+        n = np.diff(np.searchsorted(self.start, text_at))
         self.ends = np.append(0, np.cumsum(n + 1))
-        self.at = np.arange(len(start)) + np.repeat(np.arange(len(raws)), n)
+        self.at = np.arange(len(self.start)) + np.repeat(np.arange(len(raws)), n)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
         token = np.full(int(self.ends[-1]), _END)
-        token[self.at] = rolling.span(rolling.byte_sums(blob), start, stop)
+        token[self.at] = rolling.span(rolling.byte_sums(self.blob), self.start, self.stop)
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[self.ends[:-1]] = _START
-        self.keys = (before >> _U(32) << _U(32)) | (rolling.mix(before * _U(3) + token) >> _U(32))
-        raw = np.frombuffer(blob, np.uint8)
-        sizes = np.append(0, np.cumsum(stop - start)).astype(np.int32)
-        self.words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(sizes), pa.py_buffer(raw[~rolling.SPACES[raw]])])
+        return (before >> _U(32) << _U(32)) | (rolling.mix(before * _U(3) + token) >> _U(32))
+
+    @cached_property
+    def words(self) -> pa.BinaryArray:
+        raw = np.frombuffer(self.blob, np.uint8)
+        sizes = np.append(0, np.cumsum(self.stop - self.start)).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(sizes), pa.py_buffer(raw[~rolling.SPACES[raw]])])
 
 
 def _together(batches: Batches, most: int, key: str | None = None) -> Iterator[tuple[list[bytes], list]]:
@@ -114,43 +120,39 @@ def _bigrams(batches: Batches) -> Batches:
 
 
 class Bloom:
-    """Bits of one or several shards, end to end; ``first`` and ``bits`` are the place and size of every shard (0: not here)."""
+    """Bits of one or several shards, end to end; ``first`` and ``words`` are the place and size of every shard in 64-bit words (0:
+    not here). An entry sets ``PROBES`` bits of one word, so a probe reads one place."""
 
-    def __init__(self, data: bytes, first: np.ndarray, bits: np.ndarray, probes: int) -> None:
-        self.data, self.first, self.bits, self.probes = data, first, bits, probes
+    def __init__(self, data: bytes, first: np.ndarray, words: np.ndarray) -> None:
+        self.data, self.first, self.words = data, first, words
 
-    def _places(self, keys: np.ndarray, level: int, shard: np.ndarray) -> Iterator[np.ndarray]:
+    def _probe(self, keys: np.ndarray, level: int, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word of every entry, and its bits."""
         h = rolling.mix(keys + _U(level * _LEVEL % (1 << 64)))
-        step = rolling.mix(h) | _U(1)
-        for i in range(self.probes):
-            yield (self.first[shard] + (h + _U(i) * step) % self.bits[shard]).astype(np.int64)
+        at = (first + ((h >> _U(32)) * words >> _U(32))).astype(np.int64)
+        mask = _ONE << (h & _U(63))
+        for i in range(1, PROBES):
+            mask |= _ONE << ((h >> _U(6 * i)) & _U(63))
+        return at, mask
 
     def add(self, keys: np.ndarray, q: np.ndarray, shard: np.ndarray) -> None:
         order = np.argsort(-q, kind="stable")
         keys, shard, q = keys[order], shard[order], q[order]
-        data = np.frombuffer(self.data, np.uint8).copy()
-        plain = np.unpackbits(data, bitorder="little") if len(data) <= PLAIN_BYTES else None
+        data = np.frombuffer(self.data, "<u8").copy()
         for level in range(1, int(q.max(initial=0)) + 1):
-            has = slice(0, int(np.searchsorted(-q, -level, "right")))
-            for at in self._places(keys[has], level, shard[has]):
-                if plain is not None:
-                    plain[at] = 1
-                else:
-                    np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        self.data = (data if plain is None else np.packbits(plain, bitorder="little")).tobytes()
+            n = int(np.searchsorted(-q, -level, "right"))
+            np.bitwise_or.at(data, *self._probe(keys[:n], level, self.first[shard[:n]], self.words[shard[:n]]))
+        self.data = data.tobytes()
 
     def read(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The highest level up to which every one is there."""
-        q, data = np.zeros(len(keys), np.int64), np.frombuffer(self.data, np.uint8)
-        alive = np.flatnonzero(self.bits[shard] > 0)
+        q, data = np.zeros(len(keys), np.int64), np.frombuffer(self.data, "<u8")
+        alive = np.flatnonzero(self.words[shard] > 0)
+        left, first, words = keys[alive], self.first[shard[alive]], self.words[shard[alive]]
         for level in range(1, len(STANDS)):
-            k, s, there = keys[alive], shard[alive], np.arange(len(alive))
-            h = rolling.mix(k + _U(level * _LEVEL % (1 << 64)))
-            step, first, bits = rolling.mix(h) | _U(1), self.first[s], self.bits[s]
-            for i in range(self.probes):
-                at = (first[there] + (h[there] + _U(i) * step[there]) % bits[there]).astype(np.int64)
-                there = there[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            alive = alive[there]
+            at, mask = self._probe(left, level, first, words)
+            there = (data[at] & mask) == mask
+            alive, left, first, words = alive[there], left[there], first[there], words[there]
             if not len(alive):
                 break
             q[alive] = level
@@ -172,14 +174,14 @@ def _entries(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate((keys, rolling.mix(history ^ _COUNT), rolling.mix(history ^ _TYPES))), levels(np.concatenate((counts, total, types)))
 
 
-def _built(bits: int, probes: int) -> Callable[[Batches], Batches]:
+def _built(bits: int) -> Callable[[Batches], Batches]:
     """One row per shard from (shard, key, n) sorted by shard."""
 
     def one(shard: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, q = _entries(keys, counts)
         size = -(-int(q.sum()) * bits // 64) * 8
-        bloom = Bloom(bytes(size), np.zeros(1, _U), np.array([8 * size], _U), probes)
+        bloom = Bloom(bytes(size), np.zeros(1, _U), np.array([size // 8], _U))
         bloom.add(keys, q, np.zeros(len(keys), np.int64))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([bloom.data], pa.binary())], ["shard", "size", "data"])
 
@@ -199,22 +201,22 @@ def _built(bits: int, probes: int) -> Callable[[Batches], Batches]:
     return work
 
 
-def build(docs: DataFrame, n_tokens: int, bits: int = BITS, probes: int = PROBES) -> tuple[DataFrame, int]:
+def build(docs: DataFrame, n_tokens: int, bits: int = BITS) -> tuple[DataFrame, int]:
     """The filter of ``docs`` (text) as a written table (shard, size, data), and its number of shards."""
     shards = min(MOST_SHARDS, n_tokens // SHARD_TOKENS + 1)
     parts = docs.select("text").mapInArrow(_bigrams, "key long, n long").withColumn("shard", F.pmod(F.shiftrightunsigned("key", 32), F.lit(shards)).cast("int"))
     # as many parts as shards bound what a task sorts
     counts = parts.repartition(shards, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("shard")
-    return cut(counts.mapInArrow(_built(bits, probes), "shard int, size long, data binary")), shards
+    return cut(counts.mapInArrow(_built(bits), "shard int, size long, data binary")), shards
 
 
-def _held(filters: DataFrame, shards: int, wanted: list[int], probes: int) -> Bloom:
-    first, bits, parts, end = np.zeros(shards, _U), np.zeros(shards, _U), [], 0
+def _held(filters: DataFrame, shards: int, wanted: list[int]) -> Bloom:
+    first, words, parts, end = np.zeros(shards, _U), np.zeros(shards, _U), [], 0
     for r in filters.where(F.col("shard").isin(wanted)).select("shard", "data").toLocalIterator():
-        first[r.shard], bits[r.shard] = 8 * end, 8 * len(r.data)
+        first[r.shard], words[r.shard] = end, len(r.data) // 8
         parts.append(r.data)
-        end += len(r.data)
-    return Bloom(b"".join(parts) or bytes(8), first, bits, probes)
+        end += len(r.data) // 8
+    return Bloom(b"".join(parts) or bytes(8), first, words)
 
 
 def _scored(model: Broadcast, head: Broadcast, wanted: np.ndarray) -> Callable[[Batches], Batches]:
@@ -289,7 +291,7 @@ def _frequent(counts: DataFrame, most: int) -> int:
     return next((1 << k for k in range(62) if row[k] <= most), 1 << 62)
 
 
-def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text", doc_id: str = "doc_id", bits: int = BITS, probes: int = PROBES, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text", doc_id: str = "doc_id", bits: int = BITS, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known (tokens that training rows have), train_tokens, base_score (add-one unigrams)
     and score, both log10 probabilities of the whole text and its end; ``learn(doc_id)`` says which rows are learned from.
 
@@ -301,7 +303,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text"
     train = read.where(learn(F.col("doc_id")))
     counts = cut(train.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    filters, shards = build(train, n, bits, probes)
+    filters, shards = build(train, n, bits)
     floor = _frequent(counts, head)
     common = (F.col("c") >= floor) | (F.length("word") == 0)
     table = counts.where(common).toArrow()
@@ -314,7 +316,7 @@ def score(docs: DataFrame, learn: Callable[[Column], Column], text: str = "text"
         wanted[group if len(groups) > 1 else slice(None)] = True
         if len(groups) > 1 and group is groups[0]:
             wanted[np.setdiff1d(np.arange(shards), [s for g in groups for s in g])] = True  # shards without any entry
-        model = spark.sparkContext.broadcast(_held(filters, shards, group, probes))
+        model = spark.sparkContext.broadcast(_held(filters, shards, group))
         part = cut(read.select("row_key", "text").mapInArrow(_scored(model, known, wanted), wide))
         model.unpersist()
         done = part if done is None else done.union(part)
