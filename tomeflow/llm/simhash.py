@@ -133,7 +133,7 @@ def _placed(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> DataFram
     roots = components(links(nodes.select("fp"), hot))
     placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = placed.join(small(least, GONE_ROWS), "root")  # no aggregation beside the join, so that Spark can split a large component.select("fp", "root", "component_id")
+    named = placed.join(small(least, GONE_ROWS), "root")  # no aggregation beside the join, so that Spark can split a large component
     return read.join(named, "fp")
 
 
