@@ -1,33 +1,30 @@
 """Spaced-seed decontamination against a plain loop over texts, items and alignments."""
 
 import random
+from itertools import combinations
 
 from tomeflow.llm import decontaminate as D
 
 
 def plain(docs, items):
+    """By similarity alone: every text, item and alignment."""
     out = {}
-    masks = [[k for k, b in enumerate(m) if b == "1"] for m in D.MASKS]
     for doc, text in docs:
         w = (text or "").lower().split()
         for item, passage in items:
             v = (passage or "").lower().split()
-            if item is None or len(v) < D.LEAST_WORDS:
+            if item is None or not v:
                 continue
             width, best = min(len(v), D.WINDOW), None
             for d in range(-len(v), len(w)):
-                at = lambda j, d=d, w=w, v=v: 0 <= d + j < len(w) and w[d + j] == v[j]
-                if len(v) < 9:
-                    hit = 0 <= d and d + len(v) <= len(w) and all(at(j) for j in range(len(v)))
-                else:
-                    hit = any(0 <= d + j and d + j + 9 <= len(w) and all(at(j + k) for k in m) for m in masks for j in range(len(v) - 8))
-                if hit:
-                    e = [at(j) for j in range(len(v))]
-                    share = max(sum(e[k : k + width]) for k in range(len(v) - width + 1)) / width
-                    if share >= D.SIMILARITY and (best is None or (share, sum(e), -d) > best):
-                        best = (share, sum(e), -d)
+                e = [0 <= d + j < len(w) and w[d + j] == v[j] for j in range(len(v))]
+                if sum(e) * 5 < width * 4:
+                    continue
+                most = max(sum(e[k : k + width]) for k in range(len(v) - width + 1))
+                if most * 5 >= width * 4 and (best is None or (most, sum(e), -d) > best):
+                    best = (most, sum(e), -d)
             if best:
-                out[doc, item] = (round(best[0], 9), best[1], -best[2])
+                out[doc, item] = (round(best[0] / width, 9), best[1], -best[2])
     return out
 
 
@@ -45,6 +42,7 @@ def fixture():
             at = rnd.randint(0, len(w))
             w[at:at] = v[rnd.choice([0, 0, 5]) :]
         docs.append((i, rnd.choice([" ", "\n", "  "]).join(w).title()))
+    docs += [(200 + k, f"{rnd.choice(vocab)} {items[7][1]} {rnd.choice(vocab)}") for k in range(3)]
     docs += [(100, None), (101, ""), (None, items[5][1]), (102, "so so " * 20000 + items[6][1]), (7, docs[7][1])]
     return docs, items
 
@@ -62,6 +60,31 @@ def test_equals_brute_force(spark):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((i for i, _ in docs if i not in hit), key=str)
 
 
+def test_every_allowed_substitution_is_found(spark):
+    """Items of 1 to 20 words: each pattern of as many substitutions as four fifths allow is found, one more is not."""
+    docs, items, more = [], [], []
+    for n in range(1, 21):
+        v = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(v)))
+        errors = n - D.needed(n)
+        for gone in combinations(range(n), errors):
+            docs.append((1000 * n, len(docs), " ".join("xx" if k in gone else x for k, x in enumerate(v))))
+        for gone in list(combinations(range(n), errors + 1))[::37]:
+            more.append((1000 * n + 1, len(docs) + len(more), " ".join("xx" if k in gone else x for k, x in enumerate(v))))
+    df = spark.createDataFrame([(i, f"lead {t} tail") for _, i, t in docs + more], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n // 1000) for n, i, _ in docs}
+    assert len(docs) > 6000
+
+
+def test_masks_hit_whatever_is_allowed():
+    for n in range(1, 40):
+        width, m = min(n, D.WINDOW), D.mask(n)
+        ones = [k for k, bit in enumerate(m) if bit == "1"]
+        for gone in combinations(range(width), width - D.needed(width)):
+            assert any(not set(gone) & {o + k for o in ones} for k in range(width - len(m) + 1)), (n, gone)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
