@@ -60,3 +60,25 @@ def test_targets_of_absent_or_barred_values(spark):
     to = lambda rows: spark.createDataFrame(rows, "value string, share double")
     got = {(r.source, r.lang): r.mass for r in mixing.rake(cells, {"source": to([("a", 1.0), ("b", 1.0), ("b", 2.0), ("c", 0.0), ("zz", 5.0)]), "lang": to([("x", 1.0), ("y", 1.0)])}).collect()}
     assert got == {("a", "x"): 0.25, ("b", "x"): 0.75, ("c", "x"): 0.0, ("a", "y"): 0.0}
+
+
+def test_rounds_go_on_until_met_or_hopeless(spark):
+    """Nearly empty cells converge slowly and are met all the same; targets that contradict each other end and say so."""
+    to = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    half = {"source": to([("a", 1.0), ("b", 1.0)]), "lang": to([("x", 1.0), ("y", 1.0)])}
+    slow = spark.createDataFrame([("a", "x", 1_000_000), ("a", "y", 1), ("b", "x", 3), ("b", "y", 900_000)], "source string, lang string, tokens long")
+    got = mixing.rake(slow, half).collect()
+    assert {r.off for r in got} == {got[0].off} and got[0].off <= mixing.TOLERANCE
+    sparse = spark.createDataFrame([("a", "x", 10), ("a", "y", 10), ("b", "x", 10)], "source string, lang string, tokens long")
+    uneven = mixing.rake(sparse, {"source": to([("a", 1.0), ("b", 3.0)]), "lang": to([("x", 1.0), ("y", 3.0)])}).collect()
+    by_lang = {}
+    for r in uneven:
+        by_lang[r.lang] = by_lang.get(r.lang, 0) + r.mass
+    assert uneven[0].off > 0.1 and abs(by_lang["y"] - 0.75) < 1e-9
+
+
+def test_columns_with_internal_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", "mine", 2, 3)], "doc_id long, text string, lang string, source string, __topic string, topic int, id int")
+    topics = spark.createDataFrame([(1, "t")], "doc_id long, topic string")
+    got = mixing.mix(docs, topics).collect()
+    assert [(r["__topic"], r.topic, r.id, r.tokens) for r in got] == [("mine", "t", 3, 2)]
