@@ -13,8 +13,8 @@ CSV = {
 }
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.options(**CSV).mode("overwrite").csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.options(**CSV, compression=compression).mode("overwrite").csv(path)
 
 
 def nested(docs: DataFrame, sections: DataFrame, subsections: DataFrame) -> DataFrame:
