@@ -147,13 +147,13 @@ def version_lines(docs: DataFrame) -> DataFrame:
     Pointers double every round, so a line of n versions takes about log2(n) rounds; pointers still running after as many rounds
     as the number of rows can need are on a cycle or lead into one."""
     known = docs.select(F.col("id").alias("next"))
-    edges = docs.select("id", F.col("successor").alias("next")).join(known.distinct(), "next", "left_semi")
-    rows = cut(docs.select("id").distinct().join(edges, "id", "left").select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("long").alias("steps"), F.col("next").isNotNull().alias("runs")))
+    edges = docs.select("id", F.col("successor").alias("next")).join(known.distinct().hint("merge"), "next", "left_semi")
+    rows = cut(docs.select("id").distinct().join(edges.hint("merge"), "id", "left").select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("long").alias("steps"), F.col("next").isNotNull().alias("runs")))
     for _ in range(max(1, rows.count()).bit_length() + 1):
         on = rows.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("runs").alias("on"))
         if rows.filter("runs").isEmpty():
             break
-        met = rows.join(on, "at", "left")
+        met = rows.join(on.hint("merge"), "at", "left")
         rows = cut(met.select("id", F.when(F.col("runs"), F.col("to")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.when(F.col("runs"), F.col("more")).otherwise(0)).alias("steps"), (F.col("runs") & F.col("on")).alias("runs")))
     return rows.select("id", F.when(~F.col("runs"), F.col("at")).alias("last"), F.when(~F.col("runs"), F.col("steps")).alias("steps"), F.col("runs").alias("cycle"))
 
@@ -162,21 +162,22 @@ def version_chain(docs: DataFrame) -> DataFrame:
     """(id, ancestor, steps, position): every earlier version of every document, at any distance, oldest first. Documents on a
     cycle or leading into one have no rows here; ``version_lines`` reports them.
 
-    The pairs double in reach every round: those of up to 2^k steps, each carried 2^k steps on."""
+    The pairs double in reach every round: those of up to 2^k steps, each carried 2^k steps on. Every table here grows with the
+    documents, so joins shuffle; a broadcast each round would send them all through the driver."""
     lines = version_lines(docs)
-    sound = docs.join(lines.filter("NOT cycle").select("id"), "id", "left_semi")
+    sound = docs.join(lines.filter("NOT cycle").select("id").hint("merge"), "id", "left_semi")
     there = sound.select(F.col("id").alias("successor")).distinct()
-    edges = sound.select("id", "successor").distinct().join(there, "successor", "left_semi")
+    edges = sound.select("id", "successor").distinct().join(there.hint("merge"), "successor", "left_semi")
     reach = cut(edges.select(F.col("successor").alias("id"), F.col("id").alias("ancestor"), F.lit(1).cast("long").alias("steps")))
     jump, k = cut(edges.select("id", F.col("successor").alias("to"))), 1
     while not jump.isEmpty():
         onward = jump.select("id", F.col("to").alias("far"))
-        more = reach.filter(F.col("steps") <= k).join(onward, "id").select(F.col("far").alias("id"), "ancestor", (F.col("steps") + k).alias("steps"))
+        more = reach.filter(F.col("steps") <= k).join(onward.hint("merge"), "id").select(F.col("far").alias("id"), "ancestor", (F.col("steps") + k).alias("steps"))
         reach = cut(reach.unionByName(more))
-        jump = cut(jump.join(onward.select(F.col("id").alias("to"), "far"), "to").select("id", F.col("far").alias("to")))
+        jump = cut(jump.join(onward.select(F.col("id").alias("to"), "far").hint("merge"), "to").select("id", F.col("far").alias("to")))
         k *= 2
     at = docs.select(F.col("id").alias("ancestor"), "created").distinct()
-    return ordered.row_numbers(reach.join(at, "ancestor"), ["id"], ["created", "ancestor"]).drop("created")
+    return ordered.row_numbers(reach.join(at.hint("merge"), "ancestor"), ["id"], ["created", "ancestor"]).drop("created")
 
 
 def latest_clone(docs: DataFrame) -> DataFrame:
