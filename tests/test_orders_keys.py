@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tomeflow.operators import audit, filters, ordered, templates, versions
 from tomeflow.operators import compare as C
+from tomeflow.plans import catalog
+from tomeflow.plans.roles import Roles
 from tomeflow.session import checkpoint_dir
-from tomeflow.sources import readers, tables
+from tomeflow.sources import readers, sinks, tables
 
 
 def rows(df, *cols):
@@ -109,6 +111,32 @@ def test_uploads_are_judged_by_content(spark):
     assert rows(bad, "filename", "reason") == [("c.html", word), ("d.docx", word), ("e.html", "Not HTML inside: pdf"), ("f.html", "Not UTF-8."), ("g.txt", "Please import a .docx or HTML file."), ("i.html", "Not HTML inside: other")]
 
 
+def test_packed_uploads_are_judged_like_files(spark):
+    path = Path(checkpoint_dir(spark).removeprefix("file://")) / "uploads-both"
+    path.mkdir(parents=True)
+    files = {"a.html": "\ufeff <p>é</p>".encode(), "c.html": b"PK\x03\x04zip", "f.html": b"<p>\xff\xfe</p>", "g.txt": b"<p>x</p>\n"}
+    for name, content in files.items():
+        (path / name).write_bytes(content)
+    columns = ["filename", "kind", "reason", "html"]
+    each = readers.read_uploads(spark, str(path))
+    sinks.pack_uploads(each.unionByName(spark.createDataFrame([("", "empty.html", bytearray(), 0)], each.schema)), f"{path}-packed")
+    packed = readers.read_uploads(spark, f"{path}-packed", packed=True)
+    assert packed.dtypes == each.dtypes and packed.count() == 5
+    assert rows(packed.filter("filename <> 'empty.html'"), "filename", "content", "size") == rows(each, "filename", "content", "size")
+    assert rows(readers.judge_uploads(packed).filter("filename <> 'empty.html'"), *columns) == rows(readers.judge_uploads(each), *columns)
+    assert rows(readers.judge_uploads(packed).filter("filename = 'empty.html'"), *columns) == [("empty.html", "other", "Not HTML inside: other", None)]
+
+
+def test_uploads_of_a_query_are_no_file_each(spark):
+    """Before, each upload was written to a folder of its own, listed and opened."""
+    root = Path(checkpoint_dir(spark).removeprefix("file://"))
+    got = catalog.PLANS["read_raw_html"](Roles(spark, "/root/testdata/sf0.001"))
+    stores = list(root.glob("uploads-*/"))
+    n = got.count()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").filter("page_id % 4 = 0").count() > 8
+    assert all(len(list(s.rglob("part-*"))) <= 8 for s in stores if "both" not in s.name)
+
+
 def test_store_is_read_in_ranges_with_pushed_filters(spark):
     url = f"jdbc:derby:memory:store{random.Random().randint(0, 10**9)};create=true"
     data = spark.createDataFrame([(i, f"t{i}", i % 3) for i in range(5, 105)] + [(None, "none", 1)], "ID int, TITLE string, KIND int")

@@ -11,9 +11,14 @@ from tomeflow.operators.audit import stable_uuid
 IMAGE = r"(?i)\.(jpe?g|png)$"
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as ``path``, ``filename``, ``content`` (bytes) and ``size``. Folders may name the file (``filename=...``).
-    Spark lists no files of zero bytes, so an empty upload gives no row."""
+def read_uploads(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Uploads as ``path``, ``filename``, ``content`` (bytes) and ``size``, from a folder with a file each or, with ``packed``, from
+    a store of many uploads a file (``sinks.pack_uploads``). Many small uploads belong in a store: listing and opening a file
+    each costs the driver milliseconds, whatever its size. Folders may name the file (``filename=...``). Spark lists no files of
+    zero bytes, so an empty upload gives no row from a folder; from a store it gives one."""
+    if packed:
+        rows = spark.read.schema("filename string, content binary").parquet(path)
+        return rows.select(F.col("_metadata.file_path").alias("path"), "filename", "content", F.octet_length("content").cast("bigint").alias("size"))
     files = spark.read.format("binaryFile").load(path)
     name = F.col("filename").cast("string") if "filename" in files.columns else F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("filename"), "content", F.col("length").alias("size"))
@@ -25,9 +30,10 @@ def content_kind(content: Column) -> Column:
     return F.when(head.rlike(r"^(?:\u00EF\u00BB\u00BF)?\s*<"), "html").when(head.startswith("PK\u0003\u0004"), "word").when(head.startswith("%PDF-"), "pdf").otherwise("other")
 
 
-def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted with ``html``, rejected with a reason) from ``read_uploads`` rows. The content decides, not only the name: HTML
-    needs an HTML name, leading bytes of HTML and valid UTF-8. Word files are recognised; decoding them is a separate step."""
+def judge_uploads(files: DataFrame) -> DataFrame:
+    """``filename``, ``kind``, ``reason`` (null if accepted) and ``html`` (null if rejected) of ``read_uploads`` rows, in one pass. The
+    content decides, not only the name: HTML needs an HTML name, leading bytes of HTML and valid UTF-8. Word files are
+    recognised; decoding them is a separate step."""
     named = F.lower("filename").rlike(r"\.html?$")
     reason = (
         F.when((F.col("kind") == "word") | F.lower("filename").endswith(".docx"), "Word file: convert to HTML first")
@@ -36,7 +42,13 @@ def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rows = files.withColumn("kind", content_kind(F.col("content"))).withColumn("reason", reason)
     html = F.regexp_replace(F.decode("content", "UTF-8"), "^\uFEFF", "")
-    return rows.filter("reason IS NULL").select("filename", "kind", html.alias("html")), rows.filter("reason IS NOT NULL").select("filename", "kind", "reason")
+    return rows.select("filename", "kind", "reason", F.when(F.col("reason").isNull(), html).alias("html"))
+
+
+def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted with ``html``, rejected with a reason) of ``judge_uploads``."""
+    rows = judge_uploads(files)
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").drop("html")
 
 
 def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -17,6 +17,11 @@ def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     df.write.options(**CSV, compression=compression).mode("overwrite").csv(path)
 
 
+def pack_uploads(uploads: DataFrame, path: str) -> None:
+    """Uploads (``filename``, ``content`` in bytes) into a store that ``readers.read_uploads(..., packed=True)`` reads."""
+    uploads.select("filename", "content").write.parquet(path)
+
+
 def nested(docs: DataFrame, sections: DataFrame, subsections: DataFrame) -> DataFrame:
     """Unarchived documents with sorted sections and subsections. Built level by level: a document's row holds its own
     tree, which is what the export is."""
