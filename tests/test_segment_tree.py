@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.operators import segment as S
+from tomeflow.plans import catalog
+from tomeflow.plans.roles import Roles
 
 
 def pages(spark, **html):
@@ -116,3 +118,30 @@ def test_image_texts_and_header_widths(spark):
     raw = pages(spark, d="<table><tr><td>Component</td><td>How to upload it</td><td>Page limits</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table><table><tr><th>a</th><th>b</th><th>c</th><th>d</th></tr></table>")
     got = S.header_widths(S.table_header_fix(S.table_cells(S.blocks(S.html_tokens(raw)))))
     assert rows(got.filter(F.col("width").isNotNull()), "tbl", "cell", "width") == [(1, 1, "w-45"), (1, 2, "w-40"), (1, 3, "w-15"), (2, 1, "w-25"), (2, 2, "w-25"), (2, 3, "w-25"), (2, 4, "w-25")]
+
+
+def test_pages_are_cut_once_for_instructions(spark, monkeypatch):
+    """Before, the pages were cut into units twice, and the subsections stood in two joins, so all of it ran four times."""
+    calls, whole = [], S.html_tokens
+    monkeypatch.setattr(S, "html_tokens", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    catalog.PLANS["attach_instructions"](Roles(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1
+    subs = spark.range(9).selectExpr("'d' AS doc_id", "id AS section", "1L AS `order`", "if(id % 2 = 0, '', 'Scope (all)') AS name", "'scope: x' AS body")
+    ins = spark.createDataFrame([("d", 1, "do", "scope")], "doc_id string, unit bigint, instructions string, title string")
+    plan = S.attach_instructions(subs, ins)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 9") == 1
+
+
+def test_instructions_find_titles_and_unnamed_bodies(spark):
+    subs = [("d", 2, 1, "Scope (all)", ""), ("d", 1, 3, "", " Scope and more"), ("d", 3, 1, "(x)", ""), ("d", 3, 2, "", "anything"), ("e", 1, 1, "Scope", "b"), ("e", 1, 2, "Fees", "b"), ("g", 1, 1, None, "Scope")]
+    ins = [("d", 7, "one", "scope"), ("d", 5, "two", " SCOPE (new)"), ("d", 8, "blank", "(y)"), ("d", 9, "none", None), ("e", 1, "three", "fees"), ("e", 2, "lost", "rates"), ("f", 1, "four", "scope"), ("g", 1, "five", "scope")]
+    s = spark.createDataFrame(subs, "doc_id string, section bigint, `order` bigint, name string, body string")
+    i = spark.createDataFrame(ins, "doc_id string, unit bigint, instructions string, title string")
+    got = sorted(map(tuple, S.attach_instructions(s, i).collect()))
+    assert got == [("d", 1, 3, "two"), ("d", 3, 1, "blank"), ("e", 1, 2, "three")]
+
+
+def test_documents_without_instructions_are_left_out_whole(spark):
+    rows = [("a", 1, True, "Instructions for new program team Scope"), ("a", 2, False, "x"), ("b", 1, True, "Other box"), ("b", 2, False, "Instructions for new program team"), ("c", 1, None, None), (None, 3, True, "Grant-specific instructions"), (None, 4, False, "y")]
+    units = spark.createDataFrame(rows, "doc_id string, unit bigint, is_callout boolean, text string")
+    assert sorted((r.doc_id or "", r.unit) for r in S.instructed(units).collect()) == [("", 3), ("", 4), ("a", 1), ("a", 2)]

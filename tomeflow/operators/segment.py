@@ -228,10 +228,18 @@ def drop_known_section(units_: DataFrame, title: str = "before you begin") -> Da
 INSTRUCTIONS = r"^(instructions for (new )?\w+ (writers|(\w+ )?team)|.+-specific instructions)"
 
 
+def _instructs() -> Column:
+    return F.col("is_callout") & F.lower("text").rlike(INSTRUCTIONS)
+
+
 def split_instructions(units_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(content, instructions): one-cell tables that open with instruction wording leave the content."""
-    hit = F.col("is_callout") & F.lower("text").rlike(INSTRUCTIONS)
-    return units_.filter(~hit), units_.filter(hit)
+    return units_.filter(~_instructs()), units_.filter(_instructs())
+
+
+def instructed(units_: DataFrame) -> DataFrame:
+    """All units of the documents that hold an instruction; only there can one be attached to anything."""
+    return units_.withColumn("__has", F.bool_or(_instructs()).over(W.partitionBy("doc_id"))).filter("__has").drop("__has")
 
 
 def normal_title(c: Column) -> Column:
@@ -241,12 +249,15 @@ def normal_title(c: Column) -> Column:
 def attach_instructions(subsections: DataFrame, instructions: DataFrame) -> DataFrame:
     """(doc_id, section, order, instructions): the first subsection in document order whose title, or unnamed body start,
     equals the instruction's ``title``; one instruction per subsection."""
-    i = instructions.withColumn("norm", normal_title(F.col("title")))
-    s = subsections.withColumn("norm", normal_title(F.col("name")))
+    named = F.col("name") != ""
+    s = subsections.withColumn("__named", named).withColumn("__key", F.when(named, normal_title(F.col("name"))).otherwise(""))
+    # an instruction looks for its title among the named and for any unnamed: one join, so the subsections are made once
+    i = instructions.select("doc_id", "unit", "instructions", normal_title(F.col("title")).alias("norm"))
+    key = lambda named, text: F.struct(F.lit(named).alias("__named"), text.alias("__key"))
+    i = i.select("*", F.inline(F.array(key(True, F.col("norm")), key(False, F.lit("")))))
+    begins = F.lower(F.trim("body")).startswith(F.col("norm")) & (F.col("norm") != "")
     place = F.struct("section", "order")
-    by_name = s.filter("name <> ''").join(i, ["doc_id", "norm"]).select("doc_id", "section", "order", "unit", "instructions")
-    unnamed = subsections.filter("name = ''").join(i, "doc_id").filter(F.lower(F.trim("body")).startswith(F.col("norm")) & (F.col("norm") != ""))
-    both = by_name.unionByName(unnamed.select("doc_id", "section", "order", "unit", "instructions"))
+    both = s.join(i, ["doc_id", "__named", "__key"]).filter(F.col("__named") | begins)
     first = both.groupBy("doc_id", "unit").agg(F.min_by(F.struct("section", "order", "instructions"), place).alias("m")).select("doc_id", "unit", "m.*")
     return first.groupBy("doc_id", "section", "order").agg(F.min_by("instructions", "unit").alias("instructions"))
 

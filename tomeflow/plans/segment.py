@@ -8,6 +8,7 @@ from tomeflow import fixed_values as V
 from tomeflow.operators import segment as S
 from tomeflow.plans.registry import query
 from tomeflow.plans.trees import _FLAG, _slug
+from tomeflow.session import cut
 
 RAW = ("r_raw_html",)
 
@@ -151,8 +152,9 @@ _NORM = r"lower(trim(regexp_replace(trim({0}), '\s*\(.*\)\s*$', '')))"
      AND ((s.name <> '' AND {_NORM.format('s.name')} = i.norm) OR (s.name = '' AND i.norm <> '' AND starts_with(lower(trim(s.body)), i.norm))))
   SELECT doc_id, section, "order", min_by(instructions, unit) AS instructions FROM met WHERE rn = 1 GROUP BY doc_id, section, "order" """, RAW)
 def _(r):
-    ins = S.split_instructions(units(r))[1].select("doc_id", "unit", F.col("text").alias("instructions"), F.expr(_TITLE.replace("\\", "\\\\")).alias("title"))
-    return S.attach_instructions(subsections(r), ins)
+    found = cut(S.instructed(units(r)))  # pages are cut into units once, for both sides
+    ins = S.split_instructions(found)[1].select("doc_id", "unit", F.col("text").alias("instructions"), F.expr(_TITLE.replace("\\", "\\\\")).alias("title"))
+    return S.attach_instructions(S.assign_subsections(S.assign_sections(found)), ins)
 
 
 @query("detect_endnotes", f"""WITH RECURSIVE {SEG}, x AS (SELECT *, CASE WHEN lead(tag) OVER w = 'li' THEN lead(attrs) OVER w END AS li FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY seg)),
