@@ -99,6 +99,15 @@ def test_nested_json_is_read_or_rejected(spark):
     assert {r.line for r in rejects.collect() if r.reason == "malformed"} == {'{"id": "2", "sections": [', "not json"}
 
 
+def test_nested_json_is_written_small(spark):
+    """Before, as long as its text."""
+    r, path = Roles(spark, "/root/testdata/sf0.001"), Path(checkpoint_dir(spark).removeprefix("file://")) / "nested-small"
+    sinks.write_nested_json(r.documents, r.sections, r.subsections, str(path))
+    lines = sinks.nested(r.documents, r.sections, r.subsections).select(F.to_json(F.struct("*")).alias("line"))
+    assert sum(f.stat().st_size for f in path.glob("part-*")) < lines.agg(F.sum(F.length("line"))).first()[0] / 4
+    assert sorted(map(tuple, spark.read.text(str(path)).collect())) == sorted(map(tuple, lines.collect()))
+
+
 def test_uploads_are_judged_by_content(spark):
     path = Path(checkpoint_dir(spark).removeprefix("file://")) / "uploads"
     path.mkdir(parents=True)

@@ -36,9 +36,9 @@ def nested(docs: DataFrame, sections: DataFrame, subsections: DataFrame) -> Data
     return d.join(s, d["id"] == s["document_id"], "left").drop("document_id")
 
 
-def write_nested_json(docs: DataFrame, sections: DataFrame, subsections: DataFrame, path: str) -> None:
-    """JSON lines; null and blank top-level fields are left out."""
-    nested(docs, sections, subsections).write.mode("overwrite").json(path)
+def write_nested_json(docs: DataFrame, sections: DataFrame, subsections: DataFrame, path: str, compression: str = "gzip") -> None:
+    """JSON lines, compressed, as every row repeats the names of its fields; null and blank top-level fields are left out."""
+    nested(docs, sections, subsections).write.mode("overwrite").json(path, compression=compression)
 
 
 def compare_rows(compared: DataFrame) -> DataFrame:
