@@ -99,6 +99,20 @@ def test_nested_json_is_read_or_rejected(spark):
     assert {r.line for r in rejects.collect() if r.reason == "malformed"} == {'{"id": "2", "sections": [', "not json"}
 
 
+def test_rows_of_nested_json_are_the_joined_tables_without_a_shuffle(spark):
+    """Before, the query joined what it had just taken apart."""
+    r, path = Roles(spark, "/root/testdata/sf0.001"), Path(checkpoint_dir(spark).removeprefix("file://")) / "nested-rows"
+    sinks.write_nested_json(r.documents, r.sections, r.subsections, str(path))
+    got = readers.nested_rows(readers.nested_lines(spark, str(path)), "g")
+    docs, sections, subs, _ = readers.read_nested_json(spark, str(path), "g")
+    s, d = sections.select(F.col("id").alias("section_id"), F.struct("*").alias("section")), docs.select(F.col("id").alias("document_id"), F.struct("*").alias("document"))
+    want = subs.join(s, "section_id").join(d, F.col("section.document_id") == F.col("document_id")).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.dtypes == want.dtypes
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(got) and "Exchange" in plan(want)
+    assert "Exchange" not in plan(catalog.PLANS["read_nested_json"](r))
+
+
 def test_nested_json_is_written_small(spark):
     """Before, as long as its text."""
     r, path = Roles(spark, "/root/testdata/sf0.001"), Path(checkpoint_dir(spark).removeprefix("file://")) / "nested-small"

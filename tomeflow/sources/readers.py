@@ -51,14 +51,21 @@ def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").drop("html")
 
 
-def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, sections, subsections, rejects) from nested JSON lines. Incoming id, archived, status and group are ignored:
-    the id is made anew, the group is given. Rejects are lines that are no such JSON, documents without an id and documents
-    without sections, each with ``line`` (what came in), ``id`` and ``reason``; every line is either read or rejected."""
+def nested_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Nested JSON lines as parsed, with a ``__reason`` where a line is to be rejected: it is no such JSON, or a document without an
+    id or without sections."""
     lines = spark.read.schema(f"{schemas.NESTED_DOCUMENT}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
     reason = F.when(F.col("__bad").isNotNull(), "malformed").when(F.col("id").isNull(), "no id").when(F.coalesce(F.size("sections"), F.lit(0)) < 1, "no sections")
-    told = lines.withColumn("__reason", reason)
-    rejects = told.filter("__reason IS NOT NULL").select("id", F.col("__reason").alias("reason"), F.coalesce("__bad", F.to_json(F.struct("id", *schemas.TOP_FIELDS))).alias("line"))
+    return lines.withColumn("__reason", reason)
+
+
+def nested_rejects(told: DataFrame) -> DataFrame:
+    """``line`` (what came in), ``id`` and ``reason`` of the rejected ones of ``nested_lines``."""
+    return told.filter("__reason IS NOT NULL").select("id", F.col("__reason").alias("reason"), F.coalesce("__bad", F.to_json(F.struct("id", *schemas.TOP_FIELDS))).alias("line"))
+
+
+def nested_tables(told: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sections, subsections) of the good ones of ``nested_lines``, linked by new ids."""
     raw = told.filter("__reason IS NULL").withColumn("source_id", F.col("id")).withColumn("id", stable_uuid("import", F.col("id")))
     docs = raw.select("id", "source_id", F.lit(group).alias("group"), F.lit("draft").alias("status"), *schemas.TOP_FIELDS)
     s = raw.select(F.col("id").alias("document_id"), F.posexplode("sections").alias("n", "s"))
@@ -66,7 +73,29 @@ def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFr
     sections = s.select(F.col("section_id").alias("id"), "document_id", "s.name", "s.order", "s.html_id", "s.html_class", "s.has_section_page")
     x = s.select("section_id", F.posexplode("s.subsections").alias("n", "x"))
     subs = x.select(F.concat_ws("-", "section_id", F.col("n").cast("string")).alias("id"), "section_id", *[f"x.{c}" for c in ("name", "order", "tag", "html_id", "html_class", "callout_box", "body")])
-    return docs, sections, subs, rejects
+    return docs, sections, subs
+
+
+def nested_rows(told: DataFrame, group: str) -> DataFrame:
+    """The subsections of ``nested_tables``, each with its section and document as structs ``section`` and ``document``. What the
+    three tables give when joined, but a line holds all of it, so nothing passes a shuffle."""
+    docs = nested_tables(told, group)[0].columns
+    raw = told.filter("__reason IS NULL").withColumn("source_id", F.col("id")).withColumn("id", stable_uuid("import", F.col("id")))
+    raw = raw.withColumns({"group": F.lit(group), "status": F.lit("draft")})
+    s = raw.select(F.struct(*docs).alias("document"), F.posexplode("sections").alias("n", "s"))
+    own = [F.col(f"s.{c}").alias(c) for c in ("name", "order", "html_id", "html_class", "has_section_page")]
+    key = F.concat_ws("-", "document.id", F.col("n").cast("string"))
+    x = s.select("document", F.struct(key.alias("id"), F.col("document.id").alias("document_id"), *own).alias("section"), F.posexplode("s.subsections").alias("n", "x"))
+    key = F.concat_ws("-", "section.id", F.col("n").cast("string"))
+    return x.select(key.alias("id"), F.col("section.id").alias("section_id"), *[f"x.{c}" for c in ("name", "order", "tag", "html_id", "html_class", "callout_box", "body")], "section", "document")
+
+
+def read_nested_json(spark: SparkSession, path: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, sections, subsections, rejects) from nested JSON lines. Incoming id, archived, status and group are ignored:
+    the id is made anew, the group is given. Rejects are lines that are no such JSON, documents without an id and documents
+    without sections, each with ``line`` (what came in), ``id`` and ``reason``; every line is either read or rejected."""
+    told = nested_lines(spark, path)
+    return *nested_tables(told, group), nested_rejects(told)
 
 
 def read_questions(spark: SparkSession, path: str, page: int | None = None) -> DataFrame:
