@@ -43,7 +43,7 @@ def write_nested_json(docs: DataFrame, sections: DataFrame, subsections: DataFra
 
 def compare_rows(compared: DataFrame) -> DataFrame:
     """Comparison table without MATCH rows; the new-name column is there only if some update renamed a row."""
-    rows = cut(compared.filter("status <> 'MATCH'"))
+    rows = cut(compared.filter("status <> 'MATCH'").select("status", "section_name", "old_name", "new_name", "old_value", "new_value"))
     renamed = rows.agg(F.bool_or((F.col("status") == "UPDATE") & (F.col("old_name") != F.col("new_name")))).first()[0]
     either = F.when(F.col("status") == "ADD", F.col("new_name")).otherwise(F.coalesce(F.nullif("old_name", F.lit("")), "new_name"))
     name = F.col("old_name") if renamed else either
